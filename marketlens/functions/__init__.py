@@ -3,6 +3,7 @@
 from marketlens.functions.columns import (  # noqa: F401
     clip,
     days_between,
+    mean_days_between,
     money_sum,
     month_index,
     month_start,

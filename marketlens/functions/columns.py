@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from marketlens.schemas import NULL_TOKENS, SENTIMENT_BINS, TIMESTAMP_FORMAT
 
-_NULL_DOUBLE = F.lit(None).cast("double")
 
 
 def null_tokens_to_null(col: Column) -> Column:
@@ -27,7 +26,7 @@ def to_double(col: Column, dtype: T.DataType | None = None) -> Column:
         casted = F.trim(col.cast("string")).try_cast("double")
     else:
         casted = col.try_cast("double")
-    return F.nanvl(casted, _NULL_DOUBLE)
+    return F.nanvl(casted, F.lit(None).cast("double"))
 
 
 def to_int(col: Column, dtype: T.DataType | None = None) -> Column:
@@ -65,6 +64,13 @@ def days_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(86400e6)
 
 
+def mean_days_between(start: Column, end: Column) -> Column:
+    """Aggregate: mean duration in fractional days, from an exact LONG sum of
+    microseconds, so the result does not depend on merge order."""
+    micros = F.timestamp_diff("MICROSECOND", start, end)
+    return F.sum(micros) / F.nullif(F.count(micros), F.lit(0)) / F.lit(86400e6)
+
+
 def month_start(ts: Column) -> Column:
     """First instant of the month, kept as TIMESTAMP_NTZ."""
     return F.date_trunc("month", ts).cast("timestamp_ntz")

@@ -49,7 +49,7 @@ def exact_median(
         if distinct_probe is not None and len(distinct_probe) <= max_candidates:
             pairs = sorted((row["v"], row["count"]) for row in distinct_probe)
             lo_val, hi_val = _pick(pairs, local)
-            return (lo_val + hi_val) / 2.0
+            return lo_val * 0.5 + hi_val * 0.5
         margin = 3.0 / acc
         q_lo = max(0.0, local[0] / m - margin)
         q_hi = min(1.0, local[1] / m + margin)

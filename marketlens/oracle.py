@@ -18,8 +18,9 @@ def msum(x: str) -> str:
     return f"COALESCE(CAST(sum(CAST(round({x} * 100.0) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE), 0.0)"
 
 
-def rmean(x: str) -> str:
-    return f"round(avg({x}), 6)"
+def mdays() -> str:
+    us = "date_diff('microsecond', order_purchase_timestamp, order_delivered_customer_date)"
+    return f"CAST(sum({us}) AS DOUBLE) / NULLIF(count({us}), 0) / 86400e6"
 
 
 BASE = f"""
@@ -86,7 +87,38 @@ monthly_kpis AS (
   SELECT month, revenue, total_orders, customers,
          COALESCE(revenue / NULLIF(total_orders, 0), 0.0) AS aov,
          COALESCE(revenue / NULLIF(customers, 0), 0.0) AS clv
-  FROM monthly)
+  FROM monthly),
+rfm_raw AS (
+  SELECT customer_unique_id,
+         CAST(floor(date_diff('microsecond', max(order_purchase_timestamp),
+                              (SELECT max(order_purchase_timestamp) + INTERVAL 1 DAY FROM prepared)) / 86400e6) AS BIGINT) AS recency,
+         count(DISTINCT order_id) AS frequency, {msum('revenue')} AS monetary,
+         avg(review_score) AS ar, {mdays()} AS ad
+  FROM prepared WHERE customer_unique_id IS NOT NULL GROUP BY customer_unique_id),
+rfm AS (SELECT customer_unique_id, recency, frequency, monetary FROM rfm_raw),
+features AS (
+  SELECT customer_unique_id, recency, frequency, monetary,
+         COALESCE(ar, (SELECT median(ar) FROM rfm_raw), 0.0) AS avg_review_score,
+         COALESCE(ad, (SELECT median(ad) FROM rfm_raw), 0.0) AS avg_delivery_days,
+         CAST(recency > 120 AS INTEGER) AS churned
+  FROM rfm_raw),
+cm AS (
+  SELECT DISTINCT customer_unique_id, date_trunc('month', order_purchase_timestamp) AS m FROM prepared
+  WHERE customer_unique_id IS NOT NULL AND order_purchase_timestamp IS NOT NULL),
+cc AS (SELECT customer_unique_id, m, min(m) OVER (PARTITION BY customer_unique_id) AS cohort FROM cm),
+cnt AS (
+  SELECT cohort, (year(m) * 12 + month(m)) - (year(cohort) * 12 + month(cohort)) AS period_number, count(*) AS customers
+  FROM cc GROUP BY ALL),
+retention AS (
+  SELECT strftime(cnt.cohort, '%Y-%m') AS cohort_month, CAST(cnt.period_number AS INTEGER) AS period_number,
+         CAST(cnt.customers AS BIGINT) AS customers, CAST(sz.customers AS BIGINT) AS cohort_size,
+         round_even(cnt.customers / sz.customers * 100.0, 1) AS retention_pct
+  FROM cnt JOIN (SELECT cohort, customers FROM cnt WHERE period_number = 0) sz ON cnt.cohort = sz.cohort),
+mrev AS (SELECT month AS ds, {msum('revenue')} AS y FROM prepared WHERE month IS NOT NULL GROUP BY month),
+series AS (
+  SELECT cal.ds, COALESCE(mrev.y, 0.0) AS y
+  FROM (SELECT unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM mrev) cal
+  LEFT JOIN mrev ON cal.ds = mrev.ds)
 """
 
 _CENTROIDS = ", ".join(f"('{s}', {lat}, {lon})" for s, (lat, lon) in STATE_CENTROIDS.items())
@@ -156,6 +188,111 @@ QUERIES = {
         FROM (SELECT customer_state, {msum('revenue')} AS revenue FROM prepared WHERE customer_state IS NOT NULL
               GROUP BY customer_state) g
         JOIN c ON g.customer_state = c.customer_state""",
+
+    "star_row_counts": """
+        SELECT 'fact_orders' AS table_name, count(*) AS row_count FROM fact
+        UNION ALL SELECT 'dim_customers', count(*) FROM raw_customers
+        UNION ALL SELECT 'dim_products', count(*) FROM raw_products
+        UNION ALL SELECT 'dim_sellers', count(*) FROM raw_sellers""",
+    "product_performance": f"""
+        SELECT product_id, product_category, {msum('revenue')} AS revenue, avg(review_score) AS review_score,
+               count(DISTINCT order_id) AS orders
+        FROM prepared WHERE product_id IS NOT NULL AND product_category IS NOT NULL
+        GROUP BY product_id, product_category""",
+    "seller_leaderboard": f"""
+        SELECT seller_id, {msum('revenue')} AS revenue, avg(review_score) AS avg_rating,
+               {mdays()} AS avg_delivery_days, count(DISTINCT order_id) AS orders
+        FROM prepared WHERE seller_id IS NOT NULL GROUP BY seller_id
+        ORDER BY revenue DESC, seller_id LIMIT 15""",
+    "review_sentiment": """
+        WITH b AS (
+          SELECT CASE WHEN review_score >= 0 AND review_score <= 2 THEN 'negative'
+                      WHEN review_score > 2 AND review_score <= 3 THEN 'neutral'
+                      WHEN review_score > 3 AND review_score <= 5 THEN 'positive' END AS sentiment, order_id
+          FROM prepared),
+        c AS (SELECT sentiment, count(DISTINCT order_id) AS orders FROM b WHERE sentiment IS NOT NULL GROUP BY sentiment)
+        SELECT d.sentiment, CAST(COALESCE(c.orders, 0) AS BIGINT) AS orders
+        FROM (VALUES ('negative'), ('neutral'), ('positive')) d(sentiment) LEFT JOIN c ON d.sentiment = c.sentiment""",
+    "delivery_time_by_state": """
+        WITH d AS (SELECT customer_state, delivery_days AS dd FROM prepared
+                   WHERE delivery_days IS NOT NULL AND customer_state IS NOT NULL),
+        s AS (SELECT customer_state, count(*) AS n, min(dd) AS mn, quantile_cont(dd, 0.25) AS q1,
+                     quantile_cont(dd, 0.5) AS med, quantile_cont(dd, 0.75) AS q3, max(dd) AS mx
+              FROM d GROUP BY customer_state)
+        SELECT s.customer_state, CAST(n AS BIGINT) AS count, mn AS min, q1, med AS median, q3, mx AS max,
+               min(CASE WHEN d.dd >= q1 - 1.5 * (q3 - q1) THEN d.dd END) AS lower_whisker,
+               max(CASE WHEN d.dd <= q3 + 1.5 * (q3 - q1) THEN d.dd END) AS upper_whisker
+        FROM s JOIN d ON s.customer_state = d.customer_state
+        GROUP BY s.customer_state, n, mn, q1, med, q3, mx""",
+    "product_month_orders": """
+        SELECT product_id, product_category, month, count(DISTINCT order_id) AS orders FROM prepared
+        WHERE product_id IS NOT NULL AND product_category IS NOT NULL AND month IS NOT NULL
+        GROUP BY product_id, product_category, month""",
+    "slow_movers": """
+        WITH pm AS (
+          SELECT product_id, product_category, month, count(DISTINCT order_id) AS orders FROM prepared
+          WHERE product_id IS NOT NULL AND product_category IS NOT NULL AND month IS NOT NULL
+          GROUP BY product_id, product_category, month),
+        m AS (SELECT product_id, product_category, avg(orders) AS mean_orders FROM pm GROUP BY product_id, product_category)
+        SELECT product_id, product_category, mean_orders AS orders FROM m WHERE mean_orders < 5
+        ORDER BY mean_orders, product_id, product_category LIMIT 50""",
+    "rfm_base": "SELECT * FROM rfm",
+    "top_customers_ltv": """
+        SELECT customer_unique_id, recency, frequency, monetary AS lifetime_value_brl FROM rfm
+        ORDER BY monetary DESC, customer_unique_id LIMIT 10""",
+    "customer_features": "SELECT * FROM features",
+    "churn_class_balance": "SELECT churned, count(*) AS customers FROM features GROUP BY churned",
+    "cohort_retention": "SELECT * FROM retention",
+    "cohort_matrix": """
+        WITH g AS (SELECT c.cohort_month, p.period_number
+                   FROM (SELECT DISTINCT cohort_month FROM retention) c, (SELECT DISTINCT period_number FROM retention) p),
+        f AS (SELECT g.cohort_month, CAST(g.period_number AS VARCHAR) AS p, COALESCE(r.retention_pct, 0.0) AS v
+              FROM g LEFT JOIN retention r ON g.cohort_month = r.cohort_month AND g.period_number = r.period_number)
+        SELECT * FROM (PIVOT f ON p USING first(v) GROUP BY cohort_month)""",
+    "monthly_revenue_series": "SELECT ds, y FROM series",
+    "forecast_ewma": """
+        WITH RECURSIVE s AS (SELECT ds, y, row_number() OVER (ORDER BY ds) AS rn FROM series),
+        ew(rn, ds, y, yhat) AS (
+          SELECT rn, ds, y, y FROM s WHERE rn = 1
+          UNION ALL
+          SELECT s.rn, s.ds, s.y, CAST(0.4 AS DOUBLE) * s.y + CAST(0.6 AS DOUBLE) * ew.yhat FROM ew JOIN s ON s.rn = ew.rn + 1),
+        st AS (SELECT count(*) AS n, max(rn) AS last_rn,
+                      1.96 * CASE WHEN COALESCE(stddev_samp(y - yhat), 0) <> 0 THEN stddev_samp(y - yhat)
+                                  WHEN COALESCE(stddev_samp(y), 0) <> 0 THEN stddev_samp(y) ELSE 0.0 END AS band
+               FROM ew),
+        out AS (
+          SELECT ds, y AS actual, yhat, band FROM ew, st WHERE n >= 3 AND rn > last_rn - 24
+          UNION ALL
+          SELECT CAST(ds + INTERVAL 1 MONTH AS TIMESTAMP), CAST(NULL AS DOUBLE), yhat, band FROM ew, st WHERE n >= 3 AND rn = last_rn)
+        SELECT ds, actual, round(yhat, 4) AS yhat, round(yhat - band, 4) AS yhat_lower, round(yhat + band, 4) AS yhat_upper
+        FROM out""",
+    "forecast_ewma_by_category": f"""
+        WITH RECURSIVE m AS (
+          SELECT product_category, month AS ds, {msum('revenue')} AS y FROM prepared
+          WHERE month IS NOT NULL AND product_category IS NOT NULL GROUP BY product_category, month),
+        cal AS (SELECT product_category, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds
+                FROM m GROUP BY product_category),
+        s AS (SELECT cal.product_category, cal.ds, COALESCE(m.y, 0.0) AS y,
+                     row_number() OVER (PARTITION BY cal.product_category ORDER BY cal.ds) AS rn
+              FROM cal LEFT JOIN m ON cal.product_category = m.product_category AND cal.ds = m.ds),
+        ew(product_category, rn, ds, y, yhat) AS (
+          SELECT product_category, rn, ds, y, y FROM s WHERE rn = 1
+          UNION ALL
+          SELECT s.product_category, s.rn, s.ds, s.y, CAST(0.4 AS DOUBLE) * s.y + CAST(0.6 AS DOUBLE) * ew.yhat
+          FROM ew JOIN s ON s.product_category = ew.product_category AND s.rn = ew.rn + 1),
+        st AS (SELECT product_category, count(*) AS n, max(rn) AS last_rn,
+                      1.96 * CASE WHEN COALESCE(stddev_samp(y - yhat), 0) <> 0 THEN stddev_samp(y - yhat)
+                                  WHEN COALESCE(stddev_samp(y), 0) <> 0 THEN stddev_samp(y) ELSE 0.0 END AS band
+               FROM ew GROUP BY product_category),
+        out AS (
+          SELECT ew.product_category, ds, y AS actual, yhat, band FROM ew JOIN st ON ew.product_category = st.product_category
+          WHERE n >= 3 AND rn > last_rn - 24
+          UNION ALL
+          SELECT ew.product_category, CAST(ds + INTERVAL 1 MONTH AS TIMESTAMP), CAST(NULL AS DOUBLE), yhat, band
+          FROM ew JOIN st ON ew.product_category = st.product_category WHERE n >= 3 AND rn = last_rn)
+        SELECT product_category, ds, actual, round(yhat, 4) AS yhat, round(yhat - band, 4) AS yhat_lower,
+               round(yhat + band, 4) AS yhat_upper
+        FROM out""",
 }
 
 
@@ -163,9 +300,12 @@ def statements() -> dict[str, str]:
     out = {}
     for name, sql in QUERIES.items():
         body = sql.strip()
-        if body.upper().startswith("WITH "):
-            body = body[5:]
-            out[name] = f"WITH {BASE.strip()},\n{body}"
+        head = "WITH"
+        if body.upper().startswith("WITH RECURSIVE "):
+            head, body = "WITH RECURSIVE", body[len("WITH RECURSIVE "):]
+            out[name] = f"{head} {BASE.strip()},\n{body}"
+        elif body.upper().startswith("WITH "):
+            out[name] = f"{head} {BASE.strip()},\n{body[5:]}"
         else:
-            out[name] = f"WITH {BASE.strip()}\n{body}"
+            out[name] = f"{head} {BASE.strip()}\n{body}"
     return out

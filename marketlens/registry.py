@@ -1,38 +1,118 @@
-"""Query registry over the test binding: name -> (spark, sf_dir) -> DataFrame."""
+"""Query registry over the test binding: name -> (spark, sf_dir) -> DataFrame.
+
+Every entry reads the generated tables (through the star materialised once
+per session) and runs over all rows. Model-based entries fit once per
+session and share the fitted result.
+"""
 
 from __future__ import annotations
 
+import os
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.operators import kpi, prepare
+from marketlens.operators import churn, cohort, customer, forecast, kpi, prepare, product
 from marketlens.sources.registry_data import prepared_fact, star_table
 
 # Fixed filter used by ``filtered_fact`` (a date window, one category, one state).
 FILTER_START, FILTER_END = "1997-03-15", "1999-10-20"
 FILTER_CATEGORY, FILTER_STATE = "Brand#1", "AM"
 
+# Model settings (reference values: k=4, 20 restarts, seed 42; 120 churn days).
+KMEANS_K, KMEANS_RESTARTS, SEED, CHURN_DAYS = 4, 20, 42, 120
+
+_LOCK = threading.RLock()
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, sf: str, name: str, build):
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf), name)
+    with _LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = build()
+        return _MEMO[key]
+
 
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
     return prepared_fact(spark, sf)
 
 
+def _rfm(spark, sf):
+    return _memo(spark, sf, "rfm", lambda: customer.rfm_segments(_fact(spark, sf), KMEANS_K, KMEANS_RESTARTS, SEED))
+
+
+def _features(spark, sf):
+    return _memo(spark, sf, "features", lambda: churn.customer_features(_fact(spark, sf), CHURN_DAYS))
+
+
+def _churn(spark, sf):
+    return _memo(spark, sf, "churn", lambda: churn.train_churn_model(_features(spark, sf), SEED))
+
+
+def _cohort_matrix(spark, sf):
+    return cohort.cohort_matrix(_fact(spark, sf))
+
+
+def _star_row_counts(spark, sf):
+    parts = [
+        star_table(spark, sf, name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        for name in ("fact_orders", "dim_customers", "dim_products", "dim_sellers")
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 QUERIES = {
     # S-03/S-05, X-01, C-06..C-09: star tables
     "star_fact_orders": lambda spark, sf: star_table(spark, sf, "fact_orders"),
     "dim_customers": lambda spark, sf: star_table(spark, sf, "dim_customers"),
     "dim_products": lambda spark, sf: star_table(spark, sf, "dim_products"),
     "dim_sellers": lambda spark, sf: star_table(spark, sf, "dim_sellers"),
+    "star_row_counts": _star_row_counts,
     # C-10, F-01..F-08
     "fact_prepared": _fact,
     "filtered_fact": lambda spark, sf: prepare.apply_filters(
         prepared_fact(spark, sf, FILTER_START, FILTER_END), FILTER_START, FILTER_END, FILTER_CATEGORY, FILTER_STATE
     ),
     "filter_domains": lambda spark, sf: prepare.filter_domains(_fact(spark, sf)),
-    # A-02..A-06, W-02, W-03, T-01
+    # A-02..A-06, W-02, W-03, T-01, J-07
     "monthly_kpis": lambda spark, sf: kpi.monthly_kpis(_fact(spark, sf)),
     "monthly_kpis_last24": lambda spark, sf: kpi.monthly_kpis_last(_fact(spark, sf), 24),
     "kpi_summary": lambda spark, sf: kpi.kpi_summary(_fact(spark, sf)),
     "category_revenue_top10": lambda spark, sf: kpi.category_revenue_top(_fact(spark, sf), 10),
     "order_status_funnel": lambda spark, sf: kpi.order_status_funnel(_fact(spark, sf)),
     "state_revenue_geo": lambda spark, sf: kpi.state_revenue_geo(_fact(spark, sf)),
+    # A-07..A-12, T-03, T-04
+    "product_performance": lambda spark, sf: product.product_performance(_fact(spark, sf)),
+    "seller_leaderboard": lambda spark, sf: product.seller_leaderboard(_fact(spark, sf), 15),
+    "review_sentiment": lambda spark, sf: product.review_sentiment(_fact(spark, sf)),
+    "delivery_time_by_state": lambda spark, sf: product.delivery_time_by_state(_fact(spark, sf)),
+    "product_month_orders": lambda spark, sf: product.product_month_orders(_fact(spark, sf)),
+    "slow_movers": lambda spark, sf: product.slow_movers(_fact(spark, sf)),
+    # A-13, A-14, A-20, T-02
+    "rfm_base": lambda spark, sf: customer.rfm_base(_fact(spark, sf)),
+    "top_customers_ltv": lambda spark, sf: customer.top_customers(customer.rfm_base(_fact(spark, sf)), 10),
+    "customer_features": _features,
+    "churn_class_balance": lambda spark, sf: churn.class_balance(_features(spark, sf)),
+    # A-17, W-01, W-07, R-01, R-02
+    "cohort_retention": lambda spark, sf: cohort.cohort_retention(_fact(spark, sf)),
+    "cohort_matrix": _cohort_matrix,
+    # A-18, W-05, M-08, U-01
+    "monthly_revenue_series": lambda spark, sf: forecast.monthly_revenue_series(_fact(spark, sf)),
+    "forecast_ewma": lambda spark, sf: forecast.forecast_ewma(_fact(spark, sf)),
+    "forecast_ewma_by_category": lambda spark, sf: forecast.forecast_ewma(_fact(spark, sf), ["product_category"]),
+    # Model-based (rows-only in the driver check; covered by tests)
+    "rfm_segments": _rfm,  # M-01, M-02, A-15, W-04, J-08
+    "segment_churn_heuristic": lambda spark, sf: customer.segment_churn_heuristic(_rfm(spark, sf)),  # A-16, W-06
+    "top_customers_segmented": lambda spark, sf: customer.top_customers(_rfm(spark, sf), 10),  # T-02
+    "churn_metrics": lambda spark, sf: _churn(spark, sf).metrics,  # M-03..M-05
+    "churn_drivers": lambda spark, sf: _churn(spark, sf).drivers,  # M-07, T-06
+    "churn_by_segment": lambda spark, sf: churn.churn_by_segment(_churn(spark, sf).predictions, _rfm(spark, sf)),  # J-06, A-19
+    "churn_scores_top100": lambda spark, sf: churn.churn_scores_top(_churn(spark, sf).predictions, _rfm(spark, sf), 100),  # T-05
+    "forecast_seasonal": lambda spark, sf: forecast.forecast_seasonal(_fact(spark, sf)),  # M-09
+    "forecast_seasonal_by_category": lambda spark, sf: forecast.forecast_seasonal(_fact(spark, sf), ["product_category"]),
 }

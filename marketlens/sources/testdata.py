@@ -15,11 +15,9 @@ from marketlens.schemas import BR_STATES
 
 # nation keys 0..23 map to the first 24 states; key 24 has no state (NULL)
 # so that the "NA" default is exercised.
-_STATES_BY_NATION = F.array(*[F.lit(s) for s in BR_STATES[:24]])
-
-
 def _state(nation_key):
-    return F.when(nation_key < 24, F.element_at(_STATES_BY_NATION, nation_key + 1))
+    states = F.array(*[F.lit(s) for s in BR_STATES[:24]])
+    return F.when(nation_key < 24, F.element_at(states, nation_key + 1))
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
