@@ -115,7 +115,7 @@ def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000)
 
     lr = LogisticRegression(
         featuresCol="features", labelCol="churned", weightCol="w", regParam=1.0 / n_train, elasticNetParam=0.0,
-        standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-8,
+        standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-6,
     )
     model = lr.fit(train)
     coef = [float(c) for c in model.coefficients.toArray()]

@@ -14,6 +14,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -81,11 +83,27 @@ def _fit_best_kmeans(data: DataFrame, k: int, restarts: int, seed: int, max_iter
         return model.summary.trainingCost, s, model
 
     seeds = [seed + i for i in range(restarts)]
-    with ThreadPoolExecutor(max_workers=min(4, len(seeds))) as pool:
+    with ThreadPoolExecutor(max_workers=min(8, len(seeds))) as pool:
         results = list(pool.map(fit, seeds))
     return min(results, key=lambda r: (r[0], r[1]))[2]
 
 
+def _assign_clusters(vec: DataFrame, centers: list[list[float]]) -> DataFrame:
+    """Nearest centre (squared Euclidean, lowest index on ties) as a column
+    expression over the fitted centres: no model UDF in the plan."""
+    x = vector_to_array("features")
+    dists = [
+        sum((x[j] - F.lit(c[j])) * (x[j] - F.lit(c[j])) for j in range(len(c)))
+        for c in centers
+    ]
+    best = F.lit(0)
+    best_d = dists[0]
+    for i in range(1, len(dists)):
+        best = F.when(dists[i] < best_d, F.lit(i)).otherwise(best)
+        best_d = F.least(best_d, dists[i])
+    return vec.withColumn("cluster", best.cast("int"))
+
+
 def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42, max_iter: int = 300,
                  labels: list[str] | None = None) -> DataFrame:
     """M-02: RFM + K-Means on standardised features, labelled by cluster score.
@@ -108,9 +126,16 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
     clean = rfm.withColumns({c: _clean(c) for c in RFM_FEATURES})
     scaled = standardize(clean, RFM_FEATURES)
     vec = VectorAssembler(inputCols=[f"{c}_z" for c in RFM_FEATURES], outputCol="features").transform(scaled)
+    # checkpoint cuts the lineage (executor loss re-reads files, not the fact);
+    # persist keeps the one customer table all restarts iterate over.
     vec = vec.select("customer_unique_id", *RFM_FEATURES, "features").checkpoint(eager=True)
-    model = _fit_best_kmeans(vec, k, restarts, seed, max_iter)
-    assigned = model.transform(vec).select("customer_unique_id", *RFM_FEATURES, F.col("cluster").cast("int"))
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = _fit_best_kmeans(vec, k, restarts, seed, max_iter)
+    finally:
+        vec.unpersist()
+    centers = [list(map(float, c)) for c in model.clusterCenters()]
+    assigned = _assign_clusters(vec, centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
 
     # A-15 + W-04: k-row cluster profiles ranked on the driver (fitted parameters only).
     profile = assigned.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES]).collect()

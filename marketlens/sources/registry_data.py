@@ -21,7 +21,7 @@ from marketlens.session import apply_core_conf, checkpoint_dir
 from marketlens.sources.testdata import raw_tables
 from marketlens.sources.warehouse import read_fact, read_table, write_star
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _WAREHOUSES: dict[tuple[str, str], str] = {}
 
 
@@ -41,5 +41,16 @@ def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, warehouse_for(spark, sf_dir), name)
 
 
+_FACTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def prepared_fact(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
-    return prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir), start, end))
+    """Prepared fact; the unfiltered read is kept per session so its file
+    index (partition listing) is built once, not once per query."""
+    if start is not None or end is not None:
+        return prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir), start, end))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    with _LOCK:
+        if key not in _FACTS:
+            _FACTS[key] = prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir)))
+        return _FACTS[key]
