@@ -52,6 +52,8 @@ def cohort_matrix(fact: DataFrame, periods: list[int] | None = None) -> DataFram
     long = cohort_retention(fact)
     if periods is None:
         periods = sorted(r[0] for r in long.select("period_number").distinct().collect())  # <= months
+    if not periods:
+        return long.select("cohort_month")
     wide = long.groupBy("cohort_month").pivot("period_number", periods).agg(F.first("retention_pct"))
     renamed = wide.select("cohort_month", *[F.col(str(p)).alias(str(p)) for p in periods])
     return renamed.fillna(0.0, subset=[str(p) for p in periods])

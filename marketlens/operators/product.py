@@ -64,7 +64,7 @@ def delivery_time_by_state(fact: DataFrame) -> DataFrame:
     """A-10: box statistics of delivery days per customer state.
 
     Quartiles use linear interpolation between order statistics (as the box
-    plot does); whiskers are the most extreme values within 1.5 IQR of the
+    plot does, rounded to 1e-9 day); whiskers are the most extreme values within 1.5 IQR of the
     box. Exact without holding a state's rows in one task: rows are first
     reduced to (state, value, count) by a partial aggregate, so each state's
     window holds distinct values only, which the timestamp resolution bounds.
@@ -89,7 +89,10 @@ def delivery_time_by_state(fact: DataFrame) -> DataFrame:
     stats = vc.groupBy("customer_state").agg(*aggs)
     for name in ("q1", "median", "q3"):
         lo, hi, frac = F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_frac")
-        stats = stats.withColumn(name, lo * (1 - frac) + hi * frac)
+        # rounded to 9 places: engines differ in the last ulp of the
+        # interpolation (fused multiply-add or not); 1e-9 day is far below
+        # the data's resolution. Fences below use these rounded values.
+        stats = stats.withColumn(name, F.round(lo * (1 - frac) + hi * frac, 9))
     stats = stats.select("customer_state", "n", "min", "q1", "median", "q3", "max")
     iqr = F.col("q3") - F.col("q1")
     fences = vc.join(stats, "customer_state").groupBy("customer_state").agg(

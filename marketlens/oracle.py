@@ -216,8 +216,8 @@ QUERIES = {
     "delivery_time_by_state": """
         WITH d AS (SELECT customer_state, delivery_days AS dd FROM prepared
                    WHERE delivery_days IS NOT NULL AND customer_state IS NOT NULL),
-        s AS (SELECT customer_state, count(*) AS n, min(dd) AS mn, quantile_cont(dd, 0.25) AS q1,
-                     quantile_cont(dd, 0.5) AS med, quantile_cont(dd, 0.75) AS q3, max(dd) AS mx
+        s AS (SELECT customer_state, count(*) AS n, min(dd) AS mn, round(quantile_cont(dd, 0.25), 9) AS q1,
+                     round(quantile_cont(dd, 0.5), 9) AS med, round(quantile_cont(dd, 0.75), 9) AS q3, max(dd) AS mx
               FROM d GROUP BY customer_state)
         SELECT s.customer_state, CAST(n AS BIGINT) AS count, mn AS min, q1, med AS median, q3, mx AS max,
                min(CASE WHEN d.dd >= q1 - 1.5 * (q3 - q1) THEN d.dd END) AS lower_whisker,

@@ -76,7 +76,8 @@ QUERIES = {
     # C-10, F-01..F-08
     "fact_prepared": _fact,
     "filtered_fact": lambda spark, sf: prepare.apply_filters(
-        prepared_fact(spark, sf, FILTER_START, FILTER_END), FILTER_START, FILTER_END, FILTER_CATEGORY, FILTER_STATE
+        prepared_fact(spark, sf, FILTER_START, FILTER_END, FILTER_CATEGORY, FILTER_STATE),
+        FILTER_START, FILTER_END, FILTER_CATEGORY, FILTER_STATE
     ),
     "filter_domains": lambda spark, sf: prepare.filter_domains(_fact(spark, sf)),
     # A-02..A-06, W-02, W-03, T-01, J-07

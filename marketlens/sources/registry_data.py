@@ -44,11 +44,12 @@ def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _FACTS: dict[tuple[str, str], DataFrame] = {}
 
 
-def prepared_fact(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+def prepared_fact(spark: SparkSession, sf_dir: str, start=None, end=None, category: str = "All",
+                  state: str = "All") -> DataFrame:
     """Prepared fact; the unfiltered read is kept per session so its file
     index (partition listing) is built once, not once per query."""
-    if start is not None or end is not None:
-        return prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir), start, end))
+    if start is not None or end is not None or category != "All" or state != "All":
+        return prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir), start, end, category, state))
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
         if key not in _FACTS:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators.prepare import _day, date_predicate
-from marketlens.schemas import DATE_COLUMN, PIPELINE_RUNS_SCHEMA
+from marketlens.schemas import DATE_COLUMN, PIPELINE_RUNS_SCHEMA, UNKNOWN_CATEGORY, UNKNOWN_STATE
 
 PARTITION_COLUMN = "order_month"
 
@@ -49,9 +49,22 @@ def read_table(spark: SparkSession, warehouse_dir: str, name: str) -> DataFrame:
     return df.drop(PARTITION_COLUMN) if PARTITION_COLUMN in df.columns else df
 
 
-def read_fact(spark: SparkSession, warehouse_dir: str, start=None, end=None) -> DataFrame:
-    """S-03 with partition pruning: a date range also bounds ``order_month``."""
+def _equals_with_default(column: str, value: str, default: str):
+    """Predicate on a stored column equivalent to ``coalesce(col, default) = value``
+    but written so Parquet can push it down."""
+    col = F.col(column)
+    return (col.isNull() | (col == value)) if value == default else (col == value)
+
+
+def read_fact(spark: SparkSession, warehouse_dir: str, start=None, end=None,
+              category: str = "All", state: str = "All") -> DataFrame:
+    """S-03 with pruning: a date range also bounds ``order_month`` (partition
+    pruning); date, category and state predicates are pushed to Parquet."""
     df = spark.read.parquet(_path(warehouse_dir, "fact_orders"))
+    if category not in (None, "All"):
+        df = df.filter(_equals_with_default("product_category", category, UNKNOWN_CATEGORY))
+    if state not in (None, "All"):
+        df = df.filter(_equals_with_default("customer_state", state, UNKNOWN_STATE))
     s, e = _day(start), _day(end)
     if s is not None:
         df = df.filter(F.col(PARTITION_COLUMN) >= F.lit(dt.date(s.year, s.month, 1)))
@@ -71,7 +84,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_fact(spark: SparkSession, warehouse_dir: str | None = None, raw_dir: str | None = None,
-              raw_format: str = "csv", start=None, end=None):
+              raw_format: str = "csv", start=None, end=None, category: str = "All", state: str = "All"):
     """S-04: prepared fact from the warehouse, else rebuilt from raw files.
 
     Returns ``(prepared_fact, freshness, source)`` where freshness is the
@@ -82,11 +95,11 @@ def load_fact(spark: SparkSession, warehouse_dir: str | None = None, raw_dir: st
     from marketlens.sources.raw import load_raw
 
     if warehouse_dir and table_exists(spark, _path(warehouse_dir, "fact_orders")):
-        fact = read_fact(spark, warehouse_dir, start, end)
-        return prepare_fact(fact), latest_run(spark, warehouse_dir), "warehouse"
+        fact = read_fact(spark, warehouse_dir, start, end, category, state)
+        return apply_filters(prepare_fact(fact), start, end, category, state), latest_run(spark, warehouse_dir), "warehouse"
     if raw_dir:
         fact = build_star(load_raw(spark, raw_dir, raw_format))["fact_orders"]
-        return apply_filters(prepare_fact(fact), start, end), None, raw_format.upper()
+        return apply_filters(prepare_fact(fact), start, end, category, state), None, raw_format.upper()
     raise RuntimeError("No warehouse fact table and no raw data directory given")
 
 

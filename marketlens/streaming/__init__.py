@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analyses work on whole tables; the source application reads finished
+files and has no streams, windows over event time, watermarks or state to
+reproduce, so no Structured Streaming operators are defined here. The batch
+jobs in ``marketlens.plans`` are the incremental unit (re-run ingest, then
+the marts).
+"""
