@@ -1,13 +1,22 @@
 """Star schema from the raw tables (X-01: C-01..C-09, J-01..J-05, A-01).
 
-Plan shape: the three order-keyed inputs (orders, items, per-order review
-mean) are joined first, so they share one hash partitioning on ``order_id``;
-then the customer, product and seller lookups. All joins are left joins on
-keys of the preserved side, so this order gives the same rows as joining in
-source order. Dimensions are projected to the columns the fact needs before
-joining. No broadcast hints: dimension sizes grow with the data, so AQE picks
-broadcast only from measured runtime sizes and otherwise sort-merge joins,
-splitting skewed partitions of the preserved side.
+The fact equals ``orders LEFT JOIN items LEFT JOIN customers LEFT JOIN
+products LEFT JOIN sellers LEFT JOIN review_means`` (order-item grain, orders
+without items kept), but the plan is shaped for scale:
+
+* order attributes (customer, per-order review mean) are joined at *order*
+  grain and item attributes (product, seller) on the *narrow* items, so the
+  wide item-grain fact is never reshuffled for a dimension lookup;
+* the order-item join is an INNER join (AQE can split a hot ``order_id`` on
+  either side, e.g. one order holding a third of all items) plus a LEFT ANTI
+  join of orders against the de-duplicated item keys (partial aggregation
+  first, so a hot key cannot pile up) for the orders without items.
+
+All dimension joins are left joins on keys of the preserved side, so this
+regrouping gives the same rows as joining in source order. No broadcast
+hints: dimension sizes grow with the data, so Spark broadcasts only below
+its size threshold (static estimate or AQE runtime size) and otherwise uses
+sort-merge joins whose skewed left partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -105,13 +114,14 @@ def fact_orders(raw: dict[str, DataFrame]) -> DataFrame:
     )
     sellers = raw["sellers"].select("seller_id", "seller_state")
 
-    joined = (
-        orders.join(items, "order_id", "left")
-        .join(review_means(raw["reviews"]), "order_id", "left")
-        .join(customers, "customer_id", "left")
-        .join(products, "product_id", "left")
-        .join(sellers, "seller_id", "left")
+    item_side = items.join(products, "product_id", "left").join(sellers, "seller_id", "left")
+    order_side = orders.join(customers, "customer_id", "left").join(review_means(raw["reviews"]), "order_id", "left")
+    matched = order_side.join(item_side, "order_id", "inner")
+    item_keys = items.select("order_id").filter(F.col("order_id").isNotNull()).distinct()
+    lonely = order_side.join(item_keys, "order_id", "left_anti").select(
+        "*", *[F.lit(None).cast(item_side.schema[c].dataType).alias(c) for c in item_side.columns if c != "order_id"]
     )
+    joined = matched.unionByName(lonely)
     price = F.coalesce(F.col("price"), F.lit(0.0))
     freight = F.coalesce(F.col("freight_value"), F.lit(0.0))
     fact = joined.select(
