@@ -2,7 +2,7 @@
 
 The raw contract is the six marketplace tables (orders, items, customers,
 products, sellers, reviews). Raw CSV is read as strings and coerced
-afterwards (``functions.coerce``), so one schema serves CSV and typed sources.
+afterwards (``functions.columns``), so one schema serves CSV and typed sources.
 """
 
 from __future__ import annotations
@@ -57,13 +57,6 @@ SEGMENT_LABELS = ["Lost", "At Risk", "Loyal", "Champions"]
 # lower edge, the others are left-open.
 SENTIMENT_BINS = [("negative", 0.0, 2.0), ("neutral", 2.0, 3.0), ("positive", 3.0, 5.0)]
 
-# Defaults for missing dimension values.
-UNKNOWN_CATEGORY = "unknown"
-UNKNOWN_STATE = "NA"
-
-# Text tokens read as null in raw CSV.
-NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "None", "NaN", "nan", "n/a", "#N/A"]
-
 # Raw CSV file names per table.
 RAW_FILES = {
     "orders": "olist_orders_dataset.csv",
@@ -74,6 +67,13 @@ RAW_FILES = {
     "reviews": "olist_order_reviews_dataset.csv",
 }
 
+# Defaults for missing dimension values.
+UNKNOWN_CATEGORY = "unknown"
+UNKNOWN_STATE = "NA"
+
+# Text tokens read as null in raw CSV.
+NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "None", "NaN", "nan", "n/a", "#N/A"]
+
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 DATE_COLUMN = "order_purchase_timestamp"
 
