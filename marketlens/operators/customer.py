@@ -157,6 +157,14 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
     return assigned.withColumn("segment", mapping[F.col("cluster")])
 
 
+def segment_profile(rfm: DataFrame) -> DataFrame:
+    """A-15: per segment (and cluster) mean recency, frequency, monetary and size."""
+    return rfm.groupBy("segment", "cluster").agg(
+        F.count(F.lit(1)).alias("customers"),
+        *[F.avg(c).alias(f"mean_{c}") for c in RFM_FEATURES],
+    )
+
+
 def segment_churn_heuristic(rfm: DataFrame) -> DataFrame:
     """A-16: per segment clip(100*(0.7*r/max r + 0.3*(1 - f/max f)), 0, 100)."""
     stats = (

@@ -108,10 +108,12 @@ QUERIES = {
     "forecast_ewma_by_category": lambda spark, sf: forecast.forecast_ewma(_fact(spark, sf), ["product_category"]),
     # Model-based (rows-only in the driver check; covered by tests)
     "rfm_segments": _rfm,  # M-01, M-02, A-15, W-04, J-08
+    "segment_profile": lambda spark, sf: customer.segment_profile(_rfm(spark, sf)),  # A-15
     "segment_churn_heuristic": lambda spark, sf: customer.segment_churn_heuristic(_rfm(spark, sf)),  # A-16, W-06
     "top_customers_segmented": lambda spark, sf: customer.top_customers(_rfm(spark, sf), 10),  # T-02
     "churn_metrics": lambda spark, sf: _churn(spark, sf).metrics,  # M-03..M-05
     "churn_drivers": lambda spark, sf: _churn(spark, sf).drivers,  # M-07, T-06
+    "churn_predictions": lambda spark, sf: _churn(spark, sf).predictions,  # M-04 scores for all customers
     "churn_by_segment": lambda spark, sf: churn.churn_by_segment(_churn(spark, sf).predictions, _rfm(spark, sf)),  # J-06, A-19
     "churn_scores_top100": lambda spark, sf: churn.churn_scores_top(_churn(spark, sf).predictions, _rfm(spark, sf), 100),  # T-05
     "forecast_seasonal": lambda spark, sf: forecast.forecast_seasonal(_fact(spark, sf)),  # M-09

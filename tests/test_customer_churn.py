@@ -64,6 +64,9 @@ def test_segments_ordered_by_score(spark):
     score = {s: -rr[s] + fr[s] + mr[s] for s in segs}
     ordered = [s for s in SEGMENT_LABELS]
     assert [score[s] for s in ordered] == sorted(score[s] for s in ordered)
+    profile = {r.segment: r for r in customer.segment_profile(rfm).collect()}
+    assert sum(r.customers for r in profile.values()) == 120
+    assert len({r.cluster for r in profile.values()}) == 4  # one cluster per segment
     heur = customer.segment_churn_heuristic(rfm).collect()
     assert len(heur) == 4 and all(0 <= r.churn_probability <= 100 for r in heur)
     top = customer.top_customers(rfm, 10).collect()
