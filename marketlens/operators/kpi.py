@@ -56,43 +56,51 @@ def kpi_summary(fact: DataFrame) -> DataFrame:
 
     The delta compares the last two *present* months (W-02) and is 0 with
     fewer than two months or a zero previous value. Display strings match the
-    dashboard tiles."""
-    totals = fact.agg(
-        money_sum(F.col("revenue")).alias("revenue"),
-        F.count_distinct("order_id").cast("double").alias("total_orders"),
-        F.count_distinct("customer_unique_id").cast("double").alias("customers"),
-    ).select(
-        "revenue",
-        "total_orders",
-        ratio_or_zero(F.col("revenue"), F.col("total_orders")).alias("aov"),
-        ratio_or_zero(F.col("revenue"), F.col("customers")).alias("clv"),
+    dashboard tiles.
+
+    One pass over the fact: ``rollup(month)`` yields the per-month rows and the
+    grand total (distinct counts are not additive, so the total cannot come
+    from the month rows); everything after works on that months+1-row table.
+    """
+    agg = (
+        fact.filter(F.col("month").isNotNull())
+        .rollup("month")
+        .agg(
+            money_sum(F.col("revenue")).alias("revenue"),
+            F.count_distinct("order_id").cast("double").alias("total_orders"),
+            F.count_distinct("customer_unique_id").cast("double").alias("customers"),
+            F.grouping_id().alias("gid"),
+        )
+        .withColumns({
+            "aov": ratio_or_zero(F.col("revenue"), F.col("total_orders")),
+            "clv": ratio_or_zero(F.col("revenue"), F.col("customers")),
+        })
     )
-    # per-month table is small (one row per month): a global window is fine here
-    monthly = monthly_kpis(fact).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("month"))))
-    last_two = monthly.filter(F.col("rn") <= 2).agg(
-        F.count(F.lit(1)).alias("n_months"),
-        *[F.max(F.when(F.col("rn") == 1, F.col(c))).cast("double").alias(f"cur_{c}") for _, c in KPI_METRICS],
-        *[F.max(F.when(F.col("rn") == 2, F.col(c))).cast("double").alias(f"prev_{c}") for _, c in KPI_METRICS],
+    # months+1 rows: a window over this small table is fine
+    rn = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("month")))
+    ranked = agg.withColumn("rn", F.when(F.col("gid") == 0, rn))
+    cols = [c for _, c in KPI_METRICS]
+    one = ranked.agg(
+        F.count(F.col("rn")).alias("n_months"),
+        *[F.max(F.when(F.col("gid") == 1, F.col(c))).alias(f"tot_{c}") for c in cols],
+        *[F.max(F.when(F.col("rn") == 1, F.col(c))).alias(f"cur_{c}") for c in cols],
+        *[F.max(F.when(F.col("rn") == 2, F.col(c))).alias(f"prev_{c}") for c in cols],
     )
 
     def delta(c: str):
         cur, prev = F.col(f"cur_{c}"), F.col(f"prev_{c}")
         return F.when((F.col("n_months") >= 2) & (prev != 0), (cur - prev) / prev * 100).otherwise(F.lit(0.0))
 
-    # one struct-valued scalar subquery (evaluated once) carries the totals
-    total = totals.select(F.struct(*[F.col(c).cast("double").alias(c) for _, c in KPI_METRICS])).scalar()
-    rows = []
-    for i, (label, c) in enumerate(KPI_METRICS):
-        value = total.getField(c)
-        rows.append(
-            F.struct(
-                F.lit(i + 1).alias("position"),
-                F.lit(label).alias("metric"),
-                value.alias("value"),
-                delta(c).alias("delta"),
-            )
-        )
-    out = last_two.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    def total(c: str):
+        # an empty fact has no grand-total row: every value is 0 then
+        return F.coalesce(F.col(f"tot_{c}"), F.lit(0.0))
+
+    rows = [
+        F.struct(F.lit(i + 1).alias("position"), F.lit(label).alias("metric"), total(c).alias("value"),
+                 delta(c).alias("delta"))
+        for i, (label, c) in enumerate(KPI_METRICS)
+    ]
+    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     display = F.format_number(F.col("value"), 0)
     return out.select(
         "position",
