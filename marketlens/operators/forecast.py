@@ -21,26 +21,43 @@ from marketlens.functions import money_sum
 HISTORY_ROWS = 24
 
 
-def monthly_revenue_series(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A-18: calendar-month revenue per series from its first to last month,
-    empty months as 0 (columns: keys..., ds, y)."""
-    keys = list(keys)
+def _month_step():
+    return F.make_ym_interval(F.lit(0), F.lit(1))
+
+
+def _series_maps(fact: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series: first/last month and a month -> revenue map.
+
+    Per-(series, month) partial aggregation first, then one grouping by the
+    series keys; the map holds at most one entry per month."""
     present = fact.filter(F.col("month").isNotNull())
     for k in keys:
         present = present.filter(F.col(k).isNotNull())
     monthly = present.groupBy(*keys, F.col("month").alias("ds")).agg(money_sum(F.col("revenue")).alias("y"))
-    span = monthly.groupBy(*keys).agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    calendar = span.select(
-        *keys, F.explode(F.sequence("first", "last", F.make_ym_interval(F.lit(0), F.lit(1)))).alias("ds")
+    return monthly.groupBy(*keys).agg(
+        F.min("ds").alias("first"),
+        F.max("ds").alias("last"),
+        F.map_from_entries(F.collect_list(F.struct("ds", "y"))).alias("by_month"),
     )
-    # both sides are per-(series, month): months x series rows, never raw facts
-    return calendar.join(monthly, [*keys, "ds"], "left").select(*keys, "ds", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def _series_arrays(series: DataFrame, keys: list[str], min_points: int) -> DataFrame:
-    grouped = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("pts"))
-    return grouped.filter(F.size("pts") >= min_points).select(
-        *keys, F.col("pts.ds").alias("ds_arr"), F.col("pts.y").alias("y_arr")
+def _calendar_values(ds: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col("by_month"), ds), F.lit(0.0))
+
+
+def monthly_revenue_series(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A-18: calendar-month revenue per series from its first to last month,
+    empty months as 0 (columns: keys..., ds, y)."""
+    keys = list(keys)
+    maps = _series_maps(fact, keys)
+    rows = maps.select(*keys, "by_month", F.explode(F.sequence("first", "last", _month_step())).alias("ds"))
+    return rows.select(*keys, "ds", _calendar_values(F.col("ds")).alias("y"))
+
+
+def _series_arrays(fact: DataFrame, keys: list[str], min_points: int) -> DataFrame:
+    maps = _series_maps(fact, keys).withColumn("ds_arr", F.sequence("first", "last", _month_step()))
+    return maps.filter(F.size("ds_arr") >= min_points).select(
+        *keys, "ds_arr", F.transform("ds_arr", _calendar_values).alias("y_arr")
     )
 
 
@@ -72,7 +89,7 @@ def forecast_ewma(fact: DataFrame, keys: Sequence[str] = (), periods: int = 1, s
     """
     keys = list(keys)
     alpha = 2.0 / (span + 1.0)
-    arrays = _series_arrays(monthly_revenue_series(fact, keys), keys, 3)
+    arrays = _series_arrays(fact, keys, 3)
     y, ds = F.col("y_arr"), F.col("ds_arr")
     arrays = arrays.withColumn("yhat_arr", ewma_array(y, alpha))
     resid_std = _sample_std(F.zip_with(y, F.col("yhat_arr"), lambda a, b: a - b))
