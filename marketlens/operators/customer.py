@@ -10,6 +10,7 @@ parameters and <= k-row cluster profiles reach the driver.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketlens.functions import clip, days_between, money_sum
+from marketlens.operators.kmeans import assign_clusters, multi_start_kmeans
 from marketlens.schemas import DATE_COLUMN, SEGMENT_LABELS
 from marketlens.session import checkpoint_dir
 
@@ -58,6 +60,11 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFr
     """M-01: zero mean, unit *population* std (constant columns -> 0).
 
     One aggregate gives every mean/std; they are attached as literals."""
+    return standardize_with_stats(df, columns, suffix)[0]
+
+
+def standardize_with_stats(df: DataFrame, columns: list[str], suffix: str = "_z"):
+    """``standardize`` plus {column: (mean, std)} of the input."""
     stats = df.agg(
         *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
     ).first()
@@ -66,7 +73,8 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFr
         mean, std = stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0
         scale = std if std > 0 else 1.0
         out[f"{c}{suffix}"] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(scale)
-    return df.withColumns(out)
+    moments = {c: (stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0) for c in columns}
+    return df.withColumns(out), moments
 
 
 def _clean(c: str):
@@ -74,12 +82,21 @@ def _clean(c: str):
     return F.coalesce(F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x), F.lit(0.0))
 
 
-def _fit_best_kmeans(data: DataFrame, k: int, restarts: int, seed: int, max_iter: int):
+def spark_kmeans_tol(rel_tol: float, mean_variance: float, k: int) -> float:
+    """Spark's K-Means stops when *every* centre moved less than ``tol``
+    (squared shift <= tol^2); the relative tolerance used here stops when the
+    *total* squared shift <= rel_tol * mean feature variance. Requiring each
+    of the k centres to move at most that budget / k is at least as strict."""
+    return math.sqrt(max(rel_tol * mean_variance, 0.0) / k)
+
+
+def _fit_best_kmeans(data: DataFrame, k: int, restarts: int, seed: int, max_iter: int, tol: float = 1e-4):
     """Fit K-Means once per seed and keep the lowest within-cluster cost
-    (Spark has no n_init); fits run concurrently as separate jobs."""
+    (Spark has no n_init); fits run concurrently as separate jobs. ``tol`` is
+    Spark's absolute per-centre tolerance."""
 
     def fit(s):
-        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-4, featuresCol="features", predictionCol="cluster").fit(data)
+        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster").fit(data)
         return model.summary.trainingCost, s, model
 
     seeds = [seed + i for i in range(restarts)]
@@ -105,13 +122,18 @@ def _assign_clusters(vec: DataFrame, centers: list[list[float]]) -> DataFrame:
 
 
 def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42, max_iter: int = 300,
-                 labels: list[str] | None = None) -> DataFrame:
+                 labels: list[str] | None = None, tol: float = 1e-4, engine: str = "multi_start") -> DataFrame:
     """M-02: RFM + K-Means on standardised features, labelled by cluster score.
 
     Score = -rank(mean recency) + rank(mean frequency) + rank(mean monetary)
     over the k cluster profiles (ranks 1..k, ties in profile order); ascending
     score maps to ``labels`` (Lost < At Risk < Loyal < Champions). With fewer
-    customers than k every row is cluster 0 / the last label.
+    customers than k every row is cluster 0 / the last label. ``tol`` is
+    relative: total squared centre shift <= tol x mean feature variance.
+
+    ``engine="multi_start"`` (default) advances all restarts in one pass per
+    step (``operators.kmeans``); ``engine="spark_ml"`` fits Spark ML K-Means
+    once per seed (k-means|| seeding) as concurrent jobs.
     """
     labels = labels or SEGMENT_LABELS
     if len(labels) != k:
@@ -124,18 +146,32 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
         return rfm.withColumns({"cluster": F.lit(0), "segment": F.lit(labels[-1])})
 
     clean = rfm.withColumns({c: _clean(c) for c in RFM_FEATURES})
-    scaled = standardize(clean, RFM_FEATURES)
-    vec = VectorAssembler(inputCols=[f"{c}_z" for c in RFM_FEATURES], outputCol="features").transform(scaled)
-    # checkpoint cuts the lineage (executor loss re-reads files, not the fact);
-    # persist keeps the one customer table all restarts iterate over.
-    vec = vec.select("customer_unique_id", *RFM_FEATURES, "features").checkpoint(eager=True)
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _fit_best_kmeans(vec, k, restarts, seed, max_iter)
-    finally:
-        vec.unpersist()
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    assigned = _assign_clusters(vec, centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
+    scaled, moments = standardize_with_stats(clean, RFM_FEATURES)
+    # scaled features have variance 1, or 0 for a constant feature
+    mean_variance = sum(1.0 if std > 0 else 0.0 for _, std in moments.values()) / len(RFM_FEATURES)
+    zcols = [f"{c}_z" for c in RFM_FEATURES]
+    if engine == "multi_start":
+        # checkpoint cuts the lineage (executor loss re-reads files, not the
+        # fact); persist keeps the one customer table every step scans.
+        table = scaled.select("customer_unique_id", *RFM_FEATURES, *zcols).checkpoint(eager=True)
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fit = multi_start_kmeans(table, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
+        finally:
+            table.unpersist()
+        assigned = assign_clusters(table, zcols, fit.centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
+    elif engine == "spark_ml":
+        vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scaled)
+        vec = vec.select("customer_unique_id", *RFM_FEATURES, "features").checkpoint(eager=True)
+        vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = _fit_best_kmeans(vec, k, restarts, seed, max_iter, spark_kmeans_tol(tol, mean_variance, k))
+        finally:
+            vec.unpersist()
+        centers = [list(map(float, c)) for c in model.clusterCenters()]
+        assigned = _assign_clusters(vec, centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
+    else:
+        raise ValueError(f"unknown K-Means engine: {engine}")
 
     # A-15 + W-04: k-row cluster profiles ranked on the driver (fitted parameters only).
     profile = assigned.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES]).collect()
