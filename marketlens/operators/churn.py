@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import exact_median, mean_days_between
-from marketlens.operators.customer import customer_aggregates, standardize
+from marketlens.operators.customer import customer_aggregates
 from marketlens.schemas import CHURN_FEATURES, DATE_COLUMN
 from marketlens.session import checkpoint_dir
 
@@ -93,26 +93,43 @@ def holdout_flag(id_col: str = "customer_unique_id", test_fraction: float = 0.25
 
 
 def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000) -> ChurnResult:
-    """M-04/M-05/M-07: fit, evaluate on the holdout, score every customer."""
+    """M-04/M-05/M-07: fit, evaluate on the holdout, score every customer.
+
+    Passes over the customer table: one aggregate (class balance, holdout
+    counts, means, population stds), the optimiser's iterations, one aggregate
+    for the holdout confusion counts and the driver importances, and the
+    AUC evaluation. ``features`` is normally the checkpointed customer table."""
     spark = features.sparkSession
-    checkpoint_dir(spark)
-    counts = {r["churned"]: r["customers"] for r in class_balance(features).collect()}  # <= 2 rows
-    if len(counts) < 2:
+    is_test = holdout_flag(seed=seed)
+    label = F.col("churned")
+    stats = features.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(label).alias("pos"),
+        F.sum(F.when(~is_test, 1).otherwise(0)).alias("n_train"),
+        F.sum(F.when(~is_test, label).otherwise(0)).alias("pos_train"),
+        *[F.avg(c).alias(f"m_{c}") for c in CHURN_FEATURES],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in CHURN_FEATURES],
+    ).first()
+    n, pos = stats["n"] or 0, stats["pos"] or 0
+    if n == 0 or pos in (0, n):  # empty or a single class
         return _degenerate(features)
-
-    scaled = standardize(features, CHURN_FEATURES)
-    zcols = [f"{c}_z" for c in CHURN_FEATURES]
-    data = VectorAssembler(inputCols=zcols, outputCol="features").transform(scaled)
-    data = data.withColumn("is_test", holdout_flag(seed=seed)).checkpoint(eager=True)
-
-    train = data.filter(~F.col("is_test"))
-    train_counts = {r["churned"]: r["n"] for r in train.groupBy("churned").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(train_counts) < 2:
+    n_train, pos_train = stats["n_train"] or 0, stats["pos_train"] or 0
+    if pos_train in (0, n_train):  # a class missing from the training split
         return _degenerate(features)
-    n_train = sum(train_counts.values())
-    weight = F.create_map(*[x for c, m in train_counts.items() for x in (F.lit(c), F.lit(n_train / (2.0 * m)))])
-    train = train.withColumn("w", weight[F.col("churned")])
 
+    # M-01 with the moments from the aggregate above (constant column -> 0)
+    zcols = [f"{c}_z" for c in CHURN_FEATURES]
+    scaled = {}
+    for c, z in zip(CHURN_FEATURES, zcols):
+        mean, std = stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0
+        scaled[z] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std if std > 0 else 1.0)
+    data = features.withColumns(scaled).withColumn("is_test", is_test)
+    data = VectorAssembler(inputCols=zcols, outputCol="features").transform(data)
+
+    # balanced class weights over the training rows (they sum to n_train)
+    w_pos = n_train / (2.0 * pos_train)
+    w_neg = n_train / (2.0 * (n_train - pos_train))
+    train = data.filter(~F.col("is_test")).withColumn("w", F.when(label == 1, w_pos).otherwise(w_neg))
     lr = LogisticRegression(
         featuresCol="features", labelCol="churned", weightCol="w", regParam=1.0 / n_train, elasticNetParam=0.0,
         standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-6,
@@ -126,31 +143,41 @@ def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000)
         margin = margin + F.lit(w) * F.col(z)
     scored = data.withColumn("churn_probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
 
-    test = scored.filter(F.col("is_test"))
-    conf = test.agg(
-        F.sum(((F.col("churn_probability") >= 0.5) & (F.col("churned") == 1)).cast("long")).alias("tp"),
-        F.sum(((F.col("churn_probability") >= 0.5) & (F.col("churned") == 0)).cast("long")).alias("fp"),
-        F.sum(((F.col("churn_probability") < 0.5) & (F.col("churned") == 1)).cast("long")).alias("fn"),
-        F.count_distinct("churned").alias("classes"),
+    prob, test = F.col("churn_probability"), F.col("is_test")
+    summary = scored.agg(
+        F.sum((test & (prob >= 0.5) & (label == 1)).cast("long")).alias("tp"),
+        F.sum((test & (prob >= 0.5) & (label == 0)).cast("long")).alias("fp"),
+        F.sum((test & (prob < 0.5) & (label == 1)).cast("long")).alias("fn"),
+        F.sum((test & (label == 1)).cast("long")).alias("test_pos"),
+        F.sum(test.cast("long")).alias("test_n"),
+        # M-07: mean |linear SHAP| = avg |coef_j * (z_j - mean z_j)|; standardised
+        # columns have mean 0, so the background mean drops out
+        *[F.avg(F.abs(F.lit(coef[i]) * F.col(z))).alias(f"imp_{z}") for i, z in enumerate(zcols)],
     ).first()
-    tp, fp, fn = conf["tp"] or 0, conf["fp"] or 0, conf["fn"] or 0
+    tp, fp, fn = summary["tp"] or 0, summary["fp"] or 0, summary["fn"] or 0
     f1 = 2.0 * tp / (2 * tp + fp + fn) if (2 * tp + fp + fn) else 0.0
-    if (conf["classes"] or 0) > 1:
+    test_pos, test_n = summary["test_pos"] or 0, summary["test_n"] or 0
+    if 0 < test_pos < test_n:
         evaluator = BinaryClassificationEvaluator(
             rawPredictionCol="churn_probability", labelCol="churned", metricName="areaUnderROC", numBins=0
         )
-        auc = evaluator.evaluate(test.select("churn_probability", F.col("churned").cast("double").alias("churned")))
+        auc = evaluator.evaluate(
+            scored.filter(test).select("churn_probability", label.cast("double").alias("churned"))
+        )
     else:
         auc = 0.0
 
-    drivers = feature_importance(scored, coef)
+    rows = [(f, float(summary[f"imp_{z}"] or 0.0), "mean_abs_shap") for f, z in zip(CHURN_FEATURES, zcols)]
+    rows.sort(key=lambda r: (-r[1], r[0]))
+    drivers = spark.createDataFrame(rows[:5], "feature string, importance double, source string")
     predictions = scored.select(*features.columns, "churn_probability")
     return ChurnResult(_metrics(spark, f1, auc), predictions, drivers, coef, intercept)
 
 
 def feature_importance(scored: DataFrame, coef: list[float], top: int = 5) -> DataFrame:
-    """M-07 / T-06: mean |linear SHAP| per feature, exact closed form
-    ``avg(|coef_j * (x_j - mean_j)|)`` over all customers, in one aggregate."""
+    """M-07 / T-06 on any scored table with standardised ``<feature>_z``
+    columns: mean |linear SHAP| ``avg(|coef_j * (x_j - mean_j)|)`` (two passes:
+    means, then the averages)."""
     zcols = [f"{c}_z" for c in CHURN_FEATURES]
     means = scored.agg(*[F.avg(z).alias(z) for z in zcols]).first()
     imp = scored.agg(
