@@ -21,8 +21,12 @@ CORE_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "marketlens") -> SparkSession:
-    """Build (or reuse) a local session with the job settings applied."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "marketlens",
+                  event_log_dir: str | None = None) -> SparkSession:
+    """Build (or reuse) a local session with the job settings applied.
+
+    ``event_log_dir`` turns on Spark's event log there (stage and task times
+    for later reading; the web UI stays off)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -31,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MARKETLENS_DRIVER_MEMORY", "16g"))
     )
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     for key, value in CORE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -65,3 +65,18 @@ def test_marts(spark, tmp_path):
     filtered = build_marts(fact, str(tmp_path / "marts_f"), "2020-01-01", "2020-02-28", "toys", "SP",
                            marts=("executive", "product"))
     assert filtered["executive/category_revenue_top10"] == 1
+
+
+def test_parquet_raw_source(spark, tmp_path):
+    from marketlens.sources.raw import load_raw
+
+    raw = _raw(spark)
+    d = tmp_path / "rawpq"
+    for name, df in raw.items():
+        df.write.parquet(str(d / f"{name}.parquet"))
+    loaded = load_raw(spark, str(d), fmt="parquet")
+    res = run_ingest(spark, str(tmp_path / "wh"), raw=loaded)
+    assert res.status == "success" and res.rows_per_table["fact_orders"] == 40
+    import pytest as _pytest
+    with _pytest.raises(FileNotFoundError):
+        load_raw(spark, str(tmp_path / "none"), fmt="parquet")
