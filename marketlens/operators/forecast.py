@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.functions import money_sum
+from marketlens.session import ship_package
 
 HISTORY_ROWS = 24
 
@@ -177,6 +178,7 @@ def forecast_seasonal(fact: DataFrame, keys: Sequence[str] = (), periods: int =
     Each ``applyInPandas`` group is one monthly series (hundreds of rows),
     never raw facts; Spark spreads the series over executors."""
     keys = list(keys)
+    ship_package(fact.sparkSession)
     series = monthly_revenue_series(fact, keys)
     fields = [series.schema[k] for k in keys]
     schema = T.StructType(

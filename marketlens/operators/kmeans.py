@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.session import ship_package
+
 def _sqdist(cols: list[Column], center: list[float]) -> Column:
     total = None
     for x, c in zip(cols, center):
@@ -126,6 +128,7 @@ def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k
                        seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
                        mean_variance: float = 1.0) -> KMeansFit:
     """Best of ``restarts`` k-means++ / Lloyd fits; ``data`` should be persisted."""
+    ship_package(data.sparkSession)
     cols = [F.col(c).cast("double") for c in feature_cols]
     dims = len(feature_cols)
     seeded = data.select(*[c.alias(f"x{j}") for j, c in enumerate(cols)], F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -73,3 +75,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="marketlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``marketlens`` importable in Python workers (once per context).
+
+    Grouped-map / map-in-pandas steps run functions of this package on the
+    executors; like ``--py-files``, the package sources are zipped and added
+    with ``addPyFile`` so workers import the same code as the driver."""
+    sc = spark.sparkContext
+    with _SHIP_LOCK:
+        if sc.applicationId in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        fd, path = tempfile.mkstemp(prefix="marketlens-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            for dirpath, dirnames, files in os.walk(pkg_dir):
+                dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(dirpath, name)
+                        zf.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)

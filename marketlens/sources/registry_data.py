@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators.prepare import prepare_fact
 from marketlens.operators.star import build_star
-from marketlens.session import apply_core_conf, checkpoint_dir
+from marketlens.session import apply_core_conf, checkpoint_dir, ship_package
 from marketlens.sources.testdata import raw_tables
 from marketlens.sources.warehouse import read_fact, read_table, write_star
 
@@ -27,6 +27,7 @@ _WAREHOUSES: dict[tuple[str, str], str] = {}
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> str:
     apply_core_conf(spark)
+    ship_package(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
         path = _WAREHOUSES.get(key)
