@@ -16,4 +16,4 @@ from marketlens.functions.columns import (  # noqa: F401
     to_long,
     to_timestamp_ntz,
 )
-from marketlens.functions.quantiles import exact_median  # noqa: F401
+from marketlens.functions.quantiles import exact_median, grouped_quantiles  # noqa: F401

@@ -76,3 +76,124 @@ def exact_median(
                 continue
         acc *= 4  # bracket missed or made no progress: tighten the sketch
     raise RuntimeError("exact_median did not converge")
+
+
+def _bucket(v, lo, hi, buckets: int):
+    """Equal-width bucket of ``v`` in [lo, hi]; monotone in ``v``, so the rows
+    of one bucket are exactly those between its smallest and largest value."""
+    width = hi - lo
+    raw = F.least(F.floor((v - lo) / width * F.lit(float(buckets))), F.lit(buckets - 1))
+    return F.when(width > 0, raw).otherwise(F.lit(0)).cast("int")
+
+
+def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 16384,
+                      max_candidates: int = 200_000, max_rounds: int = 64,
+                      broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Exact per-group quantiles with linear interpolation (pandas' default).
+
+    Returns ``key, n, min, max, q0 .. q{len(probs)-1}`` over the non-null,
+    non-NaN values. The quantile at ``p`` is read from the order statistics
+    at ranks floor(h) and ceil(h), h = (n - 1) p, interpolated by h's fraction.
+
+    No group is ever held by one task, even when one key holds a third of
+    the rows: the order statistics are found by histogram narrowing. Each
+    round, every still-open target rank has a value range (one per group to
+    start); one partial aggregate counts the rows of each range into
+    ``buckets`` equal-width buckets, and a window over at most ``buckets``
+    rows per range finds the bucket holding the rank, which becomes the next
+    range. Ranges of one group are disjoint, so a row joins at most one.
+    Once a range holds at most ``max_candidates`` rows (or one value), its
+    distinct values are ranked exactly by a window of bounded size. Small
+    per-round target tables are checkpointed to the shared checkpoint folder;
+    the driver only reads how many targets are still open. The range table is
+    broadcast only when its counted size is at most ``broadcast_rows`` rows;
+    beyond that it is a shuffle join (AQE splits a hot group's partition).
+    """
+    from pyspark.sql import Window
+
+    from marketlens.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+
+    def materialise(small: DataFrame) -> DataFrame:
+        # cache first so the checkpoint write reuses the computed rows
+        # instead of running the scan a second time
+        cached = small.persist()
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+
+    v = F.col(value).cast("double")
+    data = df.select(F.col(key).alias("_k"), v.alias("_v")).filter(
+        F.col("_k").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")
+    )
+    stats = (
+        data.groupBy("_k")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    )
+    stats = materialise(stats)
+    h = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    ranks = []
+    for i, hi in enumerate(h):
+        ranks += [F.struct(F.lit(2 * i).alias("t"), F.floor(hi).cast("long").alias("rank")),
+                  F.struct(F.lit(2 * i + 1).alias("t"), F.ceil(hi).cast("long").alias("rank"))]
+    # open targets: (group, target, rank within the range, range bounds, rows in range)
+    open_t = stats.select(
+        "_k", F.explode(F.array(*ranks)).alias("x"), F.col("min").alias("lo"), F.col("max").alias("hi"), "n"
+    ).select("_k", "x.t", F.col("x.rank").alias("rank"), "lo", "hi", F.col("n").alias("rows"))
+    found = []
+    range_keys = ["_k", "lo", "hi"]
+
+    def in_range(targets: DataFrame, count: int) -> DataFrame:
+        # fresh column names, so joining the result back to the targets is unambiguous
+        ranges = targets.select(F.col("_k").alias("_rk"), F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi")).distinct()
+        if count <= broadcast_rows:  # size checked: at most ``count`` ranges
+            ranges = F.broadcast(ranges)
+        cond = (F.col("_k") == F.col("_rk")) & F.col("_v").between(F.col("_rlo"), F.col("_rhi"))
+        return data.join(ranges, cond).select("_k", "_v", F.col("_rlo").alias("lo"), F.col("_rhi").alias("hi"))
+
+    for _ in range(max_rounds):
+        is_final = (F.col("rows") <= max_candidates) | (F.col("lo") == F.col("hi"))
+        final, narrow = open_t.filter(is_final), open_t.filter(~is_final)
+        sizes = open_t.agg(F.count_if(is_final).alias("f"), F.count_if(~is_final).alias("o")).first()
+        if sizes["f"]:
+            # exact ranking of the (bounded) distinct values of each small range
+            vc = in_range(final, sizes["f"]).groupBy(*range_keys, "_v").agg(F.count(F.lit(1)).alias("c"))
+            w = Window.partitionBy(*range_keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            vc = vc.withColumn("cum", F.sum("c").over(w))
+            hit = final.join(vc, range_keys).filter((F.col("cum") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
+            found.append(materialise(hit.select("_k", "t", F.col("_v").alias("v"))))
+        if not sizes["o"]:
+            break
+        hist = (
+            in_range(narrow, sizes["o"])
+            .withColumn("b", _bucket(F.col("_v"), F.col("lo"), F.col("hi"), buckets))
+            .groupBy(*range_keys, "b")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))
+        )
+        w = Window.partitionBy(*range_keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = hist.withColumn("cum", F.sum("c").over(w))
+        open_t = materialise(
+            narrow.drop("rows")
+            .join(hist, range_keys)
+            .filter((F.col("cum") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
+            .select("_k", "t", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"),
+                    F.col("bmin").alias("lo"), F.col("bmax").alias("hi"), F.col("c").alias("rows"))
+        )
+    else:
+        raise RuntimeError("grouped_quantiles did not converge")
+
+    if not found:  # no group has a value
+        return stats.select(F.col("_k").alias(key), "n", "min", "max",
+                            *[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
+    values = found[0]
+    for part in found[1:]:
+        values = values.unionByName(part)
+    picked = values.groupBy("_k").agg(*[F.first(F.when(F.col("t") == t, F.col("v")), ignorenulls=True).alias(f"_o{t}")
+                                        for t in range(2 * len(probs))])
+    out = stats.join(picked, "_k", "left")
+    cols = []
+    for i, hi in enumerate(h):
+        frac = hi - F.floor(hi)
+        cols.append((F.col(f"_o{2 * i}") * (1 - frac) + F.col(f"_o{2 * i + 1}") * frac).alias(f"q{i}"))
+    return out.select(F.col("_k").alias(key), "n", "min", "max", *cols)

@@ -81,3 +81,25 @@ def test_skewed_star_matches_brute_force(spark, skew_conf):
     assert by_cat == pytest.approx(exp_cat, abs=1e-9)
     sellers = {r.seller_id: r.orders for r in product.seller_leaderboard(prepared, 15).collect()}
     assert sellers == exp.groupby("seller_id")["order_id"].nunique().to_dict()
+
+
+def test_skewed_box_statistics_match_brute_force(spark, skew_conf):
+    """A-10 when one state holds most rows: exact quartiles and whiskers."""
+    import numpy as np
+
+    rows = _rows()
+    prepared = prepare_fact(build_star(raw_frames(spark, *rows))["fact_orders"])
+    got = {r.customer_state: r for r in product.delivery_time_by_state(prepared).collect()}
+    exp = _brute(*rows)
+    days = (pd.to_datetime(exp["order_delivered_customer_date"]) - pd.to_datetime(exp["order_purchase_timestamp"]))
+    exp["days"] = days.dt.total_seconds() / 86400
+    assert set(got) == set(exp["customer_state"].dropna())
+    for state, g in exp.dropna(subset=["customer_state", "days"]).groupby("customer_state"):
+        v = g["days"].to_numpy()
+        q1, med, q3 = (float(np.quantile(v, p)) for p in (0.25, 0.5, 0.75))
+        iqr = q3 - q1
+        r = got[state]
+        assert r["count"] == len(v)
+        assert (r["min"], r["q1"], r["median"], r["q3"], r["max"]) == pytest.approx((v.min(), q1, med, q3, v.max()), abs=1e-9)
+        assert r["lower_whisker"] == pytest.approx(v[v >= q1 - 1.5 * iqr].min(), abs=1e-9)
+        assert r["upper_whisker"] == pytest.approx(v[v <= q3 + 1.5 * iqr].max(), abs=1e-9)
