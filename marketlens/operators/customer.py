@@ -30,7 +30,7 @@ RFM_FEATURES = ["recency", "frequency", "monetary"]
 
 
 def snapshot_date(fact: DataFrame):
-    """Scalar subquery: latest purchase + 1 day (evaluated once, no join)."""
+    """J-09 scalar subquery: latest purchase + 1 day (evaluated once, no join)."""
     return fact.agg(F.max(DATE_COLUMN) + F.make_dt_interval(F.lit(1))).scalar()
 
 

@@ -124,7 +124,7 @@ def category_revenue_top(fact: DataFrame, n: int = 10) -> DataFrame:
 
 
 def order_status_funnel(fact: DataFrame) -> DataFrame:
-    """A-05: status -> distinct orders, descending."""
+    """A-05: status -> distinct orders, descending (T-07 presentation sort)."""
     return (
         fact.filter(F.col("order_status").isNotNull())
         .groupBy("order_status")

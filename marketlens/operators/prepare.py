@@ -42,6 +42,7 @@ def prepare_fact(fact: DataFrame) -> DataFrame:
     )
     data = fact.withColumns(cols)
     ts = F.col(DATE_COLUMN)
+    # F-05: rows without a purchase date are dropped
     return data.withColumns({"month": month_start(ts), "order_date": F.to_date(ts)}).filter(ts.isNotNull())
 
 
@@ -97,6 +98,7 @@ def filter_domains(fact: DataFrame) -> DataFrame:
             )
         ).alias("p")
     ).select("p.*")
+    # U-02 distinct values (with their date bounds) per control
     per_value = pairs.groupBy("control", "value").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     # one row per distinct category/state: small, so a global window is fine
     every = Window.partitionBy()
