@@ -111,17 +111,7 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], b
     """
     from pyspark.sql import Window
 
-    from marketlens.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-
-    def materialise(small: DataFrame) -> DataFrame:
-        # cache first so the checkpoint write reuses the computed rows
-        # instead of running the scan a second time
-        cached = small.persist()
-        out = cached.checkpoint(eager=True)
-        cached.unpersist()
-        return out
+    from marketlens.session import checkpoint_table as materialise
 
     v = F.col(value).cast("double")
     data = df.select(F.col(key).alias("_k"), v.alias("_v")).filter(

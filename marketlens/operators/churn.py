@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import exact_median, mean_days_between
 from marketlens.operators.customer import customer_aggregates
 from marketlens.schemas import CHURN_FEATURES, DATE_COLUMN
-from marketlens.session import checkpoint_dir
+from marketlens.session import checkpoint_dir, checkpoint_table
 
 
 def customer_features(fact: DataFrame, churn_days: int = 120, checkpoint: bool = True) -> DataFrame:
@@ -37,8 +37,7 @@ def customer_features(fact: DataFrame, churn_days: int = 120, checkpoint: bool =
         ],
     )
     if checkpoint:
-        checkpoint_dir(fact.sparkSession)
-        base = base.checkpoint(eager=True)
+        base = checkpoint_table(base)
     med_review = exact_median(base, "avg_review_score")
     med_delivery = exact_median(base, "avg_delivery_days")
 

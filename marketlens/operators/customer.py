@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from marketlens.functions import clip, days_between, money_sum
 from marketlens.operators.kmeans import assign_clusters, multi_start_kmeans
 from marketlens.schemas import DATE_COLUMN, SEGMENT_LABELS
-from marketlens.session import checkpoint_dir
+from marketlens.session import checkpoint_dir, checkpoint_table
 
 RFM_FEATURES = ["recency", "frequency", "monetary"]
 
@@ -140,7 +140,7 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
         raise ValueError(f"need exactly k={k} segment labels, got {len(labels)}")
     spark = fact.sparkSession
     checkpoint_dir(spark)
-    rfm = rfm_base(fact).checkpoint(eager=True)
+    rfm = checkpoint_table(rfm_base(fact))
     n = rfm.count()
     if n < k:
         return rfm.withColumns({"cluster": F.lit(0), "segment": F.lit(labels[-1])})
@@ -153,7 +153,7 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
     if engine == "multi_start":
         # checkpoint cuts the lineage (executor loss re-reads files, not the
         # fact); persist keeps the one customer table every step scans.
-        table = scaled.select("customer_unique_id", *RFM_FEATURES, *zcols).checkpoint(eager=True)
+        table = checkpoint_table(scaled.select("customer_unique_id", *RFM_FEATURES, *zcols))
         table = table.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fit = multi_start_kmeans(table, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
@@ -162,7 +162,7 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
         assigned = assign_clusters(table, zcols, fit.centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
     elif engine == "spark_ml":
         vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scaled)
-        vec = vec.select("customer_unique_id", *RFM_FEATURES, "features").checkpoint(eager=True)
+        vec = checkpoint_table(vec.select("customer_unique_id", *RFM_FEATURES, "features"))
         vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model = _fit_best_kmeans(vec, k, restarts, seed, max_iter, spark_kmeans_tol(tol, mean_variance, k))

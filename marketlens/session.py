@@ -7,7 +7,7 @@ import tempfile
 import threading
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is small), coalesces small shuffle
@@ -77,6 +77,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def checkpoint_table(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint into the shared checkpoint folder.
+
+    The rows are cached while the checkpoint is written: a reliable
+    checkpoint of an uncached plan runs the plan twice (once for the action,
+    once to write the files)."""
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
