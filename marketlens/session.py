@@ -99,9 +99,14 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``marketlens`` importable in Python workers (once per context).
 
     Grouped-map / map-in-pandas steps run functions of this package on the
-    executors; like ``--py-files``, the package sources are zipped and added
-    with ``addPyFile`` so workers import the same code as the driver."""
+    executors. In local mode (tests, bench) the package sources are zipped
+    and added with ``addPyFile``, so workers started from any working
+    directory import the same code as the driver. On a cluster the package
+    is deployed like any PySpark library (installed on the nodes or passed
+    with ``--py-files``), so nothing is written to machine-local folders."""
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
     with _SHIP_LOCK:
         if sc.applicationId in _SHIPPED:
             return
