@@ -15,6 +15,7 @@ from pyspark.sql import Window
 
 from marketlens.functions import month_index, month_start
 from marketlens.schemas import DATE_COLUMN
+from marketlens.session import checkpoint_table
 
 
 def cohort_counts(fact: DataFrame) -> DataFrame:
@@ -48,9 +49,12 @@ def cohort_retention(fact: DataFrame) -> DataFrame:
 
 def cohort_matrix(fact: DataFrame, periods: list[int] | None = None) -> DataFrame:
     """R-01: wide matrix, one row per cohort, one column per period (as text),
-    missing cells 0. Pass ``periods`` to skip the job that finds them."""
+    missing cells 0. Pass ``periods`` to skip the job that finds them;
+    otherwise the long table (at most months x months rows) is checkpointed
+    once, so finding the periods and pivoting do not scan the fact twice."""
     long = cohort_retention(fact)
     if periods is None:
+        long = checkpoint_table(long)
         periods = sorted(r[0] for r in long.select("period_number").distinct().collect())  # <= months
     if not periods:
         return long.select("cohort_month")
