@@ -83,7 +83,10 @@ def _bucket(v, lo, hi, buckets: int):
     of one bucket are exactly those between its smallest and largest value."""
     width = hi - lo
     raw = F.least(F.floor((v - lo) / width * F.lit(float(buckets))), F.lit(buckets - 1))
-    return F.when(width > 0, raw).otherwise(F.lit(0)).cast("int")
+    inf = float("inf")
+    # an infinite range (values at -inf/+inf): -inf, finite, +inf as three buckets
+    unbounded = F.when(v == -inf, F.lit(0)).when(v == inf, F.lit(buckets - 1)).otherwise(F.lit(buckets // 2))
+    return (F.when(width == inf, unbounded).when(width > 0, raw).otherwise(F.lit(0))).cast("int")
 
 
 def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 16384,

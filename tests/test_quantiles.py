@@ -13,10 +13,19 @@ def _brute(groups):
     for k, vals in groups.items():
         v = np.array([x for x in vals if x is not None and not np.isnan(x)], dtype=float)
         if len(v):
-            out[k] = (len(v), v.min(), v.max(), *[float(np.quantile(v, p)) for p in PROBS])
+            out[k] = (len(v), v.min(), v.max(), *[_interp(np.sort(v), p) for p in PROBS])
     return out
 
 
+def _interp(s, p):
+    """Linear interpolation between the order statistics at floor/ceil of
+    (n-1)p, written as lo*(1-f) + hi*f (equal to np.quantile for finite data;
+    with infinities the engines' interpolation conventions differ)."""
+    h = (len(s) - 1) * p
+    lo, hi, f = s[int(np.floor(h))], s[int(np.ceil(h))], h - np.floor(h)
+    return float(lo * (1 - f) + hi * f)
+
+
 def _frame(spark, groups):
     rows = [(k, None if x is None else float(x)) for k, vals in groups.items() for x in vals]
     return spark.createDataFrame(rows, "k string, x double")
@@ -29,7 +38,10 @@ def _check(spark, groups, **kw):
     assert set(got) == set(want)
     for k in want:
         assert got[k][0] == want[k][0]
-        assert got[k][1:] == pytest.approx(want[k][1:], rel=1e-12, abs=1e-12)
+        assert got[k][1:] == pytest.approx(want[k][1:], rel=1e-12, abs=1e-12, nan_ok=True)
+        if k != "inf":
+            v = [x for x in groups[k] if x is not None and not np.isnan(x)]
+            assert got[k][3:] == pytest.approx([float(np.quantile(v, p)) for p in PROBS], rel=1e-12, abs=1e-12)
 
 
 def test_hot_group_many_rounds(spark):
@@ -41,6 +53,7 @@ def test_hot_group_many_rounds(spark):
         "one": [42.0],
         "same": [7.0] * 200,
         "gaps": [None, float("nan"), -1.0, 1e12, 3.0],
+        "inf": [float("-inf"), 1.0, 2.0, 2.5, 3.0, float("inf"), float("inf")] * 5,
     }
     # tiny buckets / candidate limit force several narrowing rounds
     _check(spark, groups, buckets=4, max_candidates=16)
