@@ -19,27 +19,35 @@ from marketlens.operators.prepare import prepare_fact
 from marketlens.operators.star import build_star
 from marketlens.session import apply_core_conf, checkpoint_dir, ship_package
 from marketlens.sources.testdata import raw_tables
-from marketlens.sources.warehouse import read_fact, read_table, write_star
+from marketlens.sources.warehouse import read_fact, read_table, stored_schemas, write_star
 
 _LOCK = threading.RLock()
-_WAREHOUSES: dict[tuple[str, str], str] = {}
+_WAREHOUSES: dict[tuple[str, str], tuple[str, dict]] = {}
 
 
-def warehouse_for(spark: SparkSession, sf_dir: str) -> str:
+def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+    """(path, stored schemas) of this session's star for ``sf_dir``; the
+    schemas are kept from the write so reads skip Parquet schema inference."""
     apply_core_conf(spark)
     ship_package(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
-        path = _WAREHOUSES.get(key)
-        if path is None:
+        entry = _WAREHOUSES.get(key)
+        if entry is None:
             path = f"{checkpoint_dir(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex[:12]}"
-            write_star(build_star(raw_tables(spark, sf_dir)), path)
-            _WAREHOUSES[key] = path
-    return path
+            star = build_star(raw_tables(spark, sf_dir))
+            write_star(star, path)
+            entry = _WAREHOUSES[key] = (path, stored_schemas(star))
+    return entry
+
+
+def warehouse_for(spark: SparkSession, sf_dir: str) -> str:
+    return _warehouse(spark, sf_dir)[0]
 
 
 def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, warehouse_for(spark, sf_dir), name)
+    path, schemas = _warehouse(spark, sf_dir)
+    return read_table(spark, path, name, schemas[name])
 
 
 _FACTS: dict[tuple[str, str], DataFrame] = {}
@@ -50,9 +58,11 @@ def prepared_fact(spark: SparkSession, sf_dir: str, start=None, end=None, catego
     """Prepared fact; the unfiltered read is kept per session so its file
     index (partition listing) is built once, not once per query."""
     if start is not None or end is not None or category != "All" or state != "All":
-        return prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir), start, end, category, state))
+        path, schemas = _warehouse(spark, sf_dir)
+        return prepare_fact(read_fact(spark, path, start, end, category, state, schemas["fact_orders"]))
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
         if key not in _FACTS:
-            _FACTS[key] = prepare_fact(read_fact(spark, warehouse_for(spark, sf_dir)))
+            path, schemas = _warehouse(spark, sf_dir)
+            _FACTS[key] = prepare_fact(read_fact(spark, path, schema=schemas["fact_orders"]))
         return _FACTS[key]

@@ -16,6 +16,7 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.operators.prepare import _day, date_predicate
 from marketlens.schemas import DATE_COLUMN, PIPELINE_RUNS_SCHEMA, UNKNOWN_CATEGORY, UNKNOWN_STATE
@@ -71,9 +72,22 @@ def read_table_jdbc(spark: SparkSession, url: str, name: str, properties: dict |
     return reader.load()
 
 
-def read_table(spark: SparkSession, warehouse_dir: str, name: str) -> DataFrame:
-    """S-03: read one stored star table."""
-    df = spark.read.parquet(_path(warehouse_dir, name))
+def stored_schemas(tables: dict[str, DataFrame]) -> dict[str, T.StructType]:
+    """Schemas the star tables have on disk (the fact with its DATE partition
+    column), for reads that skip Parquet schema inference."""
+    out = {name: df.schema for name, df in tables.items()}
+    if "fact_orders" in out:
+        out["fact_orders"] = T.StructType(out["fact_orders"].fields + [T.StructField(PARTITION_COLUMN, T.DateType(), True)])
+    return out
+
+
+def _reader(spark: SparkSession, schema: T.StructType | None):
+    return spark.read.schema(schema) if schema is not None else spark.read
+
+
+def read_table(spark: SparkSession, warehouse_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """S-03: read one stored star table (``schema``: its known stored schema)."""
+    df = _reader(spark, schema).parquet(_path(warehouse_dir, name))
     return df.drop(PARTITION_COLUMN) if PARTITION_COLUMN in df.columns else df
 
 
@@ -85,10 +99,10 @@ def _equals_with_default(column: str, value: str, default: str):
 
 
 def read_fact(spark: SparkSession, warehouse_dir: str, start=None, end=None,
-              category: str = "All", state: str = "All") -> DataFrame:
+              category: str = "All", state: str = "All", schema: T.StructType | None = None) -> DataFrame:
     """S-03 with pruning: a date range also bounds ``order_month`` (partition
     pruning); date, category and state predicates are pushed to Parquet."""
-    df = spark.read.parquet(_path(warehouse_dir, "fact_orders"))
+    df = _reader(spark, schema).parquet(_path(warehouse_dir, "fact_orders"))
     if category not in (None, "All"):
         df = df.filter(_equals_with_default("product_category", category, UNKNOWN_CATEGORY))
     if state not in (None, "All"):
