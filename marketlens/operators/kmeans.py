@@ -15,7 +15,9 @@ restarts advance together, so each step is ONE pass for every restart:
   which a small aggregate merges;
 * a restart stops when its total squared centre shift is at most
   ``tol x mean feature variance`` (empty clusters keep their centre);
-* the restart with the lowest within-cluster sum of squares wins.
+* the restart with the lowest within-cluster sum of squares wins; costs
+  within ``TIE_TOLERANCE`` (relative) of the lowest count as ties, won by
+  the earliest restart, so the pick does not depend on partitioning.
 
 Random numbers come from hashing a row key with the seed, so a recomputed
 partition after an executor loss draws the same values. Only restarts x k
@@ -24,6 +26,7 @@ centre summaries travel to the driver per step.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +36,10 @@ from pyspark.sql import functions as F
 
 from marketlens.session import ship_package
 
+# Relative cost difference treated as summation rounding between restarts.
+TIE_TOLERANCE = 1e-9
+
+
 def _sqdist(cols: list[Column], center: list[float]) -> Column:
     total = None
     for x, c in zip(cols, center):
@@ -126,9 +133,14 @@ def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int) -> l
 
 def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k: int, restarts: int = 20,
                        seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                       mean_variance: float = 1.0) -> KMeansFit:
-    """Best of ``restarts`` k-means++ / Lloyd fits; ``data`` should be persisted."""
+                       mean_variance: float = 1.0, direct_merge_rows: int = 50_000) -> KMeansFit:
+    """Best of ``restarts`` k-means++ / Lloyd fits; ``data`` should be persisted.
+
+    Per-partition partial sums are merged by a Spark aggregate; when there
+    are at most ``direct_merge_rows`` of them (partitions x restarts x k) the
+    driver merges them directly instead."""
     ship_package(data.sparkSession)
+    n_parts = data.rdd.getNumPartitions()
     cols = [F.col(c).cast("double") for c in feature_cols]
     dims = len(feature_cols)
     seeded = data.select(*[c.alias(f"x{j}") for j, c in enumerate(cols)], F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"))
@@ -171,7 +183,20 @@ def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k
             yield pd.DataFrame(rows, columns=["r", "c", "n", "sse", *[f"s{j}" for j in range(n_d)]])
 
         features = data.select(*[c.alias(f"x{j}") for j, c in enumerate(cols)])
-        merged = features.mapInPandas(partials, schema).groupBy("r", "c").agg(
+        partial = features.mapInPandas(partials, schema)
+        if n_parts * len(live) * k <= direct_merge_rows:
+            # few partitions: their partial rows (partitions x restarts x k,
+            # independent of the row count) are merged here with exactly
+            # rounded sums, saving the aggregate stage per step
+            groups: dict = {}
+            for row in partial.collect():
+                groups.setdefault((row["r"], row["c"]), []).append(row)
+            return [
+                {"r": r, "c": c, "n": sum(x["n"] for x in g), "sse": math.fsum(x["sse"] for x in g),
+                 **{f"s{j}": math.fsum(x[f"s{j}"] for x in g) for j in range(dims)}}
+                for (r, c), g in groups.items()
+            ]
+        merged = partial.groupBy("r", "c").agg(
             F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(dims)]
         )
         return merged.collect()  # at most restarts x k rows
@@ -202,7 +227,11 @@ def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k
     inertia = [0.0] * restarts
     for row in final:
         inertia[row["r"]] += row["sse"]
-    best = min(range(restarts), key=lambda r: (inertia[r], r))
+    # the earliest restart whose cost is the lowest up to summation rounding:
+    # restarts reaching the same clustering differ only in the last bits,
+    # and those depend on how the rows are partitioned
+    lowest = min(inertia)
+    best = min(r for r in range(restarts) if inertia[r] <= lowest + TIE_TOLERANCE * abs(lowest))
     return KMeansFit(centers[best], inertia[best], iterations[best], best, inertia)
 
 
