@@ -102,3 +102,9 @@ def test_na_state_filter_pushdown_is_null_aware(spark, tmp_path):
     wh = warehouse_for(spark, SF)
     df = read_fact(spark, wh, state="NA")
     assert "Or(IsNull(customer_state),EqualTo(customer_state,NA))" in _plan(df)
+
+
+def test_box_statistics_have_no_per_state_window(spark):
+    """SURVEY §5.6: no window partitioned by a low-cardinality key over fact rows."""
+    plan = _plan(entry.queries()["delivery_time_by_state"](spark, SF))
+    assert "windowspecdefinition(customer_state" not in plan
