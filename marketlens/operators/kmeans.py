@@ -83,7 +83,8 @@ def _mix_uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(2**53)
 
 
-def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int) -> list[list[list[float]]]:
+def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int, n_parts: int,
+          direct_merge_rows: int) -> list[list[list[float]]]:
     """k-means++ seeding for all restarts: one pass per centre.
 
     Each partition finds, per restart, the row with the smallest race key
@@ -118,13 +119,17 @@ def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int) -> l
                 rows = [(r, b[0], *map(float, b[1])) for r, b in enumerate(best) if b[1] is not None]
                 yield pd.DataFrame(rows, columns=["r", "race", *xcols])
 
-            picked = (
-                features.mapInPandas(winners, schema)
-                .groupBy("r")
-                .agg(F.min_by(F.struct(*xcols), F.col("race")).alias("p"))
-                .collect()
-            )
-            got = {row["r"]: [float(v) for v in row["p"]] for row in picked}
+            partial = features.mapInPandas(winners, schema)
+            if n_parts * restarts <= direct_merge_rows:
+                # at most one winner per (partition, restart): merged here
+                got, best_race = {}, {}
+                for row in partial.collect():
+                    if row["r"] not in best_race or row["race"] < best_race[row["r"]]:
+                        best_race[row["r"]] = row["race"]
+                        got[row["r"]] = [float(row[c]) for c in xcols]
+            else:
+                picked = partial.groupBy("r").agg(F.min_by(F.struct(*xcols), F.col("race")).alias("p")).collect()
+                got = {row["r"]: [float(v) for v in row["p"]] for row in picked}
             for r in range(restarts):
                 # fewer distinct points than k: repeat the last centre
                 centers[r].append(got.get(r, centers[r][-1] if centers[r] else [0.0] * dims))
@@ -144,7 +149,7 @@ def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k
     cols = [F.col(c).cast("double") for c in feature_cols]
     dims = len(feature_cols)
     seeded = data.select(*[c.alias(f"x{j}") for j, c in enumerate(cols)], F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"))
-    centers = _seed(seeded, dims, k, restarts, seed)
+    centers = _seed(seeded, dims, k, restarts, seed, n_parts, direct_merge_rows)
     active = set(range(restarts))
     threshold = tol * mean_variance
     inertia = [float("inf")] * restarts
