@@ -154,11 +154,16 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
         # checkpoint cuts the lineage (executor loss re-reads files, not the
         # fact); persist keeps the one customer table every step scans.
         table = checkpoint_table(scaled.select("customer_unique_id", *RFM_FEATURES, *zcols))
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        # every K-Means pass scans this table: spread it over at least the
+        # cluster's parallelism (one shuffle of the customer table, then cached)
+        work = table
+        if table.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            work = table.repartition(spark.sparkContext.defaultParallelism)
+        work = work.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fit = multi_start_kmeans(table, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
+            fit = multi_start_kmeans(work, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
         finally:
-            table.unpersist()
+            work.unpersist()
         assigned = assign_clusters(table, zcols, fit.centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
     elif engine == "spark_ml":
         vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scaled)
