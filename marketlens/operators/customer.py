@@ -28,6 +28,9 @@ from marketlens.session import checkpoint_dir, checkpoint_table
 
 RFM_FEATURES = ["recency", "frequency", "monetary"]
 
+# Rows per task worth a repartition of the K-Means input.
+KMEANS_ROWS_PER_TASK = 250_000
+
 
 def snapshot_date(fact: DataFrame):
     """J-09 scalar subquery: latest purchase + 1 day (evaluated once, no join)."""
@@ -154,11 +157,13 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
         # checkpoint cuts the lineage (executor loss re-reads files, not the
         # fact); persist keeps the one customer table every step scans.
         table = checkpoint_table(scaled.select("customer_unique_id", *RFM_FEATURES, *zcols))
-        # every K-Means pass scans this table: spread it over at least the
-        # cluster's parallelism (one shuffle of the customer table, then cached)
+        # every K-Means pass scans this table: when AQE left it in fewer,
+        # large partitions, spread it over up to the cluster's parallelism
+        # (one shuffle, then cached), keeping ~KMEANS_ROWS_PER_TASK rows a task
         work = table
-        if table.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            work = table.repartition(spark.sparkContext.defaultParallelism)
+        target = min(spark.sparkContext.defaultParallelism, -(-n // KMEANS_ROWS_PER_TASK))
+        if table.rdd.getNumPartitions() < target:
+            work = table.repartition(target)
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fit = multi_start_kmeans(work, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
