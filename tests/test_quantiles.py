@@ -57,6 +57,8 @@ def test_hot_group_many_rounds(spark):
     }
     # tiny buckets / candidate limit force several narrowing rounds
     _check(spark, groups, buckets=4, max_candidates=16)
+    # range table joined by a shuffle instead of a broadcast
+    _check(spark, groups, buckets=4, max_candidates=16, broadcast_rows=0)
     _check(spark, groups)
 
 
