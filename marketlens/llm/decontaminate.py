@@ -11,8 +11,8 @@ is at least 0.25; one of 32 minima agrees with probability 1 - 0.75**32 =
 ``TINY`` shingles are nominated by each shingle instead.
 
 A window's minima come from block minima: each shingle is hashed once per
-permutation, larger classes take minima of pairs of blocks. A bitmap of
-``BITS`` bits of the items' keys (fixed size, whatever the benchmark's) drops
+permutation, larger classes take minima of pairs of blocks. A Bloom filter of
+2**``BITS`` bits of the items' keys (that size, whatever the benchmark's) drops
 windows without any item's key inside the scan; the rest meet the item keys
 in a shuffle join, and nominated pairs are verified on full sets.
 
@@ -77,10 +77,10 @@ def item_sets(items: DataFrame, shingle: int) -> DataFrame:
 
 
 def key_bitmap(item_keys: DataFrame) -> np.ndarray:
-    """Bit array over the high ``BITS`` bits of the keys; at most 2**(BITS-6) rows come to the driver."""
-    position = F.shiftrightunsigned("key", 64 - BITS)
-    words = item_keys.groupBy(F.shiftrightunsigned(position, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, " + str(64 - BITS) + ") & 63 AS int))")).alias("bits"))
+    """Bloom filter of the keys, two positions each; at most 2**(BITS-6) rows come to the driver."""
+    places = item_keys.select(F.explode(F.array(
+        F.shiftrightunsigned("key", 64 - BITS), F.shiftrightunsigned("key", 39 - BITS).bitwiseAND((1 << BITS) - 1))).alias("at"))
+    words = places.groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
     found = words.toArrow()
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
@@ -95,6 +95,7 @@ def _window_hits(hashes: np.ndarray, bounds: np.ndarray, size_classes: list[int]
     def look(values: np.ndarray, of: np.ndarray, size_class: int, permutation: int) -> None:
         key = _keys(values, size_class, permutation)
         hit = np.flatnonzero(bitmap[key >> np.uint64(64 - BITS)])
+        hit = hit[bitmap[(key[hit] >> np.uint64(39 - BITS)) & np.uint64((1 << BITS) - 1)] > 0]
         docs.append(of[hit])
         keys.append(key[hit])
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from marketlens.llm.shared import held_out, table
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.multiindex import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.sharding import assign_shards
 
@@ -28,12 +34,31 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.langid import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.suffixes import repeated_substrings
+
+    return repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.decontaminate import contained_items
 
@@ -48,12 +73,23 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.chunks import repeated_chunks
+
+    return repeated_chunks(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_consistent_hash_shards": op2_consistent_hash_shards,
     "op3_toxicity": op3_toxicity,
+    "op4_secret_automaton": op4_secret_automaton,
+    "op5_byte_cnn_language": op5_byte_cnn_language,
     "op6_minmax_near_dedup": op6_minmax_near_dedup,
+    "op7_repeated_substrings": op7_repeated_substrings,
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_weighted_mix": op9_weighted_mix,
+    "op10_gear_chunks": op10_gear_chunks,
 }
 
 _SHINGLES = r"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.session import checkpoint_dir
 
+_FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STORED: list[tuple[SparkSession, str]] = []
 
 
@@ -26,7 +27,12 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLE, None)
+    spark.conf.set(_FREE_SHUFFLE, "true")  # the table stands for the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE_SHUFFLE) if before is None else spark.conf.set(_FREE_SHUFFLE, before)
     _STORED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
