@@ -9,11 +9,14 @@ minimum of as many evaluations. Bands of ``ROWS`` values nominate pairs: at
 similarity 0.8 a pair is missed with probability (1 - 0.8**5)**32 = 3e-6.
 
 Nominated pairs are confirmed on full sets. Documents with equal sets are one
-node, so copies never meet pairwise. In each round every bucket that holds
-more than one component tests its members against one centre (another one
-each round); links merge components. What is left after ``STAR_ROUNDS``
-rounds, buckets whose members are in different components, is tested pair by
-pair across components, so no nominated pair is lost.
+node, so copies never meet pairwise. In each of ``STAR_ROUNDS`` rounds every
+bucket that holds more than one component tests its members against one centre
+(another one each round); links merge components. Then a bucket has mostly one
+large component and a few outliers. Outliers are compared with all members of
+that component, and with each other, inside tasks: blocks of at most ``BLOCK``
+sets meet, intersections are counted through a sorted list of one block's
+hashes, and a task returns only links that merge components. So no nominated
+pair is lost, and no pair is ever a row.
 
 Texts without words, empty texts and nulls have no set and are linked with
 nothing. Fewer words than ``shingle`` make one shingle. Rows without doc_id
@@ -38,8 +41,9 @@ from marketlens.llm.shared import store
 
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-STAR_ROUNDS = 4
-_BLOCK = 1 << 15
+STAR_ROUNDS = 2
+BLOCK = 512
+_CHUNK = 1 << 15
 
 
 def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +55,8 @@ def min_max(hashes: np.ndarray, times: np.ndarray, xors: np.ndarray) -> tuple[np
     """Smallest and largest value of the set under each permutation."""
     low = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(len(times), np.uint64)
-    for at in range(0, len(hashes), _BLOCK):
-        values = (hashes[None, at : at + _BLOCK] ^ xors[:, None]) * times[:, None]
+    for at in range(0, len(hashes), _CHUNK):
+        values = (hashes[None, at : at + _CHUNK] ^ xors[:, None]) * times[:, None]
         np.minimum(low, values.min(axis=1), out=low)
         np.maximum(high, values.max(axis=1), out=high)
     return low, high
@@ -118,6 +122,83 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after the links (a, b) between nodes."""
+    for x in "ab":
+        links = links.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")), x).drop(x).withColumnRenamed(f"_{x}", x)
+    joined = connected_components(links).toDF("component", "_to")
+    return store(labels.join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
+
+
+def outlier_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within the buckets of ``placed`` (bucket, node, component).
+
+    An arena is a component with the outliers nominated to it, or the
+    outliers of a bucket; its two sides are dealt to blocks, and every left
+    block meets every right block."""
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    top = F.when(F.col("top.n") > 1, F.col("top.component"))
+    mixed = store(placed.join(largest.select("bucket", top.alias("top")), "bucket").where(F.col("top").isNull() | (F.col("component") != F.col("top"))))
+    to_top = mixed.where("top IS NOT NULL").select(F.concat(F.lit("c"), "top").alias("arena"), "node", "component").distinct()
+    tops = to_top.select("arena").distinct()
+    of_top = placed.select(F.concat(F.lit("c"), "component").alias("arena"), "node", "component").distinct().join(tops, "arena", "left_semi")
+    several = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    rest = mixed.join(several, "bucket").select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("arena"), "node", "component")
+    sides = store(
+        to_top.withColumn("side", F.lit(0)).unionByName(of_top.withColumn("side", F.lit(1)))
+        .unionByName(rest.withColumn("side", F.lit(0))).unionByName(rest.withColumn("side", F.lit(1))))
+    blocks = sides.groupBy("arena").agg(*(F.ceil(F.sum((F.col("side") == i).cast("int")) / BLOCK).cast("int").alias(f"_{i}") for i in (0, 1)))
+    dealt = sides.join(blocks, "arena").join(sets, "node")
+    own = lambda i: F.pmod(F.xxhash64(F.lit(i), "node"), F.col(f"_{i}")).cast("int")
+    all_of = lambda i: F.explode(F.sequence(F.lit(0), F.col(f"_{i}") - 1))
+    left = dealt.where("side = 0").withColumn("i", own(0)).withColumn("j", all_of(1)).select("arena", "i", "j", "node", "component", "hashes")
+    right = dealt.where("side = 1").withColumn("j", own(1)).withColumn("i", all_of(0)).select(
+        *(F.col(c).alias(f"_{c}") for c in ("arena", "i", "j", "node", "component", "hashes")))
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = merging_links(*(_sets_of(t) for t in (one, other)), percent) if one.num_rows and other.num_rows else []
+        return pa.table({x: pa.array([link[i] for link in out], pa.string()) for i, x in enumerate("ab")})
+
+    keys = ["arena", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"_{k}" for k in keys))).applyInArrow(compare, "a string, b string").distinct()
+
+
+def _sets_of(table: pa.Table) -> tuple[list[str], list[str], list[np.ndarray]]:
+    nodes, components, lists = table.columns[-3:]
+    lists = lists.combine_chunks()
+    flat, at = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+    return nodes.to_pylist(), components.to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def merging_links(left: tuple, right: tuple, percent: int) -> list[tuple[str, str]]:
+    """Links between the two sides that join components not yet joined by an earlier one."""
+    nodes, components, sets = right
+    long = np.array([len(x) for x in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), long)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for node, component, own in zip(*left, strict=True):
+        first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        count = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(of[at], minlength=len(sets))
+        for i in np.flatnonzero(100 * both >= percent * (len(own) + long - both)).tolist():
+            a, b = root(component), root(components[i])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((node, nodes[i]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_md5, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text, any others)."""
     signed = store(signatures(docs, shingle))
@@ -130,36 +211,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     texts = docs.select("doc_id", "text").join(member_ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = store(full_sets(texts, shingle).groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     labels = store(members.select("node", F.col("node").alias("component")).distinct())
-    tested = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS):
         placed = members.join(labels, "node")
         if turn:
             placed = placed.where("held > 2")  # a bucket of two has had its one pair tested
         buckets = placed.groupBy("bucket").agg(
             F.min("component").alias("_low"), F.max("component").alias("_high"),
             F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "component", "n_shingles")).alias("centre"))
-        mixed = buckets.where("_low <> _high").select("bucket", "centre")
-        placed = placed.join(mixed, "bucket")
-        if turn < STAR_ROUNDS:
-            pairs = placed.where("component <> centre.component").select(
-                "node", "n_shingles", F.col("centre.node").alias("other"), F.col("centre.n_shingles").alias("other_n"))
-        else:
-            placed = placed.select("bucket", "node", "component", "n_shingles")
-            twins = placed.toDF("bucket", "other", "_component", "other_n")
-            pairs = placed.join(twins, "bucket").where("component < _component").select("node", "n_shingles", "other", "other_n")
-        low, high = F.least("n_shingles", "other_n"), F.greatest("n_shingles", "other_n")
-        pairs = pairs.where(100 * low >= percent * high).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        if pairs.isEmpty():
-            continue
-        links = confirmed(pairs, sets, percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        for x in "ab":
-            links = links.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")), x).drop(x).withColumnRenamed(f"_{x}", x)
-        merged = connected_components(links).toDF("component", "_to")
-        labels = store(labels.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
+        placed = placed.join(buckets.where("_low <> _high").select("bucket", "centre"), "bucket").where("component <> centre.component")
+        low, high = F.least("n_shingles", "centre.n_shingles"), F.greatest("n_shingles", "centre.n_shingles")
+        pairs = placed.where(100 * low >= percent * high).select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
+        labels = merged(labels, confirmed(pairs.distinct(), sets, percent))
+    labels = merged(labels, outlier_links(members.where("held > 2").join(labels, "node").select("bucket", "node", "component"), sets, percent))
     named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     result = signed.select("doc_id", "text_md5", "n_shingles", "node").join(named.join(smallest, "component").select("node", "component_id", F.lit(True).alias("_in")), "node", "left")
