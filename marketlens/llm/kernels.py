@@ -36,7 +36,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept, if not much longer than a slice."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, min(SLICE + 4096, 4 * n)), base, dtype=np.uint64)
+        have = np.full(max(n, min(SLICE + 4096, 4 * n), 1), base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have)
         if len(have) <= 2 * SLICE + 4096:

@@ -57,7 +57,9 @@ def codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     for _ in range(_ROUNDS):
         own = nearest(x, out)
         counts = np.bincount(own, minlength=k)
-        sums = np.stack([np.bincount(own, column, k) for column in x.T], axis=1)
+        sums = np.zeros((k, x.shape[1]))
+        for j, column in enumerate(x.T):
+            sums[:, j] = np.bincount(own, column, k)
         out = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], out)
     return out
 
