@@ -9,11 +9,10 @@ from marketlens.functions.columns import (  # noqa: F401
     month_start,
     null_tokens_to_null,
     ratio_or_zero,
-    rounded_mean,
     sentiment_bucket,
     to_double,
     to_int,
     to_long,
     to_timestamp_ntz,
 )
-from marketlens.functions.quantiles import exact_median, grouped_quantiles  # noqa: F401
+from marketlens.functions.quantiles import exact_median, exact_medians, grouped_quantiles  # noqa: F401

@@ -9,13 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.schemas import NULL_TOKENS, SENTIMENT_BINS, TIMESTAMP_FORMAT
+from marketlens.schemas import NULL_TOKENS, SENTIMENT_BINS, TIMESTAMP_TEXT
 
 
 
 def null_tokens_to_null(col: Column) -> Column:
     """Text null tokens (``NA``, ``N/A``, ``null``, ``None``, empty, ...) -> NULL."""
-    return F.when(~F.trim(col).isin(NULL_TOKENS), col)
+    return F.when(~col.isin(NULL_TOKENS), col)
 
 
 def to_double(col: Column, dtype: T.DataType | None = None) -> Column:
@@ -29,11 +29,18 @@ def to_double(col: Column, dtype: T.DataType | None = None) -> Column:
     return F.nanvl(casted, F.lit(None).cast("double"))
 
 
+def _whole(col: Column, kind: str) -> Column:
+    """Text as a whole number; ``1.0`` is 1, ``1.5`` is NULL."""
+    text = F.trim(col.cast("string"))
+    real = text.try_cast("double")
+    return F.coalesce(text.try_cast(kind), F.when(real == F.floor(real), real.try_cast(kind)))
+
+
 def to_int(col: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.IntegerType):
         return col
     if isinstance(dtype, (T.StringType, T.NullType)) or dtype is None:
-        return F.trim(col.cast("string")).try_cast("int")
+        return _whole(col, "int")
     return col.try_cast("int")
 
 
@@ -41,22 +48,22 @@ def to_long(col: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.LongType):
         return col
     if isinstance(dtype, (T.StringType, T.NullType)) or dtype is None:
-        return F.trim(col.cast("string")).try_cast("long")
+        return _whole(col, "long")
     return col.try_cast("long")
 
 
-def to_timestamp_ntz(col: Column, dtype: T.DataType | None = None, fmt: str = TIMESTAMP_FORMAT) -> Column:
+def to_timestamp_ntz(col: Column, dtype: T.DataType | None = None) -> Column:
     """Coerce to TIMESTAMP_NTZ; unparsable text becomes NULL.
 
-    Text is parsed with the warehouse format, falling back to a bare date.
+    Text is a date, or a date and a time as in the raw files; it is read as
+    it stands, without any time zone.
     """
     if isinstance(dtype, T.TimestampNTZType):
         return col
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
     text = F.trim(col.cast("string"))
-    parsed = F.coalesce(F.try_to_timestamp(text, F.lit(fmt)), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
-    return parsed.cast("timestamp_ntz")
+    return F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp_ntz"))
 
 
 def days_between(start: Column, end: Column) -> Column:
@@ -81,21 +88,22 @@ def month_index(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 
 
-def money_sum(col: Column) -> Column:
-    """Exact sum of a money column (two decimals) as DOUBLE; 0 when empty.
+#: Larger amounts have no exact cents as a double.
+_LARGEST_AMOUNT = 9e13
 
-    Each value is taken in whole cents (``rint`` of value*100, exact for two-
-    decimal amounts) and summed as a LONG, so the total does not depend on the
-    order in which partitions are merged and does not drift at billions of
-    rows; a float sum would.
-    """
-    cents = F.rint(col * F.lit(100.0)).cast("long")
-    return F.coalesce(F.sum(cents) / F.lit(100.0), F.lit(0.0))
 
+def money_sum(col: Column) -> Column:
+    """Sum of a money column as DOUBLE; 0 when empty.
 
-def rounded_mean(col: Column, digits: int = 6) -> Column:
-    """Mean rounded to ``digits`` places (float means depend on merge order)."""
-    return F.round(F.avg(col), digits)
+    The whole cents of each value are summed as a LONG, what is left of it
+    (0 for amounts of two decimals) as a DOUBLE. So totals of plain amounts
+    are exact and do not depend on the order in which partitions are merged,
+    parts of a cent count, and infinite values make the total infinite.
+    """
+    amount = col.cast("double")
+    cents = F.when(F.abs(amount) < F.lit(_LARGEST_AMOUNT), F.rint(amount * F.lit(100.0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    rest = amount - cents / F.lit(100.0)
+    return F.coalesce(F.sum(cents) / F.lit(100.0) + F.sum(rest), F.lit(0.0))
 
 
 def ratio_or_zero(num: Column, den: Column) -> Column:

@@ -1,19 +1,10 @@
-"""Exact median without gathering a column into one task.
-
-Spark's exact ``percentile``/``median`` aggregate keeps a value->count map of
-the whole group in one reducer; for a global median over billions of
-customers that is unbounded. ``exact_median`` instead runs a distributed
-selection:
-
-1. a mergeable quantile sketch (``percentile_approx``, partial aggregation on
-   every executor) brackets the two middle ranks;
-2. one counting pass checks the bracket really contains them and how many
-   rows fall below it;
-3. once the bracket holds at most ``max_candidates`` distinct values, their
-   (value, count) pairs are brought back and the middle ranks are read off.
-
-The result equals the pandas/DuckDB median (mean of the two middle values for
-an even count). Only bounded-size summaries leave the executors.
+"""Exact quantiles without gathering a column or a group into one task.
+
+Spark's exact ``percentile`` aggregate keeps a value->count map of the whole
+group in one reducer; over billions of rows that is unbounded. The order
+statistics are found by histogram narrowing instead (see
+``grouped_quantiles``); medians of several columns are one such search with
+the column's name as its group.
 """
 
 from __future__ import annotations
@@ -22,60 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _pick(value_counts: list[tuple[float, int]], ranks: list[int]) -> list[float]:
-    """Values at 0-based ``ranks`` of a sorted (value, count) list."""
-    out, seen, i = [], 0, 0
-    for rank in sorted(ranks):
-        while seen + value_counts[i][1] <= rank:
-            seen += value_counts[i][1]
-            i += 1
-        out.append(value_counts[i][0])
-    return out
-
-
-def exact_median(
-    df: DataFrame, column: str, accuracy: int = 20000, max_candidates: int = 50000, max_rounds: int = 30
-) -> float | None:
-    """Exact median of the non-null values of ``column`` (``None`` if none)."""
-    current = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = current.count()
-    if n == 0:
-        return None
-    ranks = [(n - 1) // 2, n // 2]
-    offset, m, acc = 0, n, accuracy
-    for _ in range(max_rounds):
-        local = [r - offset for r in ranks]
-        distinct_probe = current.groupBy("v").count().limit(max_candidates + 1).collect() if m <= 4 * max_candidates else None
-        if distinct_probe is not None and len(distinct_probe) <= max_candidates:
-            pairs = sorted((row["v"], row["count"]) for row in distinct_probe)
-            lo_val, hi_val = _pick(pairs, local)
-            return lo_val * 0.5 + hi_val * 0.5
-        margin = 3.0 / acc
-        q_lo = max(0.0, local[0] / m - margin)
-        q_hi = min(1.0, local[1] / m + margin)
-        bounds = current.agg(F.percentile_approx("v", [q_lo, q_hi], acc).alias("q")).first()["q"]
-        lo, hi = float(bounds[0]), float(bounds[1])
-        if lo == hi:
-            stats = current.agg(
-                F.sum(F.when(F.col("v") < lo, 1).otherwise(0)).alias("below"),
-                F.sum(F.when(F.col("v") == lo, 1).otherwise(0)).alias("inside"),
-            ).first()
-            below, inside = int(stats["below"] or 0), int(stats["inside"] or 0)
-            if below <= local[0] and below + inside > local[1]:
-                return lo
-        else:
-            stats = current.agg(
-                F.sum(F.when(F.col("v") < lo, 1).otherwise(0)).alias("below"),
-                F.sum(F.when(F.col("v").between(lo, hi), 1).otherwise(0)).alias("inside"),
-            ).first()
-            below, inside = int(stats["below"] or 0), int(stats["inside"] or 0)
-            if below <= local[0] and below + inside > local[1] and inside < m:
-                current = current.filter(F.col("v").between(lo, hi))
-                offset += below
-                m = inside
-                continue
-        acc *= 4  # bracket missed or made no progress: tighten the sketch
-    raise RuntimeError("exact_median did not converge")
+def exact_medians(df: DataFrame, columns: list[str], **search) -> dict[str, float | None]:
+    """Exact medians of the non-null, non-NaN values of ``columns`` (None without any), found in one search.
+
+    Equal to the mean of the two middle values; ties of any size are one value."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    found = {r["c"]: r["q0"] for r in grouped_quantiles(long, "c", "v", [0.5], **search).select("c", "q0").collect()}
+    return {c: found.get(c) for c in columns}
+
+
+def exact_median(df: DataFrame, column: str, **search) -> float | None:
+    """``exact_medians`` of one column."""
+    return exact_medians(df, [column], **search)[column]
 
 
 def _bucket(v, lo, hi, buckets: int):
@@ -90,7 +39,7 @@ def _bucket(v, lo, hi, buckets: int):
 
 
 def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 16384,
-                      max_candidates: int = 200_000, max_rounds: int = 64,
+                      max_candidates: int = 200_000,
                       broadcast_rows: int = 1_000_000) -> DataFrame:
     """Exact per-group quantiles with linear interpolation (pandas' default).
 
@@ -105,8 +54,10 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], b
     ``buckets`` equal-width buckets, and a window over at most ``buckets``
     rows per range finds the bucket holding the rank, which becomes the next
     range. Ranges of one group are disjoint, so a row joins at most one.
-    Once a range holds at most ``max_candidates`` rows (or one value), its
-    distinct values are ranked exactly by a window of bounded size. Small
+    A range of more than one value always splits (its ends fall into different
+    buckets), so the search ends at any size and distribution. Once a range
+    holds at most ``max_candidates`` rows (or one value), its distinct values
+    are ranked exactly by a window of bounded size. Small
     per-round target tables are checkpointed to the shared checkpoint folder;
     the driver only reads how many targets are still open. The range table is
     broadcast only when its counted size is at most ``broadcast_rows`` rows;
@@ -145,7 +96,7 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], b
         cond = (F.col("_k") == F.col("_rk")) & F.col("_v").between(F.col("_rlo"), F.col("_rhi"))
         return data.join(ranges, cond).select("_k", "_v", F.col("_rlo").alias("lo"), F.col("_rhi").alias("hi"))
 
-    for _ in range(max_rounds):
+    while True:
         is_final = (F.col("rows") <= max_candidates) | (F.col("lo") == F.col("hi"))
         final, narrow = open_t.filter(is_final), open_t.filter(~is_final)
         sizes = open_t.agg(F.count_if(is_final).alias("f"), F.count_if(~is_final).alias("o")).first()
@@ -173,8 +124,6 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], b
             .select("_k", "t", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"),
                     F.col("bmin").alias("lo"), F.col("bmax").alias("hi"), F.col("c").alias("rows"))
         )
-    else:
-        raise RuntimeError("grouped_quantiles did not converge")
 
     if not found:  # no group has a value
         return stats.select(F.col("_k").alias(key), "n", "min", "max",

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions import exact_median, mean_days_between
+from marketlens.functions import exact_medians, mean_days_between
 from marketlens.operators.customer import customer_aggregates
 from marketlens.schemas import CHURN_FEATURES, DATE_COLUMN
 from marketlens.session import checkpoint_table
@@ -38,8 +39,7 @@ def customer_features(fact: DataFrame, churn_days: int = 120, checkpoint: bool =
     )
     if checkpoint:
         base = checkpoint_table(base)
-    med_review = exact_median(base, "avg_review_score")
-    med_delivery = exact_median(base, "avg_delivery_days")
+    medians = exact_medians(base, ["avg_review_score", "avg_delivery_days"])
 
     def fill(c, med):
         x = F.col(c)
@@ -53,8 +53,8 @@ def customer_features(fact: DataFrame, churn_days: int = 120, checkpoint: bool =
         "recency",
         "frequency",
         "monetary",
-        fill("avg_review_score", med_review).alias("avg_review_score"),
-        fill("avg_delivery_days", med_delivery).alias("avg_delivery_days"),
+        fill("avg_review_score", medians["avg_review_score"]).alias("avg_review_score"),
+        fill("avg_delivery_days", medians["avg_delivery_days"]).alias("avg_delivery_days"),
         (F.col("recency") > churn_days).cast("int").alias("churned"),
     )
 
@@ -123,7 +123,7 @@ def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000)
         mean, std = stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0
         scaled[z] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std if std > 0 else 1.0)
     data = features.withColumns(scaled).withColumn("is_test", is_test)
-    data = VectorAssembler(inputCols=zcols, outputCol="features").transform(data)
+    data = VectorAssembler(inputCols=zcols, outputCol="features").transform(data).persist(StorageLevel.MEMORY_AND_DISK)
 
     # balanced class weights over the training rows (they sum to n_train)
     w_pos = n_train / (2.0 * pos_train)
@@ -136,12 +136,25 @@ def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000)
     model = lr.fit(train)
     coef = [float(c) for c in model.coefficients.toArray()]
     intercept = float(model.intercept)
-    # score with the fitted parameters as a plain expression (codegen, no vector UDF)
+    scored = with_probability(data, coef, intercept)
+    metrics, drivers = evaluate(scored, coef)
+    data.unpersist()
+    predictions = scored.select(*features.columns, "churn_probability")
+    return ChurnResult(metrics, predictions, drivers, coef, intercept)
+
+
+def with_probability(data: DataFrame, coef: list[float], intercept: float) -> DataFrame:
+    """M-04: ``churn_probability`` from standardised ``<feature>_z`` columns, a plain expression (codegen, no vector UDF)."""
     margin = F.lit(intercept)
-    for w, z in zip(coef, zcols):
-        margin = margin + F.lit(w) * F.col(z)
-    scored = data.withColumn("churn_probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
+    for w, c in zip(coef, CHURN_FEATURES):
+        margin = margin + F.lit(w) * F.col(f"{c}_z")
+    return data.withColumn("churn_probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
 
+
+def evaluate(scored: DataFrame, coef: list[float]) -> tuple[DataFrame, DataFrame]:
+    """M-05, M-07: (F1 and AUC-ROC over the rows with ``is_test``, five strongest drivers over all rows)."""
+    spark, label = scored.sparkSession, F.col("churned")
+    zcols = [f"{c}_z" for c in CHURN_FEATURES]
     prob, test = F.col("churn_probability"), F.col("is_test")
     summary = scored.agg(
         F.sum((test & (prob >= 0.5) & (label == 1)).cast("long")).alias("tp"),
@@ -168,23 +181,7 @@ def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000)
 
     rows = [(f, float(summary[f"imp_{z}"] or 0.0), "mean_abs_shap") for f, z in zip(CHURN_FEATURES, zcols)]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    drivers = spark.createDataFrame(rows[:5], "feature string, importance double, source string")
-    predictions = scored.select(*features.columns, "churn_probability")
-    return ChurnResult(_metrics(spark, f1, auc), predictions, drivers, coef, intercept)
-
-
-def feature_importance(scored: DataFrame, coef: list[float], top: int = 5) -> DataFrame:
-    """M-07 / T-06 on any scored table with standardised ``<feature>_z``
-    columns: mean |linear SHAP| ``avg(|coef_j * (x_j - mean_j)|)`` (two passes:
-    means, then the averages)."""
-    zcols = [f"{c}_z" for c in CHURN_FEATURES]
-    means = scored.agg(*[F.avg(z).alias(z) for z in zcols]).first()
-    imp = scored.agg(
-        *[F.avg(F.abs(F.lit(coef[i]) * (F.col(z) - F.lit(means[z] or 0.0)))).alias(z) for i, z in enumerate(zcols)]
-    ).first()
-    rows = [(f, float(imp[z] or 0.0), "mean_abs_shap") for f, z in zip(CHURN_FEATURES, zcols)]
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    return scored.sparkSession.createDataFrame(rows[:top], "feature string, importance double, source string")
+    return _metrics(spark, f1, auc), spark.createDataFrame(rows[:5], "feature string, importance double, source string")
 
 
 def churn_by_segment(predictions: DataFrame, rfm: DataFrame) -> DataFrame:

@@ -28,9 +28,6 @@ from marketlens.session import checkpoint_dir, checkpoint_table
 
 RFM_FEATURES = ["recency", "frequency", "monetary"]
 
-# Rows per task worth a repartition of the K-Means input.
-KMEANS_ROWS_PER_TASK = 250_000
-
 
 def snapshot_date(fact: DataFrame):
     """J-09 scalar subquery: latest purchase + 1 day (evaluated once, no join)."""
@@ -154,17 +151,10 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
     mean_variance = sum(1.0 if std > 0 else 0.0 for _, std in moments.values()) / len(RFM_FEATURES)
     zcols = [f"{c}_z" for c in RFM_FEATURES]
     if engine == "multi_start":
-        # checkpoint cuts the lineage (executor loss re-reads files, not the
-        # fact); persist keeps the one customer table every step scans.
-        table = checkpoint_table(scaled.select("customer_unique_id", *RFM_FEATURES, *zcols))
-        # every K-Means pass scans this table: when AQE left it in fewer,
-        # large partitions, spread it over up to the cluster's parallelism
-        # (one shuffle, then cached), keeping ~KMEANS_ROWS_PER_TASK rows a task
-        work = table
-        target = min(spark.sparkContext.defaultParallelism, -(-n // KMEANS_ROWS_PER_TASK))
-        if table.rdd.getNumPartitions() < target:
-            work = table.repartition(target)
-        work = work.persist(StorageLevel.MEMORY_AND_DISK)
+        # the customer table is checkpointed above, so the lineage is short;
+        # persist keeps the one table every step scans
+        table = scaled.select("customer_unique_id", *RFM_FEATURES, *zcols)
+        work = table.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fit = multi_start_kmeans(work, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
         finally:
@@ -183,7 +173,19 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
     else:
         raise ValueError(f"unknown K-Means engine: {engine}")
 
-    # A-15 + W-04: k-row cluster profiles ranked on the driver (fitted parameters only).
+    return label_clusters(assigned, labels)
+
+
+def segments_by_centers(rfm: DataFrame, centers: list[list[float]], labels: list[str] | None = None) -> DataFrame:
+    """M-02 with given centres of the standardised features: nearest centre, labelled by cluster score."""
+    scaled = standardize(rfm.withColumns({c: _clean(c) for c in RFM_FEATURES}), RFM_FEATURES)
+    assigned = assign_clusters(scaled, [f"{c}_z" for c in RFM_FEATURES], centers)
+    return label_clusters(assigned.select("customer_unique_id", *RFM_FEATURES, "cluster"), labels or SEGMENT_LABELS)
+
+
+def label_clusters(assigned: DataFrame, labels: list[str]) -> DataFrame:
+    """A-15, W-04, J-08: ``segment`` of every row by its cluster's rank score."""
+    # k-row cluster profiles ranked on the driver (fitted parameters only).
     profile = assigned.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES]).collect()
     # Spark's cluster ids are arbitrary: renumber by (monetary, frequency, recency) so ties rank stably.
     profile.sort(key=lambda r: (r["monetary"], r["frequency"], r["recency"], r["cluster"]))
@@ -222,7 +224,7 @@ def segment_churn_heuristic(rfm: DataFrame) -> DataFrame:
     score = (F.col("recency") / F.nullif(F.max("recency").over(every), F.lit(0))) * 0.7 + (
         1 - F.col("frequency") / F.nullif(F.max("frequency").over(every), F.lit(0))
     ) * 0.3
-    return stats.select("segment", F.round(clip(score * 100, 0.0, 100.0), 6).alias("churn_probability")).orderBy(
+    return stats.select("segment", clip(score * 100, 0.0, 100.0).alias("churn_probability")).orderBy(
         F.desc("churn_probability"), F.asc("segment")
     )
 

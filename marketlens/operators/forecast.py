@@ -80,7 +80,7 @@ def _sample_std(arr: Column) -> Column:
 
 
 def forecast_ewma(fact: DataFrame, keys: Sequence[str] = (), periods: int = 1, span: int = 4,
-                  history: int = HISTORY_ROWS, digits: int = 4) -> DataFrame:
+                  history: int = HISTORY_ROWS) -> DataFrame:
     """M-08: smoothing forecast per series with at least 3 months.
 
     Output (keys..., ds, actual, yhat, yhat_lower, yhat_upper): the last
@@ -121,9 +121,9 @@ def forecast_ewma(fact: DataFrame, keys: Sequence[str] = (), periods: int = 1, s
         *keys,
         F.col("r.ds").alias("ds"),
         F.col("r.actual").alias("actual"),
-        F.round(yhat, digits).alias("yhat"),
-        F.round(yhat - F.col("band"), digits).alias("yhat_lower"),
-        F.round(yhat + F.col("band"), digits).alias("yhat_upper"),
+        yhat.alias("yhat"),
+        (yhat - F.col("band")).alias("yhat_lower"),
+        (yhat + F.col("band")).alias("yhat_upper"),
     )
 
 

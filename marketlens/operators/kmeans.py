@@ -26,7 +26,6 @@ centre summaries travel to the driver per step.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,8 +82,7 @@ def _mix_uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(2**53)
 
 
-def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int, n_parts: int,
-          direct_merge_rows: int) -> list[list[list[float]]]:
+def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int) -> list[list[list[float]]]:
     """k-means++ seeding for all restarts: one pass per centre.
 
     Each partition finds, per restart, the row with the smallest race key
@@ -120,16 +118,8 @@ def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int, n_pa
                 yield pd.DataFrame(rows, columns=["r", "race", *xcols])
 
             partial = features.mapInPandas(winners, schema)
-            if n_parts * restarts <= direct_merge_rows:
-                # at most one winner per (partition, restart): merged here
-                got, best_race = {}, {}
-                for row in partial.collect():
-                    if row["r"] not in best_race or row["race"] < best_race[row["r"]]:
-                        best_race[row["r"]] = row["race"]
-                        got[row["r"]] = [float(row[c]) for c in xcols]
-            else:
-                picked = partial.groupBy("r").agg(F.min_by(F.struct(*xcols), F.col("race")).alias("p")).collect()
-                got = {row["r"]: [float(v) for v in row["p"]] for row in picked}
+            picked = partial.groupBy("r").agg(F.min_by(F.struct(*xcols), F.col("race")).alias("p")).collect()
+            got = {row["r"]: [float(v) for v in row["p"]] for row in picked}
             for r in range(restarts):
                 # fewer distinct points than k: repeat the last centre
                 centers[r].append(got.get(r, centers[r][-1] if centers[r] else [0.0] * dims))
@@ -138,18 +128,15 @@ def _seed(features: DataFrame, dims: int, k: int, restarts: int, seed: int, n_pa
 
 def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k: int, restarts: int = 20,
                        seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                       mean_variance: float = 1.0, direct_merge_rows: int = 50_000) -> KMeansFit:
+                       mean_variance: float = 1.0) -> KMeansFit:
     """Best of ``restarts`` k-means++ / Lloyd fits; ``data`` should be persisted.
 
-    Per-partition partial sums are merged by a Spark aggregate; when there
-    are at most ``direct_merge_rows`` of them (partitions x restarts x k) the
-    driver merges them directly instead."""
+    Per-partition partial sums are merged by a Spark aggregate."""
     ship_package(data.sparkSession)
-    n_parts = data.rdd.getNumPartitions()
     cols = [F.col(c).cast("double") for c in feature_cols]
     dims = len(feature_cols)
     seeded = data.select(*[c.alias(f"x{j}") for j, c in enumerate(cols)], F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"))
-    centers = _seed(seeded, dims, k, restarts, seed, n_parts, direct_merge_rows)
+    centers = _seed(seeded, dims, k, restarts, seed)
     active = set(range(restarts))
     threshold = tol * mean_variance
     inertia = [float("inf")] * restarts
@@ -189,18 +176,6 @@ def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k
 
         features = data.select(*[c.alias(f"x{j}") for j, c in enumerate(cols)])
         partial = features.mapInPandas(partials, schema)
-        if n_parts * len(live) * k <= direct_merge_rows:
-            # few partitions: their partial rows (partitions x restarts x k,
-            # independent of the row count) are merged here with exactly
-            # rounded sums, saving the aggregate stage per step
-            groups: dict = {}
-            for row in partial.collect():
-                groups.setdefault((row["r"], row["c"]), []).append(row)
-            return [
-                {"r": r, "c": c, "n": sum(x["n"] for x in g), "sse": math.fsum(x["sse"] for x in g),
-                 **{f"s{j}": math.fsum(x[f"s{j}"] for x in g) for j in range(dims)}}
-                for (r, c), g in groups.items()
-            ]
         merged = partial.groupBy("r", "c").agg(
             F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(dims)]
         )

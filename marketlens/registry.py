@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import churn, cohort, customer, forecast, kpi, prepare, product
+from marketlens.schemas import CHURN_FEATURES
 from marketlens.sources.registry_data import prepared_fact, star_table
 
 # Fixed filter used by ``filtered_fact`` (a date window, one category, one state).
@@ -35,6 +36,14 @@ def _memo(spark: SparkSession, sf: str, name: str, build):
         return _MEMO[key]
 
 
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns rounded for the comparison with the SQL twin: engines differ in the last bits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+_FORECAST = (4, "yhat", "yhat_lower", "yhat_upper")
+
+
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
     return prepared_fact(spark, sf)
 
@@ -51,6 +60,21 @@ def _churn(spark, sf):
     return _memo(spark, sf, "churn", lambda: churn.train_churn_model(_features(spark, sf), SEED))
 
 
+# Parameters of the keys that check the steps around the fitted models: centres of standardised recency, frequency
+# and monetary value; coefficients of the standardised churn features.
+CENTRES = [[1.0, -0.8, -0.8], [-0.5, 0.2, 0.1], [-0.6, 1.2, 1.3], [0.4, 0.3, -0.2]]
+COEFFICIENTS, INTERCEPT = [0.9, -0.5, -0.4, -0.2, 0.1], -0.3
+
+
+def _rfm_given(spark, sf):
+    return customer.segments_by_centers(customer.rfm_base(_fact(spark, sf)), CENTRES)
+
+
+def _scored_given(spark, sf):
+    scaled = customer.standardize(_features(spark, sf), CHURN_FEATURES)
+    return churn.with_probability(scaled, COEFFICIENTS, INTERCEPT).withColumn("is_test", F.lit(True))
+
+
 def _cohort_matrix(spark, sf):
     return cohort.cohort_matrix(_fact(spark, sf))
 
@@ -91,7 +115,7 @@ QUERIES = {
     "product_performance": lambda spark, sf: product.product_performance(_fact(spark, sf)),
     "seller_leaderboard": lambda spark, sf: product.seller_leaderboard(_fact(spark, sf), 15),
     "review_sentiment": lambda spark, sf: product.review_sentiment(_fact(spark, sf)),
-    "delivery_time_by_state": lambda spark, sf: product.delivery_time_by_state(_fact(spark, sf)),
+    "delivery_time_by_state": lambda spark, sf: _rounded(product.delivery_time_by_state(_fact(spark, sf)), 9, "q1", "median", "q3"),
     "product_month_orders": lambda spark, sf: product.product_month_orders(_fact(spark, sf)),
     "slow_movers": lambda spark, sf: product.slow_movers(_fact(spark, sf)),
     # A-13, A-14, A-20, T-02
@@ -104,12 +128,29 @@ QUERIES = {
     "cohort_matrix": _cohort_matrix,
     # A-18, W-05, M-08, U-01
     "monthly_revenue_series": lambda spark, sf: forecast.monthly_revenue_series(_fact(spark, sf)),
-    "forecast_ewma": lambda spark, sf: forecast.forecast_ewma(_fact(spark, sf)),
-    "forecast_ewma_by_category": lambda spark, sf: forecast.forecast_ewma(_fact(spark, sf), ["product_category"]),
+    "forecast_ewma": lambda spark, sf: _rounded(forecast.forecast_ewma(_fact(spark, sf)), *_FORECAST),
+    "forecast_ewma_by_category": lambda spark, sf: _rounded(forecast.forecast_ewma(_fact(spark, sf), ["product_category"]), *_FORECAST),
+    # The steps around the models, with given parameters
+    "rfm_scaled": lambda spark, sf: _rounded(
+        customer.standardize(customer.rfm_base(_fact(spark, sf)), customer.RFM_FEATURES).drop(*customer.RFM_FEATURES),
+        9, *(f"{c}_z" for c in customer.RFM_FEATURES)),  # M-01
+    "rfm_segments_given": _rfm_given,  # M-02 assignment, A-15, W-04, J-08
+    "segment_profile_given": lambda spark, sf: _rounded(
+        customer.segment_profile(_rfm_given(spark, sf)), 6, *(f"mean_{c}" for c in customer.RFM_FEATURES)),  # A-15
+    "segment_churn_heuristic_given": lambda spark, sf: _rounded(
+        customer.segment_churn_heuristic(_rfm_given(spark, sf)), 6, "churn_probability"),  # A-16, W-06
+    "top_customers_segmented_given": lambda spark, sf: customer.top_customers(_rfm_given(spark, sf), 10),  # T-02
+    "churn_scores_given": lambda spark, sf: _rounded(
+        _scored_given(spark, sf).select("customer_unique_id", "churn_probability"), 9, "churn_probability"),  # M-04
+    "churn_metrics_given": lambda spark, sf: _rounded(churn.evaluate(_scored_given(spark, sf), COEFFICIENTS)[0], 9, "value"),  # M-05
+    "churn_drivers_given": lambda spark, sf: _rounded(churn.evaluate(_scored_given(spark, sf), COEFFICIENTS)[1], 9, "importance"),  # M-07, T-06
+    "churn_by_segment_given": lambda spark, sf: _rounded(
+        churn.churn_by_segment(_scored_given(spark, sf), _rfm_given(spark, sf)), 6, "churn_probability"),  # J-06, A-19
+    "churn_scores_top100_given": lambda spark, sf: churn.churn_scores_top(_scored_given(spark, sf), _rfm_given(spark, sf), 100),  # T-05
     # Model-based (rows-only in the driver check; covered by tests)
     "rfm_segments": _rfm,  # M-01, M-02, A-15, W-04, J-08
     "segment_profile": lambda spark, sf: customer.segment_profile(_rfm(spark, sf)),  # A-15
-    "segment_churn_heuristic": lambda spark, sf: customer.segment_churn_heuristic(_rfm(spark, sf)),  # A-16, W-06
+    "segment_churn_heuristic": lambda spark, sf: _rounded(customer.segment_churn_heuristic(_rfm(spark, sf)), 6, "churn_probability"),  # A-16, W-06
     "top_customers_segmented": lambda spark, sf: customer.top_customers(_rfm(spark, sf), 10),  # T-02
     "churn_metrics": lambda spark, sf: _churn(spark, sf).metrics,  # M-03..M-05
     "churn_drivers": lambda spark, sf: _churn(spark, sf).drivers,  # M-07, T-06

@@ -72,9 +72,11 @@ UNKNOWN_CATEGORY = "unknown"
 UNKNOWN_STATE = "NA"
 
 # Text tokens read as null in raw CSV.
-NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "None", "NaN", "nan", "n/a", "#N/A"]
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+               "n/a", "nan", "null"]
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Text of a date or timestamp: yyyy-MM-dd, with an optional HH:mm:ss.
+TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d+)?)?$"
 DATE_COLUMN = "order_purchase_timestamp"
 
 ORDER_TIMESTAMPS = [

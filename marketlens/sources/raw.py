@@ -1,7 +1,8 @@
 """Raw marketplace tables (S-01, S-02).
 
-CSV is read with every column as text (explicit schema, no inference pass)
-and null tokens are turned into NULL afterwards, because the CSV reader takes
+CSV is read with every column as text under the names of its header (no
+inference pass): columns may come in any order, further ones are ignored,
+missing ones are NULL. Null tokens are turned into NULL afterwards, because the CSV reader takes
 a single ``nullValue``. Typed coercion happens in the star builder, so a
 Parquet/typed source with the same column names goes through the same code.
 """
@@ -23,8 +24,7 @@ def read_raw_csv(spark: SparkSession, data_dir: str, name: str, file_name: str |
     """Read one raw CSV table; a missing file raises ``FileNotFoundError``."""
     path = f"{data_dir.rstrip('/')}/{file_name or RAW_FILES[name]}"
     reader = (
-        spark.read.schema(RAW_SCHEMAS[name])
-        .option("header", True)
+        spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -37,7 +37,9 @@ def read_raw_csv(spark: SparkSession, data_dir: str, name: str, file_name: str |
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(f"Missing required CSV: {path}") from exc
         raise
-    return df.select([null_tokens_to_null(F.col(c)).alias(c) for c in df.columns])
+    return df.select([
+        (null_tokens_to_null(F.col(c)) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in RAW_SCHEMAS[name].fieldNames()
+    ])
 
 
 def load_raw(spark: SparkSession, data_dir: str, fmt: str = "csv", files: dict[str, str] | None = None) -> dict[str, DataFrame]:

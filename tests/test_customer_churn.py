@@ -99,7 +99,7 @@ def test_exact_median_matches_numpy(spark, n):
     rng = np.random.default_rng(n)
     vals = np.round(rng.normal(size=n) * 10, 1)  # ties on purpose
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
-    assert exact_median(df, "x", accuracy=50, max_candidates=20) == pytest.approx(float(np.median(vals)), abs=1e-12)
+    assert exact_median(df, "x", buckets=4, max_candidates=20) == pytest.approx(float(np.median(vals)), abs=1e-12)
     assert exact_median(df, "x") == pytest.approx(float(np.median(vals)), abs=1e-12)
 
 

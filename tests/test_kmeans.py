@@ -64,12 +64,10 @@ def test_fewer_distinct_points_than_k(spark):
     assert fit.inertia == pytest.approx(0.0)
 
 
-def test_aggregate_merge_equals_driver_merge(spark, blobs):
-    """The Spark-aggregate merge (used when partials are many) and the
-    direct merge of few partials give the same fit."""
+def test_fit_does_not_depend_on_partitioning(spark, blobs):
     df, _ = blobs
     a = multi_start_kmeans(df, ["a", "b", "c"], "id", k=4, restarts=3, seed=11)
-    b = multi_start_kmeans(df, ["a", "b", "c"], "id", k=4, restarts=3, seed=11, direct_merge_rows=0)
+    b = multi_start_kmeans(df.repartition(13), ["a", "b", "c"], "id", k=4, restarts=3, seed=11)
     assert a.restart == b.restart and a.iterations == b.iterations
     assert np.allclose(a.centers, b.centers, atol=1e-12)
     assert a.inertia == pytest.approx(b.inertia, rel=1e-12)
