@@ -44,7 +44,7 @@ def cohort_retention(fact: DataFrame) -> DataFrame:
         F.col("customers").cast("long").alias("customers"),
         size.cast("long").alias("cohort_size"),
         F.bround(F.col("customers") / size * F.lit(100.0), 1).alias("retention_pct"),
-    )
+    ).orderBy("cohort_month", "period_number")
 
 
 def cohort_matrix(fact: DataFrame, periods: list[int] | None = None) -> DataFrame:

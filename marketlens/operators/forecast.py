@@ -124,7 +124,14 @@ def forecast_ewma(fact: DataFrame, keys: Sequence[str] = (), periods: int = 1, s
         yhat.alias("yhat"),
         (yhat - F.col("band")).alias("yhat_lower"),
         (yhat + F.col("band")).alias("yhat_upper"),
-    )
+    ).orderBy(*keys, "ds")
+
+
+def forecast_methods(fact: DataFrame, keys: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """M-08: (keys..., months, method) of every series: smoothing, or no forecast for fewer than ``least`` months."""
+    series = monthly_revenue_series(fact, keys)
+    counted = (series.groupBy(*keys) if keys else series).agg(F.count(F.lit(1)).alias("months"))
+    return counted.withColumn("method", F.when(F.col("months") >= least, "Exponential smoothing fallback").otherwise("Insufficient history"))
 
 
 # --- M-09: seasonal model -------------------------------------------------

@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from marketlens.functions import month_start, to_double, to_timestamp_ntz
 from marketlens.schemas import DATE_COLUMN, ORDER_TIMESTAMPS, UNKNOWN_CATEGORY, UNKNOWN_STATE
@@ -86,33 +85,11 @@ def filter_domains(fact: DataFrame) -> DataFrame:
     """F-07: the control domains in long form, (control, value) rows: the
     distinct categories and states plus the min/max purchase date.
 
-    One pass over the fact: each row contributes a (category, value, ts) and a
-    (state, value, ts) pair, aggregated per (control, value) with partial
-    aggregation; the date bounds come from that small table."""
+    The values are distinct pairs (partial aggregation first), the dates one
+    more aggregate; no task sees all values."""
     ts = F.col(DATE_COLUMN)
-    pairs = fact.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("category").alias("control"), F.col("product_category").cast("string").alias("value"), ts.alias("ts")),
-                F.struct(F.lit("state").alias("control"), F.col("customer_state").cast("string").alias("value"), ts.alias("ts")),
-            )
-        ).alias("p")
-    ).select("p.*")
-    # U-02 distinct values (with their date bounds) per control
-    per_value = pairs.groupBy("control", "value").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    # one row per distinct category/state: small, so a global window is fine
-    every = Window.partitionBy()
-    first = F.row_number().over(Window.orderBy("control", "value")) == 1
-    bounds = per_value.select(
-        "control", "value",
-        F.date_format(F.min("lo").over(every).cast("date"), "yyyy-MM-dd").alias("min_date"),
-        F.date_format(F.max("hi").over(every).cast("date"), "yyyy-MM-dd").alias("max_date"),
-        first.alias("first"),
-    )
-    rows = F.array(F.struct(F.col("control"), F.col("value")))
-    date_rows = F.array(
-        F.struct(F.lit("min_date").alias("control"), F.col("min_date").alias("value")),
-        F.struct(F.lit("max_date").alias("control"), F.col("max_date").alias("value")),
-    )
-    out = bounds.select(F.explode(F.when(F.col("first"), F.concat(rows, date_rows)).otherwise(rows)).alias("r"))
-    return out.select("r.control", "r.value").filter(F.col("value").isNotNull())
+    pair = lambda control, column: F.struct(F.lit(control).alias("control"), F.col(column).cast("string").alias("value"))
+    values = fact.select(F.explode(F.array(pair("category", "product_category"), pair("state", "customer_state"))).alias("r")).select("r.*").distinct()
+    bound = lambda name, day: F.struct(F.lit(name).alias("control"), F.date_format(day.cast("date"), "yyyy-MM-dd").alias("value"))
+    dates = fact.agg(F.array(bound("min_date", F.min(ts)), bound("max_date", F.max(ts))).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return values.unionByName(dates).filter(F.col("value").isNotNull())

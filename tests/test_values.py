@@ -59,3 +59,12 @@ def test_whole_failure_text_is_logged(spark, tmp_path):
     result = run_ingest(spark, str(tmp_path / "wh"), raw=raw)
     logged = read_runs(spark, str(tmp_path / "wh")).first()
     assert result.status == logged.status == "failed" and logged.message == result.message and len(result.message) > 4000
+
+
+def test_forecast_methods(spark):
+    from marketlens.operators.forecast import forecast_methods
+
+    fact = spark.sql("""SELECT c AS product_category, make_timestamp_ntz(2020, m, 1, 0, 0, 0) AS month, 1.0D AS revenue
+                        FROM VALUES ('long', 1), ('long', 4), ('short', 1), ('short', 2) AS t(c, m)""")
+    got = {r["product_category"]: (r["months"], r["method"]) for r in forecast_methods(fact, ["product_category"]).collect()}
+    assert got == {"long": (4, "Exponential smoothing fallback"), "short": (2, "Insufficient history")}
