@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import threading
 import zipfile
@@ -71,6 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="marketlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # made here, so removed here
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -120,4 +123,5 @@ def ship_package(spark: SparkSession) -> None:
                         full = os.path.join(dirpath, name)
                         zf.write(full, os.path.relpath(full, root))
         sc.addPyFile(path)
+        atexit.register(lambda: os.path.exists(path) and os.remove(path))  # tasks fetch it as long as the session lives
         _SHIPPED.add(sc.applicationId)
