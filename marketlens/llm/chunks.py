@@ -3,14 +3,18 @@
 A gear hash rolls over the bytes: shift left by one, add the byte's random
 value, so it depends on the last 32 bytes only. Where its top ``BITS`` bits
 are 0 a chunk ends; an insertion moves the cuts around it and no others.
-Chunks with equal digests are one chunk: the occurrence in the text with the
-smallest tag (a hash of the text), there the first, owns it, and all others
-repeat it. A run of repeated chunks goes if it has at least ``LEAST`` bytes;
-shorter ones are phrases that any two texts may share. What goes is kept by
-its owner, so no content is lost.
+A chunk's extent is the chunk and the 32 bytes that made the cut before it (a
+text's first chunk has none). Chunks with equal extents are one chunk: the
+occurrence in the text with the smallest tag (a hash of the text), there the
+first, owns it, and all others repeat it. Every repeated extent goes, however
+short, but for bytes in an extent that the text owns. So what goes is kept by
+its owner and no content is lost; a chunk of a few bytes goes only after equal
+32 bytes. Of a passage in otherwise different texts goes what lies between 32
+bytes before its first cut (from its 32nd byte on) and its last cut; nothing
+goes of a passage with fewer than two such cuts.
 
 Of the copies of a text, the one with the smallest doc_id is treated as
-above, the others repeat it wholly and go if they have ``LEAST`` bytes.
+above, the others repeat it wholly and go, whatever their length.
 Rows equal in doc_id and text are one document. Empty and null texts have no
 chunks. A cut needs 32 bytes before it in the same text; the last chunk ends
 with the text.
@@ -32,7 +36,6 @@ from marketlens.llm import packed as P
 from marketlens.llm.packed import ENTRIES
 
 BITS = 5
-LEAST = 128
 _ROLL = 32
 _REPEAT, _OWN = 1, 2
 
@@ -56,10 +59,21 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], cut[cut < len(data)]]))
 
 
+def leads(starts: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Starts of the extents of chunks in texts that start at ``texts``."""
+    return np.where(starts > texts, starts - _ROLL, starts)
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` bytes lie in an extent."""
+    depth = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(depth[:size]) > 0
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, n_shared, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text, any others).
 
-    ``n_shared``: bytes in chunks that occur elsewhere too, owned ones included."""
+    ``n_shared``: bytes in extents that occur elsewhere too, owned ones included."""
     texts, size, n_texts = P.distinct_texts(docs)
     n_buckets = max(1, -(-size // (1 << BITS) // ENTRIES))
 
@@ -70,7 +84,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                 starts = chunk_starts(data, offsets)
                 of = np.searchsorted(offsets, starts, "right") - 1
                 raw, ends = data.tobytes(), np.append(starts[1:], len(data)).tolist()
-                digests = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts.tolist(), ends, strict=True)), np.uint64, len(starts))
+                digests = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(leads(starts, offsets[of]).tolist(), ends, strict=True)), np.uint64, len(starts))
                 held.append((digests, tags[at + of], starts - offsets[of]))
                 if sum(len(h[0]) for h in held) >= ENTRIES or to == batch.num_rows:
                     digests, own, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -98,17 +112,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
             for i in range(to - at):
                 text = data[offsets[i] : offsets[i + 1]]
                 first = starts[slice(*np.searchsorted(starts, offsets[i : i + 2]))] - offsets[i]
-                long = np.diff(np.append(first, len(text)))
+                lead, ends = leads(first, 0), np.append(first[1:], len(text))
                 owned, repeated = np.zeros(len(first), bool), np.zeros(len(first), bool)
                 if int(tags[at + i]) in marks:
                     pos, code = marks[int(tags[at + i])]
                     owned[np.searchsorted(first, pos[code == _OWN])] = True
                     repeated[np.searchsorted(first, pos[code == _REPEAT])] = True
                     repeated &= ~owned
-                run = np.cumsum(np.diff(np.concatenate([[False], repeated]).astype(np.int8)) != 0)
-                gone = repeated & (np.bincount(run, long, run.max() + 1)[run] >= LEAST) if len(first) else repeated
-                n, spans, rest = B.kept_bytes(text, np.repeat(gone, long))
-                out.append((digests[at + i], len(text), len(first), int(long[owned | repeated].sum()), n, spans, sha256(rest).hexdigest()))
+                kept, again = (covered(lead[x], ends[x], len(text)) for x in (owned, repeated))
+                n, spans, rest = B.kept_bytes(text, again & ~kept)
+                out.append((digests[at + i], len(text), len(first), int((kept | again).sum()), n, spans, sha256(rest).hexdigest()))
         columns = list(zip(*out, strict=True)) if out else [()] * 7
         return pa.table({name: pa.array(column, pa.string() if name in ("md5", "kept_sha256") else pa.int64()) for name, column in zip(
             ("md5", "n_bytes", "n_chunks", "n_shared", "n_removed", "n_spans", "kept_sha256"), columns, strict=True)})
@@ -118,11 +131,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"))
     groups = rows.groupBy("md5").agg(F.min("doc_id").alias("_first"), F.count_distinct("doc_id").alias("_ids"))
     copy = ~F.col("doc_id").eqNullSafe(F.col("_first"))
-    goes = copy & (F.col("n_bytes") >= LEAST)
     return (
         rows.join(done.join(groups, "md5"), "md5")
         .select("doc_id", "n_bytes", "n_chunks", F.when(F.col("_ids") > 1, F.col("n_bytes")).otherwise(F.col("n_shared")).alias("n_shared"),
-                F.when(goes, F.col("n_bytes")).when(copy, 0).otherwise(F.col("n_removed")).alias("n_removed"),
-                F.when(goes, 1).when(copy, 0).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
-                F.when(goes, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+                F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+                F.when(copy, F.least("n_bytes", F.lit(1))).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+                F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
     )

@@ -220,6 +220,61 @@ def test_chunks(docs, empty):
         assert int(gear(data)[i]) == h
 
 
+def test_chunks_of_passages_and_short_copies(spark):
+    from marketlens.llm.chunks import repeated_chunks
+
+    draw = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(draw.choice(list("etaoinshrdlu"), draw.integers(2, 9))) for _ in range(n))
+    passages = [words(51) for _ in range(400)]
+    texts = [f"{words(60)} {p} {words(60)}" for p in passages for _ in range(2)]
+    short = ["k", "two words", words(10)]
+    rows = [(i, t) for i, t in enumerate(texts + short + short)]
+    got = {r["doc_id"]: r for r in repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, again = (range(len(texts) + k * len(short), len(texts) + (k + 1) * len(short)) for k in (0, 1))
+    assert [got[i]["n_removed"] for i in first] == [0] * 3
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in again] == [(len(t), 1) for t in short]
+    # one text of each two keeps the passage, the other loses the share of it between its cuts
+    lost = np.array([[got[2 * i + k]["n_removed"] for k in (0, 1)] for i in range(len(passages))])
+    share = lost.max(axis=1) / np.array([len(p) for p in passages])
+    assert (lost.min(axis=1) == 0).all() and share.max() < 1.01
+    assert (share == 0).mean() <= 0.02 and (share < 0.5).mean() <= 0.06 and share.mean() > 0.75
+
+
+def test_chunks_against_brute_force(spark):
+    """Extents, owners and what stays, one byte and one extent at a time."""
+    from marketlens.llm.chunks import repeated_chunks
+
+    draw = np.random.default_rng(6)
+    part = lambda: "".join(draw.choice(list("abc é"), draw.integers(1, 300)))
+    parts = [part() for _ in range(12)]
+    texts = ["".join(parts[k] for k in draw.integers(0, 12, draw.integers(1, 8))) + part() for _ in range(40)] + ["", None, "a", "ab" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    tags = {r["doc_id"]: r["tag"] % (1 << 64) for r in docs.select("doc_id", F.xxhash64("md5").alias("tag")).collect()}
+    table = np.random.default_rng(10).integers(0, 1 << 32, 256, dtype=np.uint32).tolist()
+    extents, seen = {}, {}
+    for i, t in enumerate(texts):
+        raw, cuts, h = (t or "").encode(), [0], 0
+        for k, b in enumerate(raw):
+            h = (2 * h + table[b]) % (1 << 32)
+            if h >> 27 == 0 and k >= 31 and k + 1 < len(raw):
+                cuts.append(k + 1)
+        extents[i] = [(max(0, a - 32), b) for a, b in zip(cuts, cuts[1:] + [len(raw)], strict=True) if b]
+        for n, (a, b) in enumerate(extents[i]):
+            seen.setdefault(raw[a:b], []).append((tags[i], n, i))
+    assert len(set(map(str, texts))) == len(texts)
+    for r in repeated_chunks(docs.select("doc_id", "text")).collect():
+        i = r["doc_id"]
+        raw = (texts[i] or "").encode()
+        own, again = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        for n, (a, b) in enumerate(extents[i]):
+            held = sorted(seen[raw[a:b]])
+            if len(held) > 1:
+                (own if held[0][1:] == (n, i) else again)[a:b] = True
+        rest = bytes(np.frombuffer(raw, np.uint8)[~again | own])
+        assert (r["n_chunks"], r["n_shared"], r["n_removed"]) == (len(extents[i]), (own | again).sum(), len(raw) - len(rest)), i
+        assert r["kept_sha256"] == hashlib.sha256(rest).hexdigest()
+
+
 def test_search(spark):
     from marketlens.llm.multiindex import search
 
