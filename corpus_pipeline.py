@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles at similarity 0.8: the smallest doc_id."""
+    """One document of each group linked by 5-word shingles at similarity 0.8: the smallest doc_id (nulls last), then text_md5."""
     kept = near_duplicates(docs, shingle=5, percent=80).where("kept")
     return _only(docs, kept, "left_semi").dropDuplicates(["doc_id", "__md5"]).drop("__md5")
 

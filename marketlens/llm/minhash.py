@@ -20,8 +20,9 @@ pair is lost, and no pair is ever a row.
 
 Texts without words, empty texts and nulls have no set and are linked with
 nothing. Fewer words than ``shingle`` make one shingle. Rows without doc_id
-take part; a component made of them alone has component_id null. Rows equal
-in doc_id and text get equal results.
+take part; a component made of them alone has component_id null. Of a
+component the row with the smallest doc_id (nulls last), then the smallest
+text_md5, is kept. Rows equal in doc_id and text get equal results.
 """
 
 from __future__ import annotations
@@ -203,11 +204,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """(doc_id, text_md5, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text, any others)."""
     signed = store(signatures(docs, shingle))
     nodes = store(signed.where("node IS NOT NULL").groupBy("node", "n_shingles").agg(
-        F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.any_value("bands").alias("bands")))
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("first"), F.any_value("bands").alias("bands")))
     entries = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = store(entries.join(shared, "bucket"))
-    member_ids = members.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("_id")).distinct()
+    member_ids = members.select("node").distinct().join(nodes, "node").select(F.col("first.doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(member_ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = store(full_sets(texts, shingle).groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     labels = store(members.select("node", F.col("node").alias("component")).distinct())
@@ -223,9 +224,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         pairs = placed.where(100 * low >= percent * high).select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         labels = merged(labels, confirmed(pairs.distinct(), sets, percent))
     labels = merged(labels, outlier_links(members.where("held > 2").join(labels, "node").select("bucket", "node", "component"), sets, percent))
-    named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    result = signed.select("doc_id", "text_md5", "n_shingles", "node").join(named.join(smallest, "component").select("node", "component_id", F.lit(True).alias("_in")), "node", "left")
-    component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "text_md5", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+    placed = named.select("node", "component").join(smallest, "component").select(
+        "node", F.col("first.doc_id").alias("_id"), F.col("first.text_md5").alias("_md5"), F.lit(True).alias("_in"))
+    result = signed.select("doc_id", "text_md5", "n_shingles", "node").join(placed, "node", "left")
+    first = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_md5").eqNullSafe(F.col("_md5"))
+    return result.select(
+        "doc_id", "text_md5", "n_shingles", F.when(F.col("_in"), F.col("_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("_in"), first).otherwise(F.lit(True)).alias("kept"))

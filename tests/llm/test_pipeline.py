@@ -1,5 +1,7 @@
 """The pipeline's stages on documents with planted cases, and the registered queries."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -43,6 +45,21 @@ def test_stages(spark, planted):
     assert max(r["count"] for r in counts) - min(r["count"] for r in counts) <= 1
 
 
+def test_near_copies_without_or_with_equal_ids(spark):
+    import corpus_pipeline as p
+
+    draw = np.random.default_rng(8)
+    texts = [" ".join("".join(draw.choice(list("aeioubcdst"), 6)) for _ in range(80)) for _ in range(5)]
+    alone = [(None, texts[0]), (None, texts[0] + " tail"), (None, texts[0] + " end")]
+    equal = [(7, texts[1]), (7, texts[1] + " tail"), (7, texts[2])]
+    both = [(None, texts[3]), (9, texts[3] + " tail"), (9, texts[3] + " end"), (8, texts[4])]
+    rows = [*alone, *equal, *both, alone[0], (None, None), (None, ""), (10, "")]
+    left = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    md5 = lambda row: hashlib.md5(row[1].encode()).hexdigest()
+    want = [min(alone, key=md5), min(equal[:2], key=md5), equal[2], min(both[1:3], key=md5), both[3], *rows[-3:]]
+    assert sorted(map(tuple, left), key=str) == sorted(want, key=str)
+
+
 def test_queries(spark, planted):
     import corpus_pipeline
     from marketlens.llm.queries import ORACLE, QUERIES
