@@ -67,7 +67,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shard),
 ]
 
-#: Classifier and hashes have no SQL; tests hold each stage against brute force.
+#: Classifier and hashes have no SQL; tests hold the stages against planted cases, near-dedup also against all pairs.
 ORACLE_SQL = None
 
 
