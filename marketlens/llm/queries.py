@@ -79,6 +79,24 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_chunks(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_shared_term_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.ranking import top_documents
+
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_consistent_hash_shards": op2_consistent_hash_shards,
@@ -90,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_weighted_mix": op9_weighted_mix,
     "op10_gear_chunks": op10_gear_chunks,
+    "op11_simhash_blocks": op11_simhash_blocks,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_shared_term_ranking": op13_shared_term_ranking,
 }
 
 _SHINGLES = r"""
@@ -99,6 +120,11 @@ _SHINGLES = r"""
                                                '[^\x20\x09-\x0D]+') AS w FROM {table})
         WHERE len(w) > 0"""
 
+_TERMS = r"""
+        SELECT row, {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM (SELECT {key}, text, row_number() OVER () AS row FROM {table})"""
+
 ORACLE: dict[str, str] = {
     "op8_benchmark_containment": f"""
         WITH items AS (SELECT DISTINCT item_id, s FROM ({_SHINGLES.format(key="item_id", table="benchmark")})),
@@ -148,4 +174,19 @@ ORACLE: dict[str, str] = {
                END AS BIGINT) AS taken
         FROM runs r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
     """,
+    "op13_shared_term_ranking": rf"""
+        WITH held AS ({_TERMS.format(key="doc_id", table="documents")}),
+             sizes AS (SELECT row, doc_id, count(*) AS n FROM held GROUP BY ALL),
+             whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+             asked AS (SELECT DISTINCT row AS item, item_id, t FROM ({_TERMS.format(key="item_id", table="benchmark")})),
+             tfs AS (SELECT row, t, count(*) AS tf FROM held WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+             weights AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tfs, whole GROUP BY t, docs),
+             scored AS (
+               SELECT item, item_id, doc_id, sizes.row,
+                      CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length))))) AS BIGINT) AS score
+               FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN sizes ON sizes.row = tfs.row, whole GROUP BY ALL),
+             ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank
+                        FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
 }
