@@ -16,3 +16,5 @@ from marketlens.functions.columns import (  # noqa: F401
     to_timestamp_ntz,
 )
 from marketlens.functions.quantiles import exact_median, exact_medians, grouped_quantiles  # noqa: F401
+from marketlens.functions.quota import smallest  # noqa: F401
+from marketlens.functions.roc import area_under_roc  # noqa: F401

@@ -1,30 +1,26 @@
 """Churn features, model, metrics and drivers (A-14, A-19, A-20, M-03..M-07,
 J-06, T-05, T-06).
 
-The model is Spark ML logistic regression on the customer table (one row
-per customer, checkpointed before fitting). Its objective is set to equal a
-class-balanced, C=1, L2 logistic regression: Spark minimises
-``(1/sum w) * sum w_i * loss_i + (regParam/2) * ||beta||^2``; balanced weights
-sum to the number of training rows ``n``, so ``regParam = 1/n`` gives the same
-optimum. The holdout split hashes the customer id (no shuffle, deterministic,
-about 25% of each class).
+The model is class-balanced logistic regression with an L2 penalty of C = 1
+(``operators.logistic``), fitted on the customer table (one row per customer,
+checkpointed before). The holdout is stratified to the row: of each class the
+customers with the smallest seeded md5 (``functions.quota``).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions import exact_medians, mean_days_between
+from marketlens.functions import area_under_roc, exact_medians, mean_days_between, smallest
 from marketlens.operators.customer import customer_aggregates
+from marketlens.operators.logistic import fit_logistic, margin
 from marketlens.schemas import CHURN_FEATURES, DATE_COLUMN
-from marketlens.session import checkpoint_table
+from marketlens.session import checkpoint_table, plain_plans
 
 
 def customer_features(fact: DataFrame, churn_days: int = 120, checkpoint: bool = True) -> DataFrame:
@@ -86,35 +82,59 @@ def _degenerate(features: DataFrame) -> ChurnResult:
     return ChurnResult(_metrics(spark, 0.0, 0.0), features.withColumn("churn_probability", F.lit(0.0)), drivers)
 
 
-def holdout_flag(id_col: str = "customer_unique_id", test_fraction: float = 0.25, seed: int = 42):
-    """M-03: deterministic id-hash holdout (no shuffle)."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10000)) < int(round(test_fraction * 10000))
+def holdout_quotas(counts: dict[int, int], test_fraction: float = 0.25) -> dict[int | None, int]:
+    """M-03: holdout rows per class of the given sizes; under the key None for all classes together, if one has a single row.
 
+    ceil(test_fraction * n) rows are held out. The training rows are shared
+    over the classes in proportion, remainders to the largest fractions (ties:
+    the smaller label); the rest of each class is held out."""
+    n = sum(counts.values())
+    n_test = math.ceil(test_fraction * n)
+    if min(counts.values(), default=0) < 2:
+        return {None: n_test}
+    share = {c: (n - n_test) * k / n for c, k in counts.items()}
+    train = {c: math.floor(s) for c, s in share.items()}
+    spare = n - n_test - sum(train.values())
+    for c in sorted(share, key=lambda c: (train[c] - share[c], c))[:spare]:
+        train[c] += 1
+    return {c: k - train[c] for c, k in counts.items()}
 
-def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000) -> ChurnResult:
+
+def holdout_flag(features: DataFrame, counts: dict[int, int], seed: int = 42, test_fraction: float = 0.25) -> Column:
+    """M-03: flag of the held-out rows of ``features``, whose classes have ``counts`` rows."""
+    quotas = holdout_quotas(counts, test_fraction)
+    group = F.col("churned") if None not in quotas else F.lit(0)
+    return smallest(features, "customer_unique_id", group, {0 if c is None else c: k for c, k in quotas.items()}, seed)
+
+
+def churn_split(features: DataFrame, seed: int = 42) -> DataFrame:
+    """M-03: (customer_unique_id, churned, is_test) of every customer."""
+    counts = {r["churned"]: r["customers"] for r in class_balance(features).collect()}
+    flag = holdout_flag(features, counts, seed) if counts else F.lit(False)
+    return features.select("customer_unique_id", "churned", flag.alias("is_test"))
+
+
+def train_churn_model(features: DataFrame, seed: int = 42, max_steps: int = 60, importance: str = "mean_abs_shap") -> ChurnResult:
     """M-04/M-05/M-07: fit, evaluate on the holdout, score every customer.
 
-    Passes over the customer table: one aggregate (class balance, holdout
-    counts, means, population stds), the optimiser's iterations, one aggregate
-    for the holdout confusion counts and the driver importances, and the
-    AUC evaluation. ``features`` is normally the checkpointed customer table."""
-    spark = features.sparkSession
-    is_test = holdout_flag(seed=seed)
-    label = F.col("churned")
-    stats = features.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(label).alias("pos"),
-        F.sum(F.when(~is_test, 1).otherwise(0)).alias("n_train"),
-        F.sum(F.when(~is_test, label).otherwise(0)).alias("pos_train"),
-        *[F.avg(c).alias(f"m_{c}") for c in CHURN_FEATURES],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in CHURN_FEATURES],
-    ).first()
+    Passes over the customer table: one aggregate (class counts, means,
+    population stds), two small ones for the holdout, one per Newton step, one
+    for the holdout confusion counts and the driver importances, and one for
+    the AUC. ``features`` is normally the checkpointed customer table."""
+    spark, label = features.sparkSession, F.col("churned")
+    with plain_plans(spark):
+        stats = features.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(label).alias("pos"),
+            *[F.avg(c).alias(f"m_{c}") for c in CHURN_FEATURES],
+            *[F.stddev_pop(c).alias(f"s_{c}") for c in CHURN_FEATURES],
+        ).collect()[0]
     n, pos = stats["n"] or 0, stats["pos"] or 0
     if n == 0 or pos in (0, n):  # empty or a single class
         return _degenerate(features)
-    n_train, pos_train = stats["n_train"] or 0, stats["pos_train"] or 0
-    if pos_train in (0, n_train):  # a class missing from the training split
-        return _degenerate(features)
+    counts = {0: n - pos, 1: pos}
+    quotas = holdout_quotas(counts)
+    flag = holdout_flag(features, counts, seed)
 
     # M-01 with the moments from the aggregate above (constant column -> 0)
     zcols = [f"{c}_z" for c in CHURN_FEATURES]
@@ -122,66 +142,60 @@ def train_churn_model(features: DataFrame, seed: int = 42, max_iter: int = 1000)
     for c, z in zip(CHURN_FEATURES, zcols):
         mean, std = stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0
         scaled[z] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std if std > 0 else 1.0)
-    data = features.withColumns(scaled).withColumn("is_test", is_test)
-    data = VectorAssembler(inputCols=zcols, outputCol="features").transform(data).persist(StorageLevel.MEMORY_AND_DISK)
+    data = features.withColumns(scaled).withColumn("is_test", flag).persist(StorageLevel.MEMORY_AND_DISK)
+    train = data.where(~F.col("is_test"))
+    if None in quotas:
+        n_train, pos_train = n - quotas[None], train.where(label == 1).count()
+    else:
+        n_train, pos_train = n - sum(quotas.values()), pos - quotas[1]
+    if pos_train in (0, n_train):  # a class missing from the training split
+        data.unpersist()
+        return _degenerate(features)
 
     # balanced class weights over the training rows (they sum to n_train)
     w_pos = n_train / (2.0 * pos_train)
     w_neg = n_train / (2.0 * (n_train - pos_train))
-    train = data.filter(~F.col("is_test")).withColumn("w", F.when(label == 1, w_pos).otherwise(w_neg))
-    lr = LogisticRegression(
-        featuresCol="features", labelCol="churned", weightCol="w", regParam=1.0 / n_train, elasticNetParam=0.0,
-        standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-6,
-    )
-    model = lr.fit(train)
-    coef = [float(c) for c in model.coefficients.toArray()]
-    intercept = float(model.intercept)
-    scored = with_probability(data, coef, intercept)
-    metrics, drivers = evaluate(scored, coef)
+    fit = fit_logistic(train.withColumn("w", F.when(label == 1, w_pos).otherwise(w_neg)), zcols, "churned", "w", max_steps=max_steps)
+    scored = with_probability(data, fit.coefficients, fit.intercept)
+    metrics, drivers = evaluate(scored, fit.coefficients, importance)
     data.unpersist()
     predictions = scored.select(*features.columns, "churn_probability")
-    return ChurnResult(metrics, predictions, drivers, coef, intercept)
+    return ChurnResult(metrics, predictions, drivers, fit.coefficients, fit.intercept)
 
 
 def with_probability(data: DataFrame, coef: list[float], intercept: float) -> DataFrame:
     """M-04: ``churn_probability`` from standardised ``<feature>_z`` columns, a plain expression (codegen, no vector UDF)."""
-    margin = F.lit(intercept)
-    for w, c in zip(coef, CHURN_FEATURES):
-        margin = margin + F.lit(w) * F.col(f"{c}_z")
-    return data.withColumn("churn_probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
+    m = margin([f"{c}_z" for c in CHURN_FEATURES], coef, intercept)
+    return data.withColumn("churn_probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-m)))
 
 
-def evaluate(scored: DataFrame, coef: list[float]) -> tuple[DataFrame, DataFrame]:
-    """M-05, M-07: (F1 and AUC-ROC over the rows with ``is_test``, five strongest drivers over all rows)."""
+def evaluate(scored: DataFrame, coef: list[float], importance: str = "mean_abs_shap") -> tuple[DataFrame, DataFrame]:
+    """M-05, M-07: (F1 and AUC-ROC over the rows with ``is_test``, five strongest drivers).
+
+    ``importance``: ``mean_abs_shap``, the mean |coefficient * (x - mean x)|
+    over all rows (exact for a linear model), or ``abs_coefficient``."""
     spark, label = scored.sparkSession, F.col("churned")
     zcols = [f"{c}_z" for c in CHURN_FEATURES]
     prob, test = F.col("churn_probability"), F.col("is_test")
-    summary = scored.agg(
-        F.sum((test & (prob >= 0.5) & (label == 1)).cast("long")).alias("tp"),
-        F.sum((test & (prob >= 0.5) & (label == 0)).cast("long")).alias("fp"),
-        F.sum((test & (prob < 0.5) & (label == 1)).cast("long")).alias("fn"),
-        F.sum((test & (label == 1)).cast("long")).alias("test_pos"),
-        F.sum(test.cast("long")).alias("test_n"),
-        # M-07: mean |linear SHAP| = avg |coef_j * (z_j - mean z_j)|; standardised
-        # columns have mean 0, so the background mean drops out
-        *[F.avg(F.abs(F.lit(coef[i]) * F.col(z))).alias(f"imp_{z}") for i, z in enumerate(zcols)],
-    ).first()
+    if importance == "mean_abs_shap":  # standardised columns have mean 0, so the background mean drops out
+        strength = [F.avg(F.abs(F.lit(w) * F.col(z))) for w, z in zip(coef, zcols, strict=True)]
+    elif importance == "abs_coefficient":
+        strength = [F.lit(abs(w)) for w in coef]
+    else:
+        raise ValueError(f"unknown importance: {importance}")
+    with plain_plans(spark):
+        summary = scored.agg(
+            F.sum((test & (prob >= 0.5) & (label == 1)).cast("long")).alias("tp"),
+            F.sum((test & (prob >= 0.5) & (label == 0)).cast("long")).alias("fp"),
+            F.sum((test & (prob < 0.5) & (label == 1)).cast("long")).alias("fn"),
+            *[s.alias(f"imp_{z}") for s, z in zip(strength, zcols, strict=True)],
+        ).collect()[0]
     tp, fp, fn = summary["tp"] or 0, summary["fp"] or 0, summary["fn"] or 0
     f1 = 2.0 * tp / (2 * tp + fp + fn) if (2 * tp + fp + fn) else 0.0
-    test_pos, test_n = summary["test_pos"] or 0, summary["test_n"] or 0
-    if 0 < test_pos < test_n:
-        evaluator = BinaryClassificationEvaluator(
-            rawPredictionCol="churn_probability", labelCol="churned", metricName="areaUnderROC", numBins=0
-        )
-        auc = evaluator.evaluate(
-            scored.filter(test).select("churn_probability", label.cast("double").alias("churned"))
-        )
-    else:
-        auc = 0.0
-
-    rows = [(f, float(summary[f"imp_{z}"] or 0.0), "mean_abs_shap") for f, z in zip(CHURN_FEATURES, zcols)]
+    auc = area_under_roc(scored.where(test), "churn_probability", "churned")
+    rows = [(f, float(summary[f"imp_{z}"] or 0.0), importance) for f, z in zip(CHURN_FEATURES, zcols)]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return _metrics(spark, f1, auc), spark.createDataFrame(rows[:5], "feature string, importance double, source string")
+    return _metrics(spark, f1, auc or 0.0), spark.createDataFrame(rows[:5], "feature string, importance double, source string")
 
 
 def churn_by_segment(predictions: DataFrame, rfm: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import threading
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,21 @@ def apply_core_conf(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+@contextmanager
+def plain_plans(spark: SparkSession) -> Iterator[None]:
+    """Plan and run without adaptive re-planning: for small aggregates inside a driver loop.
+
+    AQE runs each shuffle stage of a query as a job of its own; a partial
+    aggregate that ends in a few rows has nothing to re-plan and is one job
+    without it."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -164,11 +164,11 @@ def test_logistic_matches_independent_newton_solve(spark):
     res = churn.train_churn_model(df)
     # rebuild the same scaled train split independently
     z = (feats - feats.mean(axis=0)) / feats.std(axis=0)
-    flags = {r.customer_unique_id: r.t for r in df.select("customer_unique_id", churn.holdout_flag().alias("t")).collect()}
+    flags = _plain_split({f"u{i}": int(y[i]) for i in range(n)})
     train = np.array([not flags[f"u{i}"] for i in range(n)])
     coef, intercept = _newton_balanced_l2(z[train], y[train])
-    assert res.coefficients == pytest.approx(list(coef), rel=1e-3, abs=1e-4)
-    assert res.intercept == pytest.approx(intercept, rel=1e-3, abs=1e-4)
+    assert res.coefficients == pytest.approx(list(coef), rel=1e-9, abs=1e-9)
+    assert res.intercept == pytest.approx(intercept, rel=1e-9, abs=1e-9)
     probs = [r.churn_probability for r in res.predictions.collect()]
     assert len(probs) == n and all(0.0 <= p <= 1.0 for p in probs)
     metrics = {r.metric: r.value for r in res.metrics.collect()}
@@ -178,6 +178,85 @@ def test_logistic_matches_independent_newton_solve(spark):
     exp_imp = np.abs(coef * (z - z.mean(axis=0))).mean(axis=0)
     got = {r.feature: r.importance for r in drivers}
     assert [got[f] for f in CHURN_FEATURES] == pytest.approx(list(exp_imp), rel=1e-3)
-    # test split is about a quarter of each class
-    test_share = 1 - train.mean()
-    assert 0.18 < test_share < 0.32
+    # the test split is a quarter of each class, to the row
+    assert (~train).sum() == 150 and abs((~train)[y == 1].sum() - y.sum() / 4) < 1
+    # the fallback without SHAP values
+    zs = customer.standardize(df, CHURN_FEATURES)
+    scored = churn.with_probability(zs, res.coefficients, res.intercept).withColumn("is_test", F.lit(True))
+    by_size = churn.evaluate(scored, res.coefficients, "abs_coefficient")[1].collect()
+    assert {r.feature: r.importance for r in by_size} == pytest.approx({f: abs(w) for f, w in zip(CHURN_FEATURES, res.coefficients)})
+    assert {r.source for r in by_size} == {"abs_coefficient"}
+    with pytest.raises(ValueError):
+        churn.evaluate(scored, res.coefficients, "gain")
+
+
+def _plain_split(labels, seed=42):
+    """{id: held out} by sorting each class on (md5 of seed:id, id)."""
+    from hashlib import md5
+
+    n = len(labels)
+    n_test = -(-n // 4)
+    classes = {c: [i for i in labels if labels[i] == c] for c in sorted(set(labels.values()))}
+    if min(len(v) for v in classes.values()) < 2:
+        classes, quota = {0: list(labels)}, {0: n_test}
+    else:
+        share = {c: (n - n_test) * len(v) / n for c, v in classes.items()}
+        train = {c: int(s) for c, s in share.items()}
+        for c in sorted(share, key=lambda c: (train[c] - share[c], c))[: n - n_test - sum(train.values())]:
+            train[c] += 1
+        quota = {c: len(v) - train[c] for c, v in classes.items()}
+    out = dict.fromkeys(labels, False)
+    for c, ids in classes.items():
+        for i in sorted(ids, key=lambda i: (md5(f"{seed}:{i}".encode()).hexdigest(), i))[: quota[c]]:
+            out[i] = True
+    return out
+
+
+@pytest.mark.parametrize("n, positives", [(400, 101), (401, 3), (50, 1), (7, 2), (2, 1)])
+def test_split_holds_out_a_quarter_of_each_class(spark, n, positives):
+    labels = {f"c{i}": int(i < positives) for i in range(n)}
+    df = spark.createDataFrame([(i, y) for i, y in labels.items()], "customer_unique_id string, churned int")
+    got = {r.customer_unique_id: r.is_test for r in churn.churn_split(df).collect()}
+    assert got == _plain_split(labels)
+
+
+def test_quota_narrows_prefix_by_prefix(spark):
+    from hashlib import md5
+
+    from marketlens.functions import smallest
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).alias("g"))
+    flag = smallest(df, "k", F.col("g"), {0: 700, 1: 2000}, seed=5, digits=1, small=2)
+    got = {r.k for r in df.where(flag).collect()}
+    of = lambda g: sorted((str(i) for i in range(g, 3000, 2)), key=lambda k: (md5(f"5:{k}".encode()).hexdigest(), k))
+    assert got == set(of(0)[:700]) | set(of(1))  # class 1 has 1500 rows, fewer than its quota
+
+
+def test_area_under_roc_with_heavy_ties(spark):
+    from marketlens.functions import area_under_roc
+
+    rng = np.random.default_rng(2)
+    score = np.where(rng.random(900) < 0.34, 0.5, np.round(rng.random(900), 2))
+    y = (rng.random(900) < 0.3 + 0.4 * score).astype(int)
+    df = spark.createDataFrame([(float(s), int(v)) for s, v in zip(score, y)] + [(None, 1)], "s double, y int")
+    pos, neg = score[y == 1], score[y == 0]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert area_under_roc(df, "s", "y") == pytest.approx(want, abs=1e-12)
+    assert area_under_roc(df.where("y = 1"), "s", "y") is None
+
+
+def test_newton_steps_survive_separable_classes(spark):
+    """A feature that separates the classes: the penalty alone bounds the coefficients."""
+    from marketlens.operators.logistic import fit_logistic
+
+    x = np.linspace(-2, 2, 200)
+    y = (x > 0.3).astype(int)
+    df = spark.createDataFrame([(float(a), 1.0, int(b), 1.0) for a, b in zip(x, y)], "a double, b double, y int, w double")
+    fit = fit_logistic(df, ["a", "b"], "y", "w")
+    theta = np.zeros(3)
+    xa = np.stack([x, np.ones(200), np.ones(200)], axis=1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-xa @ theta))
+        theta -= np.linalg.solve(xa.T @ (xa * (p * (1 - p))[:, None]) + np.diag([1, 1, 0]), xa.T @ (p - y) + theta * [1, 1, 0])
+    assert fit.coefficients + [fit.intercept] == pytest.approx(theta.tolist(), abs=1e-7)
+    assert fit.steps < 20
