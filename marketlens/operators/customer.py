@@ -1,30 +1,24 @@
 """Customer value: RFM base, standardisation, K-Means segments (A-13, A-15,
 A-16, M-01, M-02, W-04, W-06, J-08, T-02).
 
-Per-customer tables are one row per customer; the K-Means inputs are
-checkpointed to the shared checkpoint folder, so the restarts (independent
-Spark ML fits, run as concurrent jobs) re-read a short lineage and survive
-executor loss without recomputing the fact aggregation. Only fitted
-parameters and <= k-row cluster profiles reach the driver.
+Per-customer tables are one row per customer; the K-Means input is
+checkpointed to the shared checkpoint folder, so its passes re-read a short
+lineage and survive executor loss without recomputing the fact aggregation.
+Only fitted parameters and <= k-row cluster profiles reach the driver.
 """
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketlens.functions import clip, days_between, money_sum
-from marketlens.operators.kmeans import assign_clusters, multi_start_kmeans
+from marketlens.operators.kmeans import assign_clusters, lloyd_step, multi_start_kmeans, point_trees
 from marketlens.schemas import DATE_COLUMN, SEGMENT_LABELS
-from marketlens.session import checkpoint_dir, checkpoint_table
+from marketlens.session import checkpoint_table, plain_plans
 
 RFM_FEATURES = ["recency", "frequency", "monetary"]
 
@@ -64,17 +58,18 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFr
 
 
 def standardize_with_stats(df: DataFrame, columns: list[str], suffix: str = "_z"):
-    """``standardize`` plus {column: (mean, std)} of the input."""
-    stats = df.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
-    ).first()
+    """``standardize`` plus {column: (mean, std)} and the number of rows of the input."""
+    with plain_plans(df.sparkSession):
+        stats = df.agg(
+            F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
+        ).collect()[0]
     out = {}
     for c in columns:
         mean, std = stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0
         scale = std if std > 0 else 1.0
         out[f"{c}{suffix}"] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(scale)
     moments = {c: (stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 0.0) for c in columns}
-    return df.withColumns(out), moments
+    return df.withColumns(out), moments, stats["n"]
 
 
 def _clean(c: str):
@@ -82,98 +77,44 @@ def _clean(c: str):
     return F.coalesce(F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x), F.lit(0.0))
 
 
-def spark_kmeans_tol(rel_tol: float, mean_variance: float, k: int) -> float:
-    """Spark's K-Means stops when *every* centre moved less than ``tol``
-    (squared shift <= tol^2); the relative tolerance used here stops when the
-    *total* squared shift <= rel_tol * mean feature variance. Requiring each
-    of the k centres to move at most that budget / k is at least as strict."""
-    return math.sqrt(max(rel_tol * mean_variance, 0.0) / k)
-
-
-def _fit_best_kmeans(data: DataFrame, k: int, restarts: int, seed: int, max_iter: int, tol: float = 1e-4):
-    """Fit K-Means once per seed and keep the lowest within-cluster cost
-    (Spark has no n_init); fits run concurrently as separate jobs. ``tol`` is
-    Spark's absolute per-centre tolerance."""
-
-    def fit(s):
-        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster").fit(data)
-        return model.summary.trainingCost, s, model
-
-    seeds = [seed + i for i in range(restarts)]
-    with ThreadPoolExecutor(max_workers=min(8, len(seeds))) as pool:
-        results = list(pool.map(fit, seeds))
-    return min(results, key=lambda r: (r[0], r[1]))[2]
-
-
-def _assign_clusters(vec: DataFrame, centers: list[list[float]]) -> DataFrame:
-    """Nearest centre (squared Euclidean, lowest index on ties) as a column
-    expression over the fitted centres: no model UDF in the plan."""
-    x = vector_to_array("features")
-    dists = [
-        sum((x[j] - F.lit(c[j])) * (x[j] - F.lit(c[j])) for j in range(len(c)))
-        for c in centers
-    ]
-    best = F.lit(0)
-    best_d = dists[0]
-    for i in range(1, len(dists)):
-        best = F.when(dists[i] < best_d, F.lit(i)).otherwise(best)
-        best_d = F.least(best_d, dists[i])
-    return vec.withColumn("cluster", best.cast("int"))
-
-
 def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42, max_iter: int = 300,
-                 labels: list[str] | None = None, tol: float = 1e-4, engine: str = "multi_start") -> DataFrame:
+                 labels: list[str] | None = None, tol: float = 1e-4) -> DataFrame:
     """M-02: RFM + K-Means on standardised features, labelled by cluster score.
 
     Score = -rank(mean recency) + rank(mean frequency) + rank(mean monetary)
     over the k cluster profiles (ranks 1..k, ties in profile order); ascending
     score maps to ``labels`` (Lost < At Risk < Loyal < Champions). With fewer
     customers than k every row is cluster 0 / the last label. ``tol`` is
-    relative: total squared centre shift <= tol x mean feature variance.
-
-    ``engine="multi_start"`` (default) advances all restarts in one pass per
-    step (``operators.kmeans``); ``engine="spark_ml"`` fits Spark ML K-Means
-    once per seed (k-means|| seeding) as concurrent jobs.
-    """
+    relative: total squared centre shift <= tol x mean feature variance. All
+    restarts advance in one pass per step (``operators.kmeans``)."""
     labels = labels or SEGMENT_LABELS
     if len(labels) != k:
         raise ValueError(f"need exactly k={k} segment labels, got {len(labels)}")
-    spark = fact.sparkSession
-    checkpoint_dir(spark)
     rfm = checkpoint_table(rfm_base(fact))
-    n = rfm.count()
+    clean = rfm.withColumns({c: _clean(c) for c in RFM_FEATURES})
+    scaled, moments, n = standardize_with_stats(clean, RFM_FEATURES)
     if n < k:
         return rfm.withColumns({"cluster": F.lit(0), "segment": F.lit(labels[-1])})
-
-    clean = rfm.withColumns({c: _clean(c) for c in RFM_FEATURES})
-    scaled, moments = standardize_with_stats(clean, RFM_FEATURES)
     # scaled features have variance 1, or 0 for a constant feature
     mean_variance = sum(1.0 if std > 0 else 0.0 for _, std in moments.values()) / len(RFM_FEATURES)
     zcols = [f"{c}_z" for c in RFM_FEATURES]
-    if engine == "multi_start":
-        # the customer table is checkpointed above, so the lineage is short;
-        # persist keeps the one table every step scans
-        table = scaled.select("customer_unique_id", *RFM_FEATURES, *zcols)
-        work = table.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            fit = multi_start_kmeans(work, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
-        finally:
-            work.unpersist()
-        assigned = assign_clusters(table, zcols, fit.centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
-    elif engine == "spark_ml":
-        vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scaled)
-        vec = checkpoint_table(vec.select("customer_unique_id", *RFM_FEATURES, "features"))
-        vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = _fit_best_kmeans(vec, k, restarts, seed, max_iter, spark_kmeans_tol(tol, mean_variance, k))
-        finally:
-            vec.unpersist()
-        centers = [list(map(float, c)) for c in model.clusterCenters()]
-        assigned = _assign_clusters(vec, centers).select("customer_unique_id", *RFM_FEATURES, "cluster")
-    else:
-        raise ValueError(f"unknown K-Means engine: {engine}")
-
-    return label_clusters(assigned, labels)
+    fit = multi_start_kmeans(scaled, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
+    return label_clusters(assign_clusters(scaled, zcols, fit.centers).select("customer_unique_id", *RFM_FEATURES, "cluster"), labels)
+
+
+def lloyd_steps(rfm: DataFrame, centers: list[list[float]], steps: int) -> DataFrame:
+    """M-02 part: (cluster, customers, <feature>_z...) after ``steps`` Lloyd steps from given centres of the standardised features.
+
+    ``customers`` are those nearest to the centre before the last step."""
+    zcols = [f"{c}_z" for c in RFM_FEATURES]
+    scaled = standardize(rfm.withColumns({c: _clean(c) for c in RFM_FEATURES}), RFM_FEATURES)
+    trees = point_trees(scaled, zcols, "customer_unique_id").persist(StorageLevel.MEMORY_AND_DISK)
+    own = np.array([centers], dtype=float)
+    for _ in range(steps):
+        own, sums = lloyd_step(trees, own)
+    trees.unpersist()
+    rows = [(c, int(sums.count[0, c]), *map(float, own[0, c])) for c in range(len(centers))]
+    return rfm.sparkSession.createDataFrame(rows, "cluster int, customers bigint, " + ", ".join(f"{z} double" for z in zcols))
 
 
 def segments_by_centers(rfm: DataFrame, centers: list[list[float]], labels: list[str] | None = None) -> DataFrame:
@@ -186,7 +127,8 @@ def segments_by_centers(rfm: DataFrame, centers: list[list[float]], labels: list
 def label_clusters(assigned: DataFrame, labels: list[str]) -> DataFrame:
     """A-15, W-04, J-08: ``segment`` of every row by its cluster's rank score."""
     # k-row cluster profiles ranked on the driver (fitted parameters only).
-    profile = assigned.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES]).collect()
+    with plain_plans(assigned.sparkSession):
+        profile = assigned.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES]).collect()
     # Spark's cluster ids are arbitrary: renumber by (monetary, frequency, recency) so ties rank stably.
     profile.sort(key=lambda r: (r["monetary"], r["frequency"], r["recency"], r["cluster"]))
 

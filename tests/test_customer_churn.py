@@ -73,19 +73,6 @@ def test_segments_ordered_by_score(spark):
     assert len(top) == 10 and top[0].lifetime_value_brl >= top[-1].lifetime_value_brl
 
 
-def test_best_restart_not_worse_than_single_seed(spark):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    fact = _segment_fact(spark, seed=5)
-    rfm = customer.rfm_base(fact)
-    z = customer.standardize(rfm, customer.RFM_FEATURES)
-    vec = VectorAssembler(inputCols=[f"{c}_z" for c in customer.RFM_FEATURES], outputCol="features").transform(z)
-    single = KMeans(k=4, seed=42, maxIter=300, tol=1e-4).fit(vec).summary.trainingCost
-    best = customer._fit_best_kmeans(vec, 4, 4, 42, 300).summary.trainingCost
-    assert best <= single + 1e-9
-
-
 def test_standardize_population_std(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
     got = customer.standardize(df, ["a", "b"]).collect()
