@@ -9,7 +9,7 @@ sides (SURVEY §7.4).
 
 from __future__ import annotations
 
-from marketlens.registry import CENTRES, COEFFICIENTS, INTERCEPT
+from marketlens.registry import CENTRES, COEFFICIENTS, INTERCEPT, ONE_CLASS_DAYS
 from marketlens.schemas import BR_STATES, CHURN_FEATURES, SEGMENT_LABELS, STATE_CENTROIDS
 
 _STATES = "[" + ", ".join(f"'{s}'" for s in BR_STATES[:24]) + "]"
@@ -154,6 +154,85 @@ PROBABILITIES = f"""
 fz AS (SELECT customer_unique_id, churned, {', '.join(_z(c, 'features') for c in CHURN_FEATURES)} FROM features),
 probs AS (SELECT *, 1 / (1 + exp(-({_MARGIN}))) AS p FROM fz)"""
 
+_LLOYD_STEPS = 5
+
+
+def _lloyd() -> str:
+    """Lloyd steps from CENTRES over the scaled customers, one pair of tables (assignment, centres) a step."""
+    z = [f"{c}_z" for c in _RFM]
+    values = ", ".join(f"({i}, CAST(0 AS BIGINT), {', '.join(f'{x}::DOUBLE' for x in centre)})" for i, centre in enumerate(CENTRES))
+    out = f"WITH {SCALED},\nm0(cluster, customers, {', '.join(z)}) AS (VALUES {values})"
+    for i in range(_LLOYD_STEPS):
+        gap = " + ".join(f"(s.{c} - m.{c}) ** 2" for c in z)
+        out += f""",
+        n{i} AS MATERIALIZED (SELECT any_value(s) AS s, arg_min(m.cluster, ({gap}, m.cluster)) AS cluster
+                 FROM scaled s, m{i} m GROUP BY s.customer_unique_id),
+        m{i + 1} AS MATERIALIZED (SELECT m.cluster, count(n.cluster) AS customers, {', '.join(f'COALESCE(avg(n.s.{c}), any_value(m.{c})) AS {c}' for c in z)}
+                 FROM m{i} m LEFT JOIN n{i} n ON m.cluster = n.cluster GROUP BY m.cluster)"""
+    return f"{out} SELECT CAST(cluster AS INTEGER) AS cluster, customers, {', '.join(f'round({c}, 9) AS {c}' for c in z)} FROM m{_LLOYD_STEPS}"
+
+
+#: M-03: quotas of the holdout by class, and the customers with the smallest seeded md5 of each.
+SPLIT = """
+classes AS (SELECT churned, count(*) AS k FROM features GROUP BY churned),
+whole AS (SELECT sum(k) AS n, sum(k) - ceil(sum(k) / 4.0) AS n_train, min(k) AS least FROM classes),
+shares AS (SELECT churned, k, n_train, floor(n_train * k / n::DOUBLE) AS t, n_train * k / n::DOUBLE - floor(n_train * k / n::DOUBLE) AS rest FROM classes, whole),
+quotas AS (SELECT churned, k - t - CASE WHEN row_number() OVER (ORDER BY rest DESC, churned) <= n_train - sum(t) OVER () THEN 1 ELSE 0 END AS quota FROM shares),
+split AS (
+  SELECT f.*, CASE WHEN (SELECT least FROM whole) < 2
+                   THEN row_number() OVER (ORDER BY md5('42:' || customer_unique_id), customer_unique_id) <= (SELECT n - n_train FROM whole)
+                   ELSE row_number() OVER (PARTITION BY churned ORDER BY md5('42:' || customer_unique_id), customer_unique_id) <= quota END AS is_test
+  FROM features f JOIN quotas USING (churned))"""
+_NEWTON_STEPS = 40
+
+
+def _newton() -> str:
+    """M-04: Newton steps of the balanced ridge logistic regression on the training rows, then ``scored`` with all customers.
+
+    A step sums gradient and Hessian, eliminates row by row and goes back."""
+    x = [*(f"{c}_z" for c in CHURN_FEATURES), "1.0::DOUBLE"]
+    d = len(x)
+    theta = [f"t{i}" for i in range(d)]
+    sums = [f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {1 if i == j < d - 1 else 0} AS a{i}{j}" for i in range(d) for j in range(d)]
+    sums += [f"sum(w * (p - churned) * {x[i]}) + {f't{i}' if i < d - 1 else '0'} AS a{i}{d}" for i in range(d)]
+    sql = f"""SELECT step, {', '.join(theta)}, {', '.join(sums)}
+              FROM (SELECT newton.*, train.*, 1 / (1 + exp(-({' + '.join(f'{t} * {v}' for t, v in zip(theta, x))}))) AS p FROM newton, train WHERE step < {_NEWTON_STEPS})
+              GROUP BY step, {', '.join(theta)}"""
+    for k in range(d):  # eliminate column k below row k
+        cells = [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" if i > k else f"a{i}{j}" for i in range(d) for j in range(d + 1)]
+        sql = f"SELECT step, {', '.join(theta)}, {', '.join(cells)} FROM ({sql})"
+    for k in reversed(range(d)):
+        known = " ".join(f"- a{k}{j} * d{j}" for j in range(k + 1, d))
+        sql = f"SELECT *, (a{k}{d} {known}) / a{k}{k} AS d{k} FROM ({sql})"
+    scaled = ", ".join(f"(f.{c} - m_{c}) / s_{c} AS {c}_z" for c in CHURN_FEATURES)
+    moments = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in CHURN_FEATURES)
+    score = " + ".join(f"{t} * {v}" for t, v in zip(theta, x))
+    return f"""WITH RECURSIVE {SPLIT.strip()},
+moments AS (SELECT {moments} FROM features),
+sized AS (SELECT count(*) AS n, sum(churned) AS pos FROM split WHERE NOT is_test),
+scaled_split AS MATERIALIZED (SELECT f.*, {scaled} FROM split f, moments),
+train AS MATERIALIZED (
+  SELECT churned, {', '.join(x[:-1])}, CASE churned WHEN 1 THEN n / (2.0::DOUBLE * pos) ELSE n / (2.0::DOUBLE * (n - pos)) END AS w FROM scaled_split, sized WHERE NOT is_test),
+newton(step, {', '.join(theta)}) AS (
+  SELECT 0, {', '.join(f'0.0::DOUBLE AS {t}' for t in theta)}
+  UNION ALL
+  SELECT step + 1, {', '.join(f'{t} - d{i}' for i, t in enumerate(theta))} FROM ({sql})),
+fitted AS (SELECT * FROM newton WHERE step = {_NEWTON_STEPS}),
+scored AS (SELECT scaled_split.*, {', '.join(theta)}, 1 / (1 + exp(-({score}))) AS p FROM scaled_split, fitted)"""
+
+
+def _f1_and_auc(rows: str) -> str:
+    return f"""
+        ranked AS (SELECT churned, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS nth FROM {rows}),
+        t AS (SELECT count(*) FILTER (p >= 0.5 AND churned = 1) AS tp, count(*) FILTER (p >= 0.5 AND churned = 0) AS fp,
+                     count(*) FILTER (p < 0.5 AND churned = 1) AS fn, count(*) FILTER (churned = 1)::DOUBLE AS pos,
+                     count(*) FILTER (churned = 0)::DOUBLE AS neg, sum(nth) FILTER (churned = 1) AS ranks FROM ranked)
+        SELECT 'F1' AS metric, round(COALESCE(2.0::DOUBLE * tp / NULLIF(2 * tp + fp + fn, 0), 0), 9) AS value FROM t
+        UNION ALL
+        SELECT 'AUC-ROC', round(COALESCE((ranks - pos * (pos + 1) / 2) / NULLIF(pos * neg, 0), 0), 9) FROM t"""
+
+
+MODEL = _newton()
 _CENTROIDS = ", ".join(f"('{s}', {lat}, {lon})" for s, (lat, lon) in STATE_CENTROIDS.items())
 
 QUERIES = {
@@ -290,14 +369,7 @@ QUERIES = {
         SELECT customer_unique_id, segment, recency, frequency, monetary AS lifetime_value_brl FROM segments
         ORDER BY monetary DESC, customer_unique_id LIMIT 10""",
     "churn_scores_given": f"WITH {PROBABILITIES.strip()} SELECT customer_unique_id, round(p, 9) AS churn_probability FROM probs",
-    "churn_metrics_given": f"""WITH {PROBABILITIES.strip()},
-        ranked AS (SELECT churned, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS nth FROM probs),
-        t AS (SELECT count(*) FILTER (p >= 0.5 AND churned = 1) AS tp, count(*) FILTER (p >= 0.5 AND churned = 0) AS fp,
-                     count(*) FILTER (p < 0.5 AND churned = 1) AS fn, count(*) FILTER (churned = 1)::DOUBLE AS pos,
-                     count(*) FILTER (churned = 0)::DOUBLE AS neg, sum(nth) FILTER (churned = 1) AS ranks FROM ranked)
-        SELECT 'F1' AS metric, round(COALESCE(2.0::DOUBLE * tp / NULLIF(2 * tp + fp + fn, 0), 0), 9) AS value FROM t
-        UNION ALL
-        SELECT 'AUC-ROC', round(COALESCE((ranks - pos * (pos + 1) / 2) / NULLIF(pos * neg, 0), 0), 9) FROM t""",
+    "churn_metrics_given": f"WITH {PROBABILITIES.strip()}, {_f1_and_auc('probs')}",
     "churn_drivers_given": f"WITH {PROBABILITIES.strip()} " + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg(abs(({w}) * {c}_z)), 9) AS importance, 'mean_abs_shap' AS source FROM probs"
         for w, c in zip(COEFFICIENTS, CHURN_FEATURES)),
@@ -306,6 +378,21 @@ QUERIES = {
     "churn_scores_top100_given": f"""{SEGMENTS}, {PROBABILITIES.strip()}
         SELECT customer_unique_id, segment, round_even(p * 100, 1) AS churn_probability
         FROM probs JOIN segments USING (customer_unique_id) ORDER BY 3 DESC, 1 LIMIT 100""",
+    "kmeans_lloyd_steps": _lloyd(),
+    "churn_split": f"WITH {SPLIT.strip()} SELECT customer_unique_id, churned, is_test FROM split",
+    "churn_metrics": f"{MODEL}, tested AS (SELECT churned, p FROM scored WHERE is_test), {_f1_and_auc('tested')}",
+    "churn_drivers": f"{MODEL} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg(abs(t{i} * {c}_z)), 6) AS importance, 'mean_abs_shap' AS source FROM scored"
+        for i, c in enumerate(CHURN_FEATURES)),
+    "churn_drivers_coefficient": f"{MODEL} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(abs(t{i}), 6) AS importance, 'abs_coefficient' AS source FROM fitted" for i, c in enumerate(CHURN_FEATURES)),
+    "churn_predictions": f"""{MODEL}
+        SELECT customer_unique_id, recency, frequency, monetary, avg_review_score, avg_delivery_days, churned, round(p, 6) AS churn_probability
+        FROM scored""",
+    "churn_one_class": f"""WITH labels AS (SELECT count(DISTINCT recency > {ONE_CLASS_DAYS}) AS k FROM features)
+        SELECT 'metric' AS kind, unnest(['F1', 'AUC-ROC']) AS name, 0.0::DOUBLE AS value FROM labels WHERE k < 2
+        UNION ALL SELECT 'driver', unnest({list(CHURN_FEATURES)}), 0.0 FROM labels WHERE k < 2
+        UNION ALL SELECT 'prediction', customer_unique_id, 0.0 FROM features, labels WHERE k < 2""",
     "cohort_retention": "SELECT * FROM retention",
     "cohort_matrix": f"SELECT cohort_month, {_COHORT_PERIODS} FROM retention GROUP BY cohort_month",
     "monthly_revenue_series": "SELECT ds, y FROM series",

@@ -66,6 +66,26 @@ CENTRES = [[1.0, -0.8, -0.8], [-0.5, 0.2, 0.1], [-0.6, 1.2, 1.3], [0.4, 0.3, -0.
 COEFFICIENTS, INTERCEPT = [0.9, -0.5, -0.4, -0.2, 0.1], -0.3
 
 
+#: No customer is inactive for so many days: one class.
+ONE_CLASS_DAYS = 1_000_000
+
+
+def _one_class(spark, sf):
+    """M-06: all that a model of a single class gives, as (kind, name, value)."""
+    result = churn.train_churn_model(churn.customer_features(_fact(spark, sf), ONE_CLASS_DAYS), SEED)
+    parts = (("metric", result.metrics, "metric", "value"), ("driver", result.drivers, "feature", "importance"),
+             ("prediction", result.predictions, "customer_unique_id", "churn_probability"))
+    frames = [df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).alias("value")) for kind, df, name, value in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+def _drivers_by_coefficient(spark, sf):
+    model = _churn(spark, sf)
+    scaled = customer.standardize(_features(spark, sf), CHURN_FEATURES)
+    scored = churn.with_probability(scaled, model.coefficients, model.intercept).withColumn("is_test", F.lit(True))
+    return _rounded(churn.evaluate(scored, model.coefficients, "abs_coefficient")[1], 6, "importance")
+
+
 def _rfm_given(spark, sf):
     return customer.segments_by_centers(customer.rfm_base(_fact(spark, sf)), CENTRES)
 
@@ -147,14 +167,20 @@ QUERIES = {
     "churn_by_segment_given": lambda spark, sf: _rounded(
         churn.churn_by_segment(_scored_given(spark, sf), _rfm_given(spark, sf)), 6, "churn_probability"),  # J-06, A-19
     "churn_scores_top100_given": lambda spark, sf: churn.churn_scores_top(_scored_given(spark, sf), _rfm_given(spark, sf), 100),  # T-05
-    # Model-based (rows-only in the driver check; covered by tests)
+    "kmeans_lloyd_steps": lambda spark, sf: _rounded(  # M-02: five steps from given centres
+        customer.lloyd_steps(customer.rfm_base(_fact(spark, sf)), CENTRES, 5), 9, *(f"{c}_z" for c in customer.RFM_FEATURES)),
+    # The churn model: its holdout, its fit by Newton steps, and what follows from it
+    "churn_split": lambda spark, sf: churn.churn_split(_features(spark, sf), SEED),  # M-03
+    "churn_metrics": lambda spark, sf: _rounded(_churn(spark, sf).metrics, 9, "value"),  # M-03..M-05
+    "churn_drivers": lambda spark, sf: _rounded(_churn(spark, sf).drivers, 6, "importance"),  # M-07, T-06
+    "churn_drivers_coefficient": _drivers_by_coefficient,  # M-07 without SHAP values
+    "churn_predictions": lambda spark, sf: _rounded(_churn(spark, sf).predictions, 6, "churn_probability"),  # M-04 scores for all customers
+    "churn_one_class": _one_class,  # M-06
+    # K-Means and seasonal model (rows-only in the driver check; covered by tests)
     "rfm_segments": _rfm,  # M-01, M-02, A-15, W-04, J-08
     "segment_profile": lambda spark, sf: customer.segment_profile(_rfm(spark, sf)),  # A-15
     "segment_churn_heuristic": lambda spark, sf: _rounded(customer.segment_churn_heuristic(_rfm(spark, sf)), 6, "churn_probability"),  # A-16, W-06
     "top_customers_segmented": lambda spark, sf: customer.top_customers(_rfm(spark, sf), 10),  # T-02
-    "churn_metrics": lambda spark, sf: _churn(spark, sf).metrics,  # M-03..M-05
-    "churn_drivers": lambda spark, sf: _churn(spark, sf).drivers,  # M-07, T-06
-    "churn_predictions": lambda spark, sf: _churn(spark, sf).predictions,  # M-04 scores for all customers
     "churn_by_segment": lambda spark, sf: churn.churn_by_segment(_churn(spark, sf).predictions, _rfm(spark, sf)),  # J-06, A-19
     "churn_scores_top100": lambda spark, sf: churn.churn_scores_top(_churn(spark, sf).predictions, _rfm(spark, sf), 100),  # T-05
     "forecast_seasonal": lambda spark, sf: forecast.forecast_seasonal(_fact(spark, sf)),  # M-09
