@@ -12,11 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens.functions import money_sum
+from marketlens.operators import trend
 from marketlens.session import ship_package
 
 HISTORY_ROWS = 24
@@ -136,74 +136,81 @@ def forecast_methods(fact: DataFrame, keys: Sequence[str] = (), least: int = 3)
 
 # --- M-09: seasonal model -------------------------------------------------
 
-def _seasonal_fit(pdf: pd.DataFrame, keys: list[str], periods: int, harmonics: int, ridge: float,
-                  history: int, z: float) -> pd.DataFrame:
-    """Per-series ridge regression on trend + yearly Fourier terms (numpy)."""
-    pdf = pdf.sort_values("ds")
-    n = len(pdf)
-    out_cols = [*keys, "ds", "actual", "yhat", "yhat_lower", "yhat_upper"]
-    if n < 3:
-        return pd.DataFrame(columns=out_cols)
-    ds = pd.to_datetime(pdf["ds"]).reset_index(drop=True)
-    y = pdf["y"].to_numpy(dtype=float)
-    first = ds.iloc[0]
-    t = np.array([(d.year - first.year) * 12 + (d.month - first.month) for d in ds], dtype=float)
-    future_t = t[-1] + np.arange(1, periods + 1, dtype=float)
-    all_t = np.concatenate([t, future_t])
-    scale = max(all_t.max(), 1.0)
-
-    def design(tt):
-        cols = [np.ones_like(tt), tt / scale]
-        for k in range(1, harmonics + 1):
-            cols += [np.sin(2 * np.pi * k * tt / 12.0), np.cos(2 * np.pi * k * tt / 12.0)]
-        return np.column_stack(cols)
-
-    x = design(t)
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 0.0  # intercept not shrunk
-    beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
-    fitted = x @ beta
-    dof = max(n - x.shape[1], 1)
-    sigma = float(np.sqrt(np.sum((y - fitted) ** 2) / dof))
-    pred_future = design(future_t) @ beta
-    keep = min(history, n)
-    future_ds = [ds.iloc[-1] + pd.DateOffset(months=i) for i in range(1, periods + 1)]
-    hist = pd.DataFrame({"ds": ds.iloc[-keep:].to_numpy(), "actual": y[-keep:], "yhat": fitted[-keep:]})
-    fut = pd.DataFrame({"ds": future_ds, "actual": [np.nan] * periods, "yhat": pred_future})
-    res = pd.concat([hist, fut], ignore_index=True)
-    res["yhat_lower"] = res["yhat"] - z * sigma
-    res["yhat_upper"] = res["yhat"] + z * sigma
-    for k in keys:
-        res[k] = pdf[k].iloc[0]
-    return res[out_cols]
+
+def _trend_udf():
+    """(months, first calendar month, periods) -> fitted and future values with their standard deviations, one series a row."""
+
+    @F.pandas_udf("yhat array<double>, sd array<double>")
+    def model(y: pd.Series, first: pd.Series, periods: pd.Series) -> pd.DataFrame:
+        fits = [trend.fit(np.asarray(own, dtype=float), int(m), int(p)) for own, m, p in zip(y, first, periods, strict=True)]
+        return pd.DataFrame({"yhat": [f.yhat for f in fits], "sd": [f.sd for f in fits]})
+
+    return model
 
 
-def forecast_seasonal(fact: DataFrame, keys: Sequence[str] = (), periods: int = 1, harmonics: int = 3,
-                      ridge: float = 1.0, history: int = HISTORY_ROWS, z: float = 1.2816) -> DataFrame:
-    """M-09: seasonal forecast (trend + yearly seasonality, 80% band) per series.
+def _spread(arrays: DataFrame) -> DataFrame:
+    """One task slot per shuffle partition: rows are small, what is done with each is not."""
+    return arrays.repartition(int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Each ``applyInPandas`` group is one monthly series (hundreds of rows),
-    never raw facts; Spark spreads the series over executors."""
+
+def forecast_seasonal(fact: DataFrame, keys: Sequence[str] = (), periods: int = 1, history: int = HISTORY_ROWS, z: float = 1.2816) -> DataFrame:
+    """M-09: forecast per series with at least 3 months from a piecewise-linear
+    trend and yearly seasonality (``operators.trend``), 80% band.
+
+    A series is one row with its monthly values (hundreds, never raw facts);
+    the rows are spread over the tasks that fit them."""
     keys = list(keys)
     ship_package(fact.sparkSession)
-    series = monthly_revenue_series(fact, keys)
-    fields = [series.schema[k] for k in keys]
-    schema = T.StructType(
-        fields
-        + [
-            T.StructField("ds", T.TimestampNTZType()),
-            T.StructField("actual", T.DoubleType()),
-            T.StructField("yhat", T.DoubleType()),
-            T.StructField("yhat_lower", T.DoubleType()),
-            T.StructField("yhat_upper", T.DoubleType()),
-        ]
-    )
+    arrays = _spread(_series_arrays(fact, keys, 3))
+    fitted = arrays.withColumn("fit", _trend_udf()("y_arr", F.month(F.element_at("ds_arr", 1)), F.lit(periods)))
+    steps = F.sequence(F.lit(1), F.lit(periods))
+    last = F.element_at("ds_arr", -1)
+    ahead = F.transform(steps, lambda i: F.add_months(last, i).cast("timestamp_ntz"))
+    none = F.transform(steps, lambda i: F.lit(None).cast("double"))
+    rows = F.arrays_zip(F.concat("ds_arr", ahead).alias("ds"), F.concat("y_arr", none).alias("actual"), F.col("fit.yhat").alias("yhat"), F.col("fit.sd").alias("sd"))
+    kept = F.least(F.size(rows), F.lit(history + periods))
+    out = fitted.select(*keys, F.explode(F.slice(rows, F.size(rows) - kept + 1, kept)).alias("r"))
+    yhat, band = F.col("r.yhat"), F.lit(z) * F.col("r.sd")
+    return out.select(*keys, "r.ds", "r.actual", yhat.alias("yhat"), (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper")).orderBy(*keys, "ds")
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _seasonal_fit(pdf, keys, periods, harmonics, ridge, history, z)
 
-    if keys:
-        return series.groupBy(*keys).applyInPandas(fn, schema)
-    return series.withColumn("_series", F.lit(0)).groupBy("_series").applyInPandas(
-        lambda pdf: fn(pdf.drop(columns=["_series"])), schema
-    )
+# --- out-of-sample comparison ---------------------------------------------
+
+SMOOTHING, SEASONAL = "smoothing", "seasonal"
+
+
+def forecast_backtest(fact: DataFrame, keys: Sequence[str] = (), origins: int = 12, least: int = 3, span: int = 4,
+                      methods: Sequence[str] = (SMOOTHING, SEASONAL)) -> DataFrame:
+    """M-08 and M-09 out of sample: rolling origins with expanding windows.
+
+    For each of the last ``origins`` months of a series that have a next month
+    and at least ``least`` months of history, every method sees the months up
+    to the origin and forecasts the next one: (keys..., origin, method, yhat,
+    actual, error), error = actual - yhat."""
+    keys = list(keys)
+    arrays = _series_arrays(fact, keys, least + 1)
+    n = F.size("y_arr")
+    seen = arrays.select("*", F.explode(F.sequence(F.greatest(n - origins, F.lit(least)), n - 1)).alias("seen"))
+    rows = seen.select(
+        *keys, F.element_at("ds_arr", F.col("seen")).alias("origin"), F.month(F.element_at("ds_arr", 1)).alias("first"),
+        F.slice("y_arr", 1, F.col("seen")).alias("known"), F.element_at("y_arr", F.col("seen") + 1).alias("actual"))
+    columns = {}
+    if SMOOTHING in methods:
+        columns[SMOOTHING] = F.element_at(ewma_array(F.col("known"), 2.0 / (span + 1.0)), -1)
+    if SEASONAL in methods:
+        ship_package(fact.sparkSession)
+        rows = _spread(rows)
+        columns[SEASONAL] = F.element_at(_trend_udf()("known", "first", F.lit(1))["yhat"], -1)
+    guesses = F.map_from_arrays(F.array(*[F.lit(m) for m in columns]), F.array(*columns.values()))
+    return rows.select(*keys, "origin", "actual", F.explode(guesses).alias("method", "yhat")).select(
+        *keys, "origin", "method", "yhat", "actual", (F.col("actual") - F.col("yhat")).alias("error"))
+
+
+def forecast_accuracy(backtest: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., method, origins, mae, rmse, preferred): errors per series and method; of a series the method with the
+    smallest mean absolute error is preferred (ties: the first by name)."""
+    keys = list(keys)
+    error = F.col("error")
+    rated = backtest.groupBy(*keys, "method").agg(
+        F.count(error).alias("origins"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    return rated.withColumn("preferred", F.row_number().over(Window.partitionBy(*keys).orderBy("mae", "method")) == 1)

@@ -235,6 +235,20 @@ def _f1_and_auc(rows: str) -> str:
 MODEL = _newton()
 _CENTROIDS = ", ".join(f"('{s}', {lat}, {lon})" for s, (lat, lon) in STATE_CENTROIDS.items())
 
+_EWMA_BY_CATEGORY = f"""WITH RECURSIVE m AS (
+          SELECT product_category, month AS ds, {msum('revenue')} AS y FROM prepared
+          WHERE month IS NOT NULL AND product_category IS NOT NULL GROUP BY product_category, month),
+        cal AS (SELECT product_category, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds
+                FROM m GROUP BY product_category),
+        s AS (SELECT cal.product_category, cal.ds, COALESCE(m.y, 0.0) AS y,
+                     row_number() OVER (PARTITION BY cal.product_category ORDER BY cal.ds) AS rn
+              FROM cal LEFT JOIN m ON cal.product_category = m.product_category AND cal.ds = m.ds),
+        ew(product_category, rn, ds, y, yhat) AS (
+          SELECT product_category, rn, ds, y, y FROM s WHERE rn = 1
+          UNION ALL
+          SELECT s.product_category, s.rn, s.ds, s.y, CAST(0.4 AS DOUBLE) * s.y + CAST(0.6 AS DOUBLE) * ew.yhat
+          FROM ew JOIN s ON s.product_category = ew.product_category AND s.rn = ew.rn + 1)"""
+
 QUERIES = {
     "star_fact_orders": "SELECT * FROM fact",
     "dim_customers": """SELECT customer_id, customer_unique_id, zip_code_prefix, city, customer_state AS state
@@ -396,6 +410,16 @@ QUERIES = {
     "cohort_retention": "SELECT * FROM retention",
     "cohort_matrix": f"SELECT cohort_month, {_COHORT_PERIODS} FROM retention GROUP BY cohort_month",
     "monthly_revenue_series": "SELECT ds, y FROM series",
+    "forecast_methods": """
+        SELECT product_category, date_diff('month', min(month), max(month)) + 1 AS months,
+               CASE WHEN date_diff('month', min(month), max(month)) + 1 >= 3 THEN 'Exponential smoothing fallback' ELSE 'Insufficient history' END AS method
+        FROM prepared WHERE month IS NOT NULL AND product_category IS NOT NULL GROUP BY product_category""",
+    "forecast_backtest_smoothing": f"""
+        {_EWMA_BY_CATEGORY},
+        st AS (SELECT product_category, max(rn) AS n FROM ew GROUP BY product_category)
+        SELECT e.product_category, e.ds AS origin, 'smoothing' AS method, round(e.yhat, 4) AS yhat, s.y AS actual, round(s.y - e.yhat, 4) AS error
+        FROM ew e JOIN st ON e.product_category = st.product_category JOIN s ON s.product_category = e.product_category AND s.rn = e.rn + 1
+        WHERE e.rn >= 3 AND e.rn >= n - 12""",
     "forecast_ewma": """
         WITH RECURSIVE s AS (SELECT ds, y, row_number() OVER (ORDER BY ds) AS rn FROM series),
         ew(rn, ds, y, yhat) AS (
@@ -413,19 +437,7 @@ QUERIES = {
         SELECT ds, actual, round(yhat, 4) AS yhat, round(yhat - band, 4) AS yhat_lower, round(yhat + band, 4) AS yhat_upper
         FROM out""",
     "forecast_ewma_by_category": f"""
-        WITH RECURSIVE m AS (
-          SELECT product_category, month AS ds, {msum('revenue')} AS y FROM prepared
-          WHERE month IS NOT NULL AND product_category IS NOT NULL GROUP BY product_category, month),
-        cal AS (SELECT product_category, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds
-                FROM m GROUP BY product_category),
-        s AS (SELECT cal.product_category, cal.ds, COALESCE(m.y, 0.0) AS y,
-                     row_number() OVER (PARTITION BY cal.product_category ORDER BY cal.ds) AS rn
-              FROM cal LEFT JOIN m ON cal.product_category = m.product_category AND cal.ds = m.ds),
-        ew(product_category, rn, ds, y, yhat) AS (
-          SELECT product_category, rn, ds, y, y FROM s WHERE rn = 1
-          UNION ALL
-          SELECT s.product_category, s.rn, s.ds, s.y, CAST(0.4 AS DOUBLE) * s.y + CAST(0.6 AS DOUBLE) * ew.yhat
-          FROM ew JOIN s ON s.product_category = ew.product_category AND s.rn = ew.rn + 1),
+        {_EWMA_BY_CATEGORY},
         st AS (SELECT product_category, count(*) AS n, max(rn) AS last_rn,
                       1.96 * CASE WHEN COALESCE(stddev_samp(y - yhat), 0) <> 0 THEN stddev_samp(y - yhat)
                                   WHEN COALESCE(stddev_samp(y), 0) <> 0 THEN stddev_samp(y) ELSE 0.0 END AS band

@@ -95,6 +95,10 @@ def _scored_given(spark, sf):
     return churn.with_probability(scaled, COEFFICIENTS, INTERCEPT).withColumn("is_test", F.lit(True))
 
 
+def _backtest(spark, sf):
+    return forecast.forecast_backtest(_fact(spark, sf), ["product_category"])
+
+
 def _cohort_matrix(spark, sf):
     return cohort.cohort_matrix(_fact(spark, sf))
 
@@ -150,6 +154,9 @@ QUERIES = {
     "monthly_revenue_series": lambda spark, sf: forecast.monthly_revenue_series(_fact(spark, sf)),
     "forecast_ewma": lambda spark, sf: _rounded(forecast.forecast_ewma(_fact(spark, sf)), *_FORECAST),
     "forecast_ewma_by_category": lambda spark, sf: _rounded(forecast.forecast_ewma(_fact(spark, sf), ["product_category"]), *_FORECAST),
+    "forecast_methods": lambda spark, sf: forecast.forecast_methods(_fact(spark, sf), ["product_category"]),  # M-08
+    "forecast_backtest_smoothing": lambda spark, sf: _rounded(  # M-08 out of sample
+        forecast.forecast_backtest(_fact(spark, sf), ["product_category"], methods=[forecast.SMOOTHING]), 4, "yhat", "error"),
     # The steps around the models, with given parameters
     "rfm_scaled": lambda spark, sf: _rounded(
         customer.standardize(customer.rfm_base(_fact(spark, sf)), customer.RFM_FEATURES).drop(*customer.RFM_FEATURES),
@@ -184,5 +191,7 @@ QUERIES = {
     "churn_by_segment": lambda spark, sf: churn.churn_by_segment(_churn(spark, sf).predictions, _rfm(spark, sf)),  # J-06, A-19
     "churn_scores_top100": lambda spark, sf: churn.churn_scores_top(_churn(spark, sf).predictions, _rfm(spark, sf), 100),  # T-05
     "forecast_seasonal": lambda spark, sf: forecast.forecast_seasonal(_fact(spark, sf)),  # M-09
+    "forecast_backtest": _backtest,  # M-08 and M-09 out of sample
+    "forecast_accuracy": lambda spark, sf: forecast.forecast_accuracy(_backtest(spark, sf), ["product_category"]),
     "forecast_seasonal_by_category": lambda spark, sf: forecast.forecast_seasonal(_fact(spark, sf), ["product_category"]),
 }

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from conftest import cust, item, order, prepared, prod, seller
@@ -36,7 +37,7 @@ def _monthly(spark, values, start_month=1, skip=()):
     for i, v in enumerate(values):
         while m in skip:
             m += 1
-        orders.append(order(f"o{i}", "c1", f"2020-{m:02d}-10 00:00:00"))
+        orders.append(order(f"o{i}", "c1", f"{2020 + (m - 1) // 12}-{(m - 1) % 12 + 1:02d}-10 00:00:00"))
         items.append(item(f"o{i}", 1, "p1", "s1", str(v)))
         m += 1
     return prepared(spark, orders, items, [cust("c1")], [prod("p1")], [seller("s1")])
@@ -83,6 +84,64 @@ def test_seasonal_forecast_shape(spark):
     assert rows[-1].ds == dt.datetime(2021, 2, 1)
 
 
+def _broken_line(n=72, at=40, noise=2.0, seed=1):
+    t = np.arange(n)
+    season = 15 * np.sin(2 * np.pi * t / 12)
+    return 200 + 3.0 * t - 7.0 * np.maximum(0, t - at) + season + np.random.default_rng(seed).normal(scale=noise, size=n)
+
+
+def test_trend_finds_a_known_break():
+    from marketlens.operators.trend import fit
+
+    y = _broken_line()
+    found = fit(y[:-6], 1, 6)
+    assert 1 <= len(found.knots) <= 5  # of 25 candidates
+    assert sum(change for at, change in found.knots if abs(at - 40) <= 5) == pytest.approx(-7.0, abs=1.2)
+    assert np.abs(found.yhat[-6:] - y[-6:]).max() < 12
+    assert (np.diff(found.sd[-6:]) >= 0).all() and found.sd[0] < 4
+
+
+def test_trend_without_break_uses_few_knots():
+    from marketlens.operators.trend import fit
+
+    y = 50 + 0.5 * np.arange(60) + np.random.default_rng(3).normal(size=60)
+    found = fit(y, 4, 1)
+    assert len(found.knots) <= 2 and abs(found.yhat[-1] - 80) < 3
+    assert fit(np.zeros(10), 1, 2).yhat.tolist() == [0.0] * 12
+    assert fit(np.array([1.0, 2, 3]), 1, 1).yhat[-1] == pytest.approx(4, abs=0.7)
+
+
+def test_coordinate_descent_meets_the_conditions_of_the_optimum():
+    from marketlens.operators.trend import descend
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(50, 8)), rng.normal(size=50)
+    gram, target = x.T @ x, x.T @ y
+    b = descend(gram, target, 4.0, np.zeros(8))
+    slope = target - gram @ b
+    assert np.allclose(slope[b != 0], 4.0 * np.sign(b[b != 0]), atol=1e-6) and (np.abs(slope[b == 0]) <= 4.0 + 1e-6).all()
+    assert 0 < np.count_nonzero(b) < 8
+
+
+def test_backtest_sees_only_the_past(spark):
+    vals = [float(round(v)) for v in _broken_line(30, 15)]
+    rows = forecast.forecast_backtest(_monthly(spark, vals), origins=5).collect()
+    assert len(rows) == 10 and all(r.error == pytest.approx(r.actual - r.yhat) for r in rows)
+    from marketlens.operators.trend import fit
+
+    for r in rows:
+        at = (r.origin.year - 2020) * 12 + r.origin.month  # months known
+        assert r.actual == vals[at] and 25 <= at <= 29
+        s = vals[0]
+        for v in vals[1:at]:
+            s = 0.4 * v + 0.6 * s
+        want = s if r.method == forecast.SMOOTHING else fit(np.array(vals[:at]), 1, 1).yhat[-1]
+        assert r.yhat == pytest.approx(want, rel=1e-9)
+    rated = {r.method: r for r in forecast.forecast_accuracy(forecast.forecast_backtest(_monthly(spark, vals), origins=5)).collect()}
+    assert rated[forecast.SEASONAL].preferred and not rated[forecast.SMOOTHING].preferred and rated[forecast.SEASONAL].origins == 5
+    assert forecast.forecast_backtest(_monthly(spark, [1, 2, 3])).count() == 0  # no next month after three
+
+
 def test_keyed_forecast_fans_out(spark):
     orders, items = [], []
     for i in range(4):

@@ -81,7 +81,7 @@ def test_no_python_in_sql_plans(spark):
 
 
 def test_seasonal_uses_grouped_pandas(spark):
-    assert "FlatMapGroupsInPandas" in _plan(entry.queries()["forecast_seasonal_by_category"](spark, SF))
+    assert "ArrowEvalPython" in _plan(entry.queries()["forecast_seasonal_by_category"](spark, SF))
 
 
 def test_filtered_fact_prunes_and_pushes(spark):
