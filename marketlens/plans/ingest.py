@@ -1,7 +1,8 @@
 """S-08: the ingest job, raw tables -> star schema -> warehouse, with a run log.
 
 The job's contract: it never raises. Every run ends as one ``IngestResult``,
-and as one row of the run log if that can be written.
+and as one row of the run log if that can be written. Readers see the star of
+the last successful run until a new one is published whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators.star import build_star
 from marketlens.sources.raw import load_raw
-from marketlens.sources.warehouse import record_run, write_star
+from marketlens.sources.warehouse import publish_star, record_run
 
 log = logging.getLogger(__name__)
 
@@ -49,7 +50,7 @@ def run_ingest(spark: SparkSession, out_dir: str, raw_dir: str | None = None, ra
     began, clock = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), time.monotonic()
     rows, error = {}, None
     try:
-        rows = write_star(build_star(raw or load_raw(spark, raw_dir, raw_format)), out_dir)
+        rows = publish_star(build_star(raw or load_raw(spark, raw_dir, raw_format)), out_dir).rows
     except Exception as exc:  # noqa: BLE001 - any failure is the run's outcome
         error = str(exc)
     result = IngestResult(began, rows, error, time.monotonic() - clock)

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import threading
+import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -95,6 +96,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """Name of a new folder in the shared checkpoint folder; what is there when the driver's Python ends is deleted."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the JVM is gone: the folder's owner cleans up
+            return
+
+
 def checkpoint_table(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint into the shared checkpoint folder.
 

@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import os
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators.prepare import prepare_fact
 from marketlens.operators.star import build_star
-from marketlens.session import apply_core_conf, checkpoint_dir, ship_package
+from marketlens.session import apply_core_conf, scratch_folder, ship_package
 from marketlens.sources.testdata import raw_tables
 from marketlens.sources.warehouse import read_fact, read_table, stored_schemas, write_star
 
@@ -34,7 +33,7 @@ def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
     with _LOCK:
         entry = _WAREHOUSES.get(key)
         if entry is None:
-            path = f"{checkpoint_dir(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex[:12]}"
+            path = scratch_folder(spark, "warehouse")
             star = build_star(raw_tables(spark, sf_dir))
             write_star(star, path)
             entry = _WAREHOUSES[key] = (path, stored_schemas(star))

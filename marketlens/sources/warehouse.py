@@ -1,5 +1,12 @@
 """Warehouse sinks and sources (S-03..S-07).
 
+A warehouse holds versions of the star. ``publish_star`` writes all four
+tables into a folder of their own and then, as the commit, one manifest that
+names the version; readers take the newest manifest and stay with its version.
+So a load that fails or is still running is never seen, and a reader that
+opened a version goes on with it while the next one is written. Old versions
+are removed by ``expire_versions``, manifest first.
+
 The star is stored as Parquet. The fact is partitioned by ``order_month``
 (a DATE derived from the purchase timestamp at write time) so that a date
 range prunes whole directories; ``read_fact`` drops that column again.
@@ -12,7 +19,10 @@ Row counts come from ``observe`` on the write itself, not a second pass.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,6 +31,8 @@ from pyspark.sql import types as T
 
 from marketlens.operators.prepare import _day, date_predicate
 from marketlens.schemas import DATE_COLUMN, PIPELINE_RUNS_SCHEMA, UNKNOWN_CATEGORY, UNKNOWN_STATE
+from marketlens.session import scratch_folder
+from marketlens.sources import storage
 
 PARTITION_COLUMN = "order_month"
 
@@ -29,8 +41,8 @@ def _path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def write_star(tables: dict[str, DataFrame], out_dir: str, mode: str = "overwrite") -> dict[str, int]:
-    """S-05: write the four star tables; returns rows written per table.
+def write_star(tables: dict[str, DataFrame], out_dir: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Write star tables into a folder; returns rows written per table.
 
     The tables are written as concurrent jobs, so the small dimension writes
     use the slots the fact's stages leave free instead of queueing after it."""
@@ -51,6 +63,68 @@ def write_star(tables: dict[str, DataFrame], out_dir: str, mode: str = "overwrit
         return {name: f.result() for name, f in futures.items()}
 
 
+@dataclass(frozen=True)
+class StarVersion:
+    version: str
+    path: str  # folder of the version's tables
+    rows: dict[str, int]
+    schemas: dict[str, T.StructType]  # as stored, for reads without schema inference
+
+
+_MANIFESTS, _VERSIONS = "manifests", "versions"
+
+
+def publish_star(tables: dict[str, DataFrame], root: str) -> StarVersion:
+    """S-05: write the star as a new version of the warehouse ``root`` and make it the current one, whole or not at all.
+
+    A failure leaves the version before it current; what it had written is deleted."""
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
+    path = _path(_path(root, _VERSIONS), version)
+    try:
+        rows = write_star(tables, path)
+        schemas = stored_schemas(tables)
+        manifest = {"version": version, "rows": rows, "schemas": {name: s.jsonValue() for name, s in schemas.items()}}
+        storage.write_text(spark, _path(_path(root, _MANIFESTS), f"{version}.json"), json.dumps(manifest))
+    except Exception:
+        storage.delete(spark, path)
+        raise
+    return StarVersion(version, path, rows, schemas)
+
+
+def star_versions(spark: SparkSession, root: str) -> list[str]:
+    """Published versions, oldest first."""
+    return [n.removesuffix(".json") for n in storage.names(spark, _path(root, _MANIFESTS)) if n.endswith(".json") and not n.startswith(".")]
+
+
+def open_star(spark: SparkSession, root: str, version: str | None = None) -> StarVersion | None:
+    """A published version, by default the newest; None if there is none."""
+    known = star_versions(spark, root)
+    if not known or (version is not None and version not in known):
+        return None
+    version = version or known[-1]
+    found = json.loads(storage.read_text(spark, _path(_path(root, _MANIFESTS), f"{version}.json")))
+    schemas = {name: T.StructType.fromJson(s) for name, s in found["schemas"].items()}
+    return StarVersion(version, _path(_path(root, _VERSIONS), version), found["rows"], schemas)
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove all but the newest ``keep`` versions, and folders older than those that no manifest names; returns what went.
+
+    Call it when no reader of the older versions is left; a load that is still
+    running writes a newer folder and is not touched."""
+    if keep < 1:
+        raise ValueError("the current version is kept")
+    known = star_versions(spark, root)
+    kept = known[-keep:]
+    for version in known[:-keep]:
+        storage.delete(spark, _path(_path(root, _MANIFESTS), f"{version}.json"))
+    gone = [v for v in storage.names(spark, _path(root, _VERSIONS)) if kept and v < kept[0]]
+    for version in gone:
+        storage.delete(spark, _path(_path(root, _VERSIONS), version))
+    return gone
+
+
 def write_star_jdbc(tables: dict[str, DataFrame], url: str, properties: dict | None = None,
                     batchsize: int = 5000, num_partitions: int | None = None) -> None:
     """S-05 to a relational database through Spark's built-in JDBC sink:
@@ -134,20 +208,26 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def load_fact(spark: SparkSession, warehouse_dir: str | None = None, raw_dir: str | None = None,
               raw_format: str = "csv", start=None, end=None, category: str = "All", state: str = "All"):
-    """S-04: prepared fact from the warehouse, else rebuilt from raw files.
+    """S-04: prepared fact from the warehouse's current version, else built from raw files.
 
     Returns ``(prepared_fact, freshness, source)`` where freshness is the
-    latest run time recorded next to the warehouse (or ``None``).
+    latest run time recorded next to the warehouse (or ``None``). A fact built
+    from raw files is written once to the shared checkpoint folder, so that
+    every use reads it (with pruning) instead of joining the raw tables again.
     """
     from marketlens.operators.prepare import apply_filters, prepare_fact
     from marketlens.operators.star import build_star
     from marketlens.sources.raw import load_raw
 
-    if warehouse_dir and table_exists(spark, _path(warehouse_dir, "fact_orders")):
-        fact = read_fact(spark, warehouse_dir, start, end, category, state)
+    star = open_star(spark, warehouse_dir) if warehouse_dir else None
+    if star is not None:
+        fact = read_fact(spark, star.path, start, end, category, state, star.schemas["fact_orders"])
         return apply_filters(prepare_fact(fact), start, end, category, state), latest_run(spark, warehouse_dir), "warehouse"
     if raw_dir:
-        fact = build_star(load_raw(spark, raw_dir, raw_format))["fact_orders"]
+        tables = {"fact_orders": build_star(load_raw(spark, raw_dir, raw_format))["fact_orders"]}
+        path = scratch_folder(spark, "fact")
+        write_star(tables, path)
+        fact = read_fact(spark, path, start, end, category, state, stored_schemas(tables)["fact_orders"])
         return apply_filters(prepare_fact(fact), start, end, category, state), None, raw_format.upper()
     raise RuntimeError("No warehouse fact table and no raw data directory given")
 
