@@ -57,11 +57,30 @@ def test_hot_group_many_rounds(spark):
     }
     # tiny buckets / candidate limit force several narrowing rounds
     _check(spark, groups, buckets=4, max_candidates=16)
-    # range table joined by a shuffle instead of a broadcast
-    _check(spark, groups, buckets=4, max_candidates=16, broadcast_rows=0)
+    # brackets that miss their ranks are found out and searched again
+    _check(spark, groups, buckets=64, rank_error=0.0)
+    _check(spark, groups, rank_error=-0.2)
     _check(spark, groups)
 
 
 def test_no_rows(spark):
     df = spark.createDataFrame([("a", None)], "k string, x double")
     assert grouped_quantiles(df, "k", "x", PROBS).count() == 0
+
+
+def test_brackets_hold_the_ranks_of_a_large_group(spark):
+    """The sketch no longer holds all values here; nothing is left to the narrowing."""
+    from pyspark.sql import functions as F
+
+    from marketlens.functions import quantiles
+
+    df = spark.range(300_000).select(F.lit("k").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("x"))
+    values = np.sort([r.x for r in df.select("x").collect()])
+    narrowed = []
+    whole, quantiles._narrowed = quantiles._narrowed, lambda *a: narrowed.append(a) or whole(*a)
+    try:
+        got = grouped_quantiles(df, "k", "x", [0.1, 0.5, 0.999]).first()
+    finally:
+        quantiles._narrowed = whole
+    assert not narrowed
+    assert [got.q0, got.q1, got.q2] == pytest.approx([float(np.quantile(values, p)) for p in (0.1, 0.5, 0.999)], rel=1e-12)
