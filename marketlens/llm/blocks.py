@@ -51,32 +51,31 @@ def deal(buckets: np.ndarray, tags: np.ndarray, pos: np.ndarray, *columns: np.nd
         yield int(bucket), pack(tags[own], pos[own], *(c[own] for c in columns))
 
 
-def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is the first of its key, does its key occur again)."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    counts = np.diff(np.append(np.flatnonzero(new), len(keys)))
-    first, again = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+def repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is the first with its keys, do its keys occur again); equal in all of the arrays."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+    first, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
     first[order[new]] = True
     again[order] = np.repeat(counts > 1, counts)
     return first, again
 
 
-def entry_rows(n_buckets: int, keys: np.ndarray, tags: np.ndarray, pos: np.ndarray, same: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, block, known) of a batch of entries.
+def entry_rows(n_buckets: int, n_texts: int, keys: np.ndarray, tags: np.ndarray, pos: np.ndarray, same: tuple[np.ndarray, ...],
+               *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, block) of a batch of entries.
 
-    Entries with equal ``same`` are sent once, with MULTI in the position;
-    all of them are ``known`` to occur again."""
-    first, again = repeats(same)
+    Entries with equal ``same`` are sent once, with MULTI in the position. All
+    of them are known to occur again; that goes straight towards their text's
+    bucket t, as bucket -1 - t, and never through the bucket of their key."""
+    first, again = repeats(*same)
     buckets = (keys % np.uint64(n_buckets)).astype(np.int64)
     marked = pos.astype(np.uint32) | np.where(again, MULTI, np.uint32(0))
-    sent = dict(deal(buckets[first], tags[first], marked[first], keys[first], *(c[first] for c in columns)))
-    known = dict(deal(buckets[again], tags[again], pos[again]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(sent), pa.int32()), pa.array(list(sent.values()), pa.binary()), pa.array([known.get(b) for b in sent], pa.binary())],
-        names=["bucket", "block", "known"])
+    rows = list(deal(buckets[first], tags[first], marked[first], keys[first], *(c[first] for c in columns)))
+    rows += [(-1 - t, block) for t, block in deal((tags[again] % np.uint64(n_texts)).astype(np.int64), tags[again], pos[again])]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
 
 
 def text_slices(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -90,7 +90,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                     digests, own, pos = (np.concatenate(x) for x in zip(*held, strict=True))
                     order = np.lexsort((pos, own))  # so that the first of a digest is the one that may own it
                     held = []
-                    yield B.entry_rows(n_buckets, digests[order], own[order], pos[order], digests[order])
+                    yield B.entry_rows(n_buckets, n_texts, digests[order], own[order], pos[order], (digests[order],))
 
     def owners(multi: np.ndarray, digests: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
         order = np.lexsort((pos, tags, digests))

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 4 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE, SECOND_BASE = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
+INVERSE, SECOND_INVERSE = (np.uint64(pow(int(b), -1, 1 << 64)) for b in (BASE, SECOND_BASE))
 
 
 
@@ -107,10 +107,10 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """P with P[j] - P[i] = polynomial of bytes i..j-1, shifted by i."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])
     return out
 
 

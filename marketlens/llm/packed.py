@@ -5,10 +5,13 @@ cost far more than its content, so a task sorts its entries into buckets by
 key and writes one block of numpy columns per bucket; a reducer unpacks the
 blocks of one bucket, sorts its keys, and sends its findings back to the
 texts, packed in the same way by text bucket. The numbers of buckets follow
-from the size of the input, so a bucket's size does not.
+from the size of the input.
 
 Entries of equal keys within a block's batch are sent once, marked ``multi``:
-a key that many texts share reaches its bucket at most once per batch.
+a key that many texts share reaches its bucket at most once per batch. The
+positions that a batch so knows to repeat are sent past the key's bucket, to
+the bucket of their text, so a key that a third of the texts hold gives each
+text bucket its own positions only.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from marketlens.llm.shared import store
 TEXT_BYTES, ENTRIES = 6 << 20, 1 << 20
 
 
-ENTRY_SCHEMA = "bucket int, block binary, known binary"
+ENTRY_SCHEMA = "bucket int, block binary"
 FOUND_SCHEMA = "text_bucket int, block binary"
 
 
@@ -38,15 +41,15 @@ def decided(entries: DataFrame, n_texts: int, decide: Callable[..., np.ndarray],
     bucket; ``with_places`` adds their tags and positions to its arguments."""
 
     def reduce(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
         tags, pos, *columns = B.unpack(table.column("block").to_pylist())
-        multi = (pos & B.MULTI) > 0
-        code = decide(multi, *columns, *((tags, pos & ~B.MULTI) if with_places else ())).astype(np.uint8)
-        keep = code > 0
-        tags, pos, code = tags[keep], pos[keep] & ~B.MULTI, code[keep]
-        blocks = [b for b in table.column("known").to_pylist() if b]
-        if blocks:
-            more, at = B.unpack(blocks)
-            tags, pos, code = np.append(tags, more), np.append(pos, at), np.append(code, np.full(len(more), known_code, np.uint8))
+        if bucket < 0:
+            code = np.full(len(tags), known_code, np.uint8)
+        else:
+            multi = (pos & B.MULTI) > 0
+            code = decide(multi, *columns, *((tags, pos & ~B.MULTI) if with_places else ())).astype(np.uint8)
+            keep = code > 0
+            tags, pos, code = tags[keep], pos[keep] & ~B.MULTI, code[keep]
         order = np.argsort(tags, kind="stable")
         tags, pos, code = tags[order], pos[order], code[order]
         rows = list(B.deal((tags % np.uint64(n_texts)).astype(np.int64), tags, pos, code))
@@ -55,16 +58,17 @@ def decided(entries: DataFrame, n_texts: int, decide: Callable[..., np.ndarray],
     return entries.groupBy("bucket").applyInArrow(reduce, FOUND_SCHEMA)
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int, int]:
+def distinct_texts(docs: DataFrame, numbered: bool = False) -> tuple[DataFrame, int, int]:
     """Stored (md5, tag, text, copies) of the distinct texts (null: empty), their number of bytes, and of text buckets.
 
-    ``tag`` (64 bits) stands for the text in entries; copies are combined
+    ``tag`` (64 bits) stands for the text in entries: a hash of its md5, or
+    with ``numbered`` a number that no other text has. Copies are combined
     before the shuffle, so a text held by a third of the rows is one row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = store(
         docs.select(F.md5(text.cast("binary")).alias("md5"), text.alias("text"))
         .groupBy("md5").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-        .select("md5", F.xxhash64("md5").alias("tag"), "text", "copies"))
+        .select("md5", (F.monotonically_increasing_id() if numbered else F.xxhash64("md5")).alias("tag"), "text", "copies"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return texts, size, max(1, -(-size // TEXT_BYTES))
 

@@ -174,11 +174,18 @@ def test_language(spark, docs, empty):
     assert classify(empty, network).count() == 0
 
 
-@pytest.mark.parametrize("widths", [(400, 13), (40, 5)])
+def covered(raw, width, seen):
+    gone = np.zeros(len(raw), bool)
+    for i in range(len(raw) - width + 1):
+        gone[i : i + width] |= seen[raw[i : i + width]] > 1
+    return gone
+
+
+@pytest.mark.parametrize("widths", [(400, 13, 200, 11), (40, 5, 20, 3), (40, 5, 40, 5)])
 def test_substrings(spark, docs, empty, widths):
     from marketlens.llm.suffixes import repeated_substrings
 
-    width, order = widths
+    width, order, short, short_order = widths
     draw = np.random.default_rng(width)
     part = "".join(draw.choice(list("abcé"), 3 * width))
     texts = ["x" * (3 * width), part[: 2 * width] + "1" + part[: width - 1], "2" + part[7 : 2 * width] + "3", part[:width // 2], "é" * width, None, ""]
@@ -187,13 +194,13 @@ def test_substrings(spark, docs, empty, widths):
     raw = [(t or "").encode() for t in texts]
     seen = {}
     for b in raw:
-        for i in range(len(b) - width + 1):
-            seen[b[i : i + width]] = seen.get(b[i : i + width], 0) + 1
-    for r in repeated_substrings(rows, width, order).collect():
+        for w in {width, short}:
+            for i in range(len(b) - w + 1):
+                seen[b[i : i + w]] = seen.get(b[i : i + w], 0) + 1
+    for r in repeated_substrings(rows, width, order, short, short_order).collect():
         b = raw[r["doc_id"]]
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - width + 1):
-            gone[i : i + width] |= seen[b[i : i + width]] > 1
+        gone = covered(b, width, seen)
+        assert r["n_repeated"] == covered(b, short, seen).sum()
         rest = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), gone.sum(), spans, hashlib.sha256(rest).hexdigest())
@@ -203,6 +210,40 @@ def test_substrings(spark, docs, empty, widths):
         assert got[5]["n_removed"] == got[6]["n_removed"] == len(LONG) and got[1]["n_bytes"] == got[1]["n_removed"] == 0
 
 
+def test_substrings_of_51_words(spark):
+    """A passage of 51 words, under 400 bytes, in two other texts: nothing goes, but its bytes are counted."""
+    from marketlens.llm.suffixes import repeated_substrings
+
+    draw = np.random.default_rng(51)
+    words = ["".join(draw.choice(list("abcdefghijklmnop"), draw.integers(2, 9))) for _ in range(400)]
+    passage = " ".join(words[:51])
+    texts = [" ".join(words[60:120]) + " " + passage + " " + " ".join(words[120:180]), " ".join(words[200:210]) + " " + passage, " ".join(words[300:])]
+    assert 200 < len(passage) < 400
+    got = {r["doc_id"]: r for r in repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in range(3)] == [0, 0, 0] and got[2]["n_repeated"] == 0
+    assert all(len(passage) <= got[i]["n_repeated"] <= len(passage) + 2 for i in (0, 1))
+
+
+def test_repeats_need_both_hashes():
+    """Equal 64-bit hashes alone do not make two windows or contexts equal."""
+    from marketlens.llm import blocks, suffixes
+
+    names, check = np.array([7, 7, 7, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    none = np.zeros(4, bool)
+    assert suffixes._window_shared(none, names, check).tolist() == [4, 0, 4, 0]
+    assert (suffixes._compare_contexts(none, names, names, check) & 1).tolist() == [1, 0, 1, 0]
+    assert blocks.repeats(names, check)[1].tolist() == [True, False, True, False]
+
+
+def test_known_positions_pass_the_key_bucket_by():
+    from marketlens.llm import blocks
+
+    keys, tags, pos = np.full(1000, 5, np.uint64), np.arange(1000, dtype=np.uint64), np.arange(1000)
+    rows = blocks.entry_rows(4, 10, keys, tags, pos, (keys,)).to_pylist()
+    sizes = {r["bucket"]: len(blocks.unpack([r["block"]])[0]) for r in rows}
+    assert sizes == {1: 1, **{-1 - t: 100 for t in range(10)}}
+
+
 def test_chunks(docs, empty):
     from marketlens.llm.chunks import gear, repeated_chunks
 
