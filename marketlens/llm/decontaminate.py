@@ -16,7 +16,9 @@ permutation, larger classes take minima of pairs of blocks. A Bloom filter of
 windows without any item's key inside the scan; the rest meet the item keys
 in a shuffle join, and nominated pairs are verified on full sets.
 
-Texts of 1 to 4 words have one shingle, the whole sequence. Null or empty
+Texts of 1 to 4 words have one shingle, the whole sequence. Items so short are
+looked up among the documents' runs of as many words, so they too are found
+inside long documents. Null or empty
 texts contain nothing and are contained in nothing. Repeated rows give
 repeated results. Documents without doc_id are reported with null doc_id;
 ``text_md5`` tells them apart.
@@ -130,6 +132,14 @@ def _window_hits(hashes: np.ndarray, bounds: np.ndarray, size_classes: list[int]
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def _short_hits(hashes: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, hash) of the shingles whose keys, as those of tiny items, are in the bitmap."""
+    key = _keys(hashes, 0, 0)
+    hit = np.flatnonzero(bitmap[key >> np.uint64(64 - BITS)])
+    hit = hit[bitmap[(key[hit] >> np.uint64(39 - BITS)) & np.uint64((1 << BITS) - 1)] > 0]
+    return np.searchsorted(bounds, hit, "right") - 1, key[hit], hashes[hit]
+
+
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_md5, item_id, n_item, n_shared) of every contained item; ``docs``: doc_id, text; ``items``: item_id, text."""
     spark = docs.sparkSession
@@ -139,6 +149,8 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
     size_class = F.when(tiny, 0).otherwise(F.floor(F.log2("n_item") + 1e-9)).cast("int")
     size_classes = sorted(r[0] for r in built.select(size_class.alias("c")).distinct().collect())  # at most 64
     bitmap = spark.sparkContext.broadcast(key_bitmap(item_keys))
+    length = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    short = sorted(r[0] for r in items.select(length.alias("n")).where(F.col("n").between(1, shingle - 1)).distinct().collect())  # under ``shingle`` numbers
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_md5", T.StringType()), T.StructField("node", T.StringType()),
                            T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
@@ -152,13 +164,20 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
             for at, to, part, local in K.slices(data, offsets):
                 lower = K.LOWER[part]
                 starts, ends, of = K.word_spans(lower, local)
-                hashes, bounds = K.shingles(K.span_hash(K.prefix_hash(lower), starts, ends), of, to - at, shingle)
+                words = K.span_hash(K.prefix_hash(lower), starts, ends)
+                hashes, bounds = K.shingles(words, of, to - at, shingle)
                 found, keys = _window_hits(hashes, bounds, size_classes, bits, times, xors)
+                runs = [_short_hits(*K.shingles(words, of, to - at, k, like=shingle), bits) for k in short]
+                brief = {}  # document: its runs that may be items of fewer than ``shingle`` words
+                for docs_of, own_keys, own_hashes in runs:
+                    found, keys = np.append(found, docs_of), np.append(keys, own_keys)
+                    for i, h in zip(docs_of.tolist(), own_hashes, strict=True):
+                        brief.setdefault(i, []).append(h)
                 rows, texts, nodes, own_keys, own = [], [], [], [], []
                 order = np.argsort(found, kind="stable")
                 hit, first = np.unique(found[order], return_index=True)
                 for i, mine in zip(hit.tolist(), np.split(keys[order], first[1:]) if len(hit) else [], strict=True):
-                    unique = np.unique(hashes[bounds[i] : bounds[i + 1]])
+                    unique = np.unique(np.append(hashes[bounds[i] : bounds[i + 1]], np.array(brief.get(i, []), np.uint64)))
                     rows.append(at + i)
                     texts.append(md5(part[local[i] : local[i + 1]]).hexdigest())
                     nodes.append(xxhash.xxh3_128_hexdigest(unique))

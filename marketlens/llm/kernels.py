@@ -120,11 +120,12 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def shingles(words: np.ndarray, word_docs: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, word_docs: np.ndarray, n_docs: int, k: int, like: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words, and bounds: document d has hashes bounds[d]..bounds[d+1]-1.
 
     A document of 1 to k-1 words has one hash, that of its whole sequence.
-    Documents without words have none."""
+    Documents without words have none. With ``like`` > k the hashes are those
+    that a sequence of k words has among shingles of ``like`` words."""
     counts = np.bincount(word_docs, minlength=n_docs)
     first = np.concatenate([[0], np.cumsum(counts)])
     n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
@@ -132,8 +133,8 @@ def shingles(words: np.ndarray, word_docs: np.ndarray, n_docs: int, k: int) -> t
     at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n) + np.repeat(first[:-1], n)
     length = np.repeat(np.minimum(counts, k), n)
     h = length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    padded = np.concatenate([words, np.zeros(k, np.uint64)])
-    for j in range(k):
+    padded = np.concatenate([words, np.zeros(like or k, np.uint64)])
+    for j in range(like or k):
         h = h * np.uint64(0xE7037ED1A0B428DB) + np.where(length > j, padded[at + j], np.uint64(j + 1))
     return mix(h), bounds
 

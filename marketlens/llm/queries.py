@@ -50,7 +50,8 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,11 @@ _SHINGLES = r"""
                                                '[^\x20\x09-\x0D]+') AS w FROM {table})
         WHERE len(w) > 0"""
 
+#: Runs of one to four words, for items of so few.
+_SHORT_RUNS = r"""
+        SELECT doc_id, unnest(flatten([[array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 5)])) AS s
+        FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x20\x09-\x0D]+') AS w FROM documents)"""
 _TERMS = r"""
         SELECT row, {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
@@ -129,7 +135,8 @@ ORACLE: dict[str, str] = {
     "op8_benchmark_containment": f"""
         WITH items AS (SELECT DISTINCT item_id, s FROM ({_SHINGLES.format(key="item_id", table="benchmark")})),
              sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY 1),
-             docs AS (SELECT DISTINCT doc_id, s FROM ({_SHINGLES.format(key="doc_id", table="documents")}))
+             docs AS (SELECT DISTINCT doc_id, s FROM ({_SHINGLES.format(key="doc_id", table="documents")})
+                      UNION SELECT doc_id, s FROM ({_SHORT_RUNS}) WHERE s IN (SELECT s FROM items))
         SELECT doc_id, item_id, n_item, count(*) AS n_shared
         FROM docs JOIN items USING (s) JOIN sizes USING (item_id)
         GROUP BY ALL HAVING 100 * count(*) >= 80 * n_item

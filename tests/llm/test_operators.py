@@ -326,7 +326,7 @@ def test_search(spark):
     bad = [(900, None), (901, []), (902, [0.0] * 6), (903, [float("nan")] + [1.0] * 5), (904, [None] + [1.0] * 5), (905, [float("inf")] * 6), (906, [1.0] * 5),
            (None, [1.0] * 6)]
     vectors = spark.createDataFrame([*rows, *bad, rows[7]], "vec_id long, embedding array<float>").withColumn("cell", F.lit(1))
-    got = search(vectors, F.col("vec_id") % 100 == 0, neighbours=10).collect()
+    got = search(vectors, F.col("vec_id") % 100 == 0, neighbours=10, share=1.0).collect()
     x = points.astype(float)
     expected = []
     for q in (0, 100, 200):
@@ -339,6 +339,64 @@ def test_search(spark):
     assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in one) == [(0, 1, 1.0), (1, 0, 1.0)]
 
 
+def test_vector_lengths_are_searched_among_themselves(spark):
+    from marketlens.llm.multiindex import search
+
+    draw = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in draw.normal(size=3 + i % 3)]) for i in range(60)]
+    got = {}
+    for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 6, neighbours=5, share=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(6):
+        near = sorted((float(np.sqrt(((np.array(v) - rows[q][1]) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))[:5]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in near]
+
+
+@pytest.mark.parametrize("n, kind", [(9_000, "uniform"), (9_000, "clustered"), (800, "uniform")])
+def test_recall_of_a_truncated_walk(spark, n, kind):
+    """With the production share, so that the walk ends before it has seen all rows."""
+    from marketlens.llm.multiindex import search
+
+    draw = np.random.default_rng(n)
+    x = draw.normal(size=(n, 64))
+    if kind == "clustered":
+        x = draw.normal(size=(60, 64))[draw.integers(0, 60, n)] + 0.4 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(vectors, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, 100):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argsort(far)[:10].tolist()))
+    assert all(len(v) == 10 for v in got.values())
+    assert hits / (10 * len(range(0, n, 100))) >= 0.9
+
+
+def test_near_copies_of_one_doc_id(spark, monkeypatch):
+    """The query's ``kept`` is doc_id = component_id, also where rows share a doc_id."""
+    from marketlens.llm import queries
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(5, base), (5, base + " tail"), (9, base + " other"), (None, "no id at all")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *a: rows)
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in queries.op6_minmax_near_dedup(spark, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (None, None, True)], key=str)
+
+
+def test_short_items_inside_long_documents(spark):
+    from marketlens.llm.decontaminate import contained_items
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, "w7 w8"), (2, "W7 w8\tw9 x"), (3, "w9 w8 w7"), (4, None), (5, " ".join(words[30:]))],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(0, "w7 w8 w9"), (1, "w59"), (2, "w7 w8"), (3, "w8 w7"), (4, "w3 w4 w5 w6 w7")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contained_items(docs, items).collect()}
+    assert got == {(d, i, 1, 1) for d, i in [(0, 0), (2, 0), (0, 1), (5, 1), (0, 2), (1, 2), (2, 2), (3, 3), (0, 4)]}
+
+
 def test_automaton_is_minimal():
     from marketlens.llm.automaton import compile_rules
 
