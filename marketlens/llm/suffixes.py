@@ -21,8 +21,8 @@ The search runs twice: over all texts at ``short`` bytes, for the column
 of short repeats, which all texts with a string of ``width`` bytes to lose do.
 
 A rank is a hash of 64 bits, that only nominates; where bytes are taken to
-repeat, two independent hashes of 64 bits agree, and texts have numbers of
-their own. Suffixes are ordered by the hash of their rank bytes and not by the
+repeat, a second, independent hash of 32 bits agrees too (contexts: 160 bits
+with the rank), and texts have numbers of their own. Suffixes are ordered by the hash of their rank bytes and not by the
 bytes, which would take as many more bytes to every bucket. Memory: one bucket
 and one text (a text's arrays take some 30 times its bytes). Copies of a text
 are one text; it repeats wholly if it has ``width`` bytes. Texts shorter than
@@ -50,7 +50,7 @@ from marketlens.llm.shared import store
 
 WIDTH, SHORT = 400, 200
 # primes; a cover of order q has q + 1 residues modulo q**2 + q + 1
-ORDER, SHORT_ORDER = 13, 11
+ORDER, SHORT_ORDER = 13, 7
 _RESOLVED, _OPEN, _WINDOW = 1, 2, 4
 
 
@@ -83,7 +83,8 @@ class _Hashes:
         return self._of(self._first, starts, ends)
 
     def second(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self._of(self._second, starts, ends)
+        """32 bits."""
+        return (self._of(self._second, starts, ends) >> np.uint64(32)).astype(np.uint32)
 
 
 def _cover(lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -271,7 +272,7 @@ def _context(hashes: _Hashes, begin: int, end: int, pos: np.ndarray, reach: int,
     p = np.unique(pos) + begin
     low, high = np.maximum(p - reach, begin), np.minimum(p + width, end)
     cut = ((p - low) * (width + 1) + (high - p)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return hashes.first(p, p + rank_bytes), p - begin, K.mix(hashes.first(low, high) + cut), K.mix(hashes.second(low, high) + cut)
+    return hashes.first(p, p + rank_bytes), p - begin, K.mix(hashes.first(low, high) + cut), hashes.second(low, high)
 
 
 def _compare_contexts(multi: np.ndarray, names: np.ndarray, around: np.ndarray, check: np.ndarray) -> np.ndarray:

@@ -181,7 +181,7 @@ def covered(raw, width, seen):
     return gone
 
 
-@pytest.mark.parametrize("widths", [(400, 13, 200, 11), (40, 5, 20, 3), (40, 5, 40, 5)])
+@pytest.mark.parametrize("widths", [(400, 13, 200, 7), (40, 5, 20, 3), (40, 5, 40, 5)])
 def test_substrings(spark, docs, empty, widths):
     from marketlens.llm.suffixes import repeated_substrings
 
