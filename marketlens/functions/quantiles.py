@@ -19,6 +19,7 @@ from marketlens.session import plain_plans, scratch_folder
 #: Size of the sketches, and their rank error as a share of the rows: the 99 % bound of a KLL sketch, 2.296 / k**0.9723, three times over.
 SKETCH_K = 4096
 RANK_ERROR = 3 * 2.296 / SKETCH_K**0.9723
+_SKETCHED = 16
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -56,11 +57,12 @@ def _bucket(v, lo, hi, buckets: int):
 
 
 def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 16384,
-                      max_candidates: int = 200_000, rank_error: float = RANK_ERROR) -> DataFrame:
+                      max_candidates: int = 200_000, rank_error: float = RANK_ERROR, weight: str | None = None) -> DataFrame:
     """Exact per-group quantiles with linear interpolation (pandas' default).
 
     Returns ``key, n, min, max, q0 .. q{len(probs)-1}`` over the non-null,
-    non-NaN values. The quantile at ``p`` is read from the order statistics
+    non-NaN values; a row stands for ``weight`` (a whole number column) equal
+    ones. The quantile at ``p`` is read from the order statistics
     at ranks floor(h) and ceil(h), h = (n - 1) p, interpolated by h's fraction.
 
     One aggregate gives count, extremes and a KLL sketch of each group (merged
@@ -77,12 +79,18 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], b
     even when one key holds a third of the rows. The driver reads only how
     many targets are open."""
     v = F.col(value).cast("double")
-    data = df.select(F.col(key).alias("_k"), v.alias("_v")).filter(
-        F.col("_k").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")
+    copies = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    data = df.select(F.col(key).alias("_k"), v.alias("_v"), copies.alias("_w")).filter(
+        F.col("_k").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_w") > 0)
     )
     h = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    stats = data.groupBy("_k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.kll_sketch_agg_double("_v", SKETCH_K).alias("_sketch"))
+    if weight is None:
+        sketched, rows = data, F.count(F.lit(1))
+    else:  # the sketch takes a row a few times at most; heavier ones may miss their bracket, which is found out below
+        sketched = data.select("*", F.explode(F.sequence(F.lit(1), F.least("_w", F.lit(_SKETCHED)))).alias("_i"))
+        rows = F.sum(F.when(F.col("_i") == 1, F.col("_w")))
+    stats = sketched.groupBy("_k").agg(
+        rows.alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.kll_sketch_agg_double("_v", SKETCH_K).alias("_sketch"))
     whole = F.col("n") <= max_candidates  # few rows: the bracket is the group's range
     bracket = []
     for i, p in enumerate(probs):
@@ -98,7 +106,7 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: list[float], b
     brackets = targets.where(small).select(F.col("_k").alias("_rk"), "lo", "hi").distinct()
     met = data.join(brackets, (F.col("_k") == F.col("_rk")) & (F.col("_v") <= F.col("hi")))
     inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))  # null: below the bracket
-    counted = met.groupBy("_k", "lo", "hi", inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counted = met.groupBy("_k", "lo", "hi", inside.alias("v")).agg(F.sum("_w").alias("c"))
     upto = Window.partitionBy("_k", "lo", "hi").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = counted.withColumn("cum", F.sum("c").over(upto))
     hit = targets.join(counted, ["_k", "lo", "hi"]).where(
@@ -140,7 +148,7 @@ def _narrowed(data: DataFrame, open_t: DataFrame, buckets: int, max_candidates:
         # fresh column names, so joining the result back to the targets is unambiguous
         ranges = targets.select(F.col("_k").alias("_rk"), F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi")).distinct()
         cond = (F.col("_k") == F.col("_rk")) & F.col("_v").between(F.col("_rlo"), F.col("_rhi"))
-        return data.join(ranges, cond).select("_k", "_v", F.col("_rlo").alias("lo"), F.col("_rhi").alias("hi"))
+        return data.join(ranges, cond).select("_k", "_v", "_w", F.col("_rlo").alias("lo"), F.col("_rhi").alias("hi"))
 
     while True:
         is_final = (F.col("rows") <= max_candidates) | (F.col("lo") == F.col("hi"))
@@ -148,7 +156,7 @@ def _narrowed(data: DataFrame, open_t: DataFrame, buckets: int, max_candidates:
         sizes = open_t.agg(F.count_if(is_final).alias("f"), F.count_if(~is_final).alias("o")).first()
         if sizes["f"]:
             # exact ranking of the (bounded) distinct values of each small range
-            vc = in_range(final).groupBy(*range_keys, "_v").agg(F.count(F.lit(1)).alias("c"))
+            vc = in_range(final).groupBy(*range_keys, "_v").agg(F.sum("_w").alias("c"))
             w = Window.partitionBy(*range_keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             vc = vc.withColumn("cum", F.sum("c").over(w))
             hit = final.join(vc, range_keys).filter((F.col("cum") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
@@ -159,7 +167,7 @@ def _narrowed(data: DataFrame, open_t: DataFrame, buckets: int, max_candidates:
             in_range(narrow)
             .withColumn("b", _bucket(F.col("_v"), F.col("lo"), F.col("hi"), buckets))
             .groupBy(*range_keys, "b")
-            .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))
+            .agg(F.sum("_w").alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))
         )
         w = Window.partitionBy(*range_keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("cum", F.sum("c").over(w))

@@ -33,6 +33,11 @@ def customer_features(fact: DataFrame, churn_days: int = 120, checkpoint: bool =
             mean_days_between(F.col(DATE_COLUMN), F.col("order_delivered_customer_date")).alias("avg_delivery_days"),
         ],
     )
+    return labelled_features(base, churn_days, checkpoint)
+
+
+def labelled_features(base: DataFrame, churn_days: int = 120, checkpoint: bool = True) -> DataFrame:
+    """``customer_features`` of a customer table (customer_unique_id, recency, frequency, monetary, avg_review_score, avg_delivery_days)."""
     if checkpoint:
         base = checkpoint_table(base)
     medians = exact_medians(base, ["avg_review_score", "avg_delivery_days"])

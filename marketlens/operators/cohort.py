@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from marketlens.functions import month_index, month_start
 from marketlens.schemas import DATE_COLUMN
-from marketlens.session import checkpoint_table
+from marketlens.session import plain_plans, scratch_folder
 
 
 def cohort_counts(fact: DataFrame) -> DataFrame:
@@ -25,6 +25,15 @@ def cohort_counts(fact: DataFrame) -> DataFrame:
         .groupBy("customer_unique_id")
         .agg(F.collect_set(month_start(F.col(DATE_COLUMN))).alias("months"))
     )
+    return _counts(months)
+
+
+def cohort_counts_of_months(months: DataFrame) -> DataFrame:
+    """A-17 from the customer-month grain (customer_unique_id, month)."""
+    return _counts(months.groupBy("customer_unique_id").agg(F.collect_set("month").alias("months")))
+
+
+def _counts(months: DataFrame) -> DataFrame:
     members = months.select(F.array_min("months").alias("cohort"), F.explode("months").alias("m"))
     return (
         members.withColumn("period_number", month_index(F.col("m")) - month_index(F.col("cohort")))
@@ -36,7 +45,11 @@ def cohort_counts(fact: DataFrame) -> DataFrame:
 def cohort_retention(fact: DataFrame) -> DataFrame:
     """R-02 (long form): retention % = customers / cohort size x 100, rounded
     half-even to 1 place; cohort labelled ``yyyy-MM``."""
-    counts = cohort_counts(fact)
+    return retention(cohort_counts(fact))
+
+
+def retention(counts: DataFrame) -> DataFrame:
+    """R-02 of (cohort, period_number, customers)."""
     size = F.max(F.when(F.col("period_number") == 0, F.col("customers"))).over(Window.partitionBy("cohort"))
     return counts.select(
         F.date_format("cohort", "yyyy-MM").alias("cohort_month"),
@@ -48,14 +61,23 @@ def cohort_retention(fact: DataFrame) -> DataFrame:
 
 
 def cohort_matrix(fact: DataFrame, periods: list[int] | None = None) -> DataFrame:
-    """R-01: wide matrix, one row per cohort, one column per period (as text),
-    missing cells 0. Pass ``periods`` to skip the job that finds them;
-    otherwise the long table (at most months x months rows) is checkpointed
-    once, so finding the periods and pivoting do not scan the fact twice."""
+    """R-01: wide matrix, one row per cohort, one column per period that occurs
+    (as text), missing cells 0. The columns of a plan must be known when it is
+    made: pass ``periods``, else the long table (at most months x months rows)
+    is written once and its periods are read from there."""
     long = cohort_retention(fact)
-    if periods is None:
-        long = checkpoint_table(long)
+    if periods is not None:
+        return retention_matrix(long, periods)
+    spark, path = fact.sparkSession, scratch_folder(fact.sparkSession, "cohorts")
+    long.write.parquet(path)
+    long = spark.read.schema(long.schema).parquet(path)
+    with plain_plans(spark):
         periods = sorted(r[0] for r in long.select("period_number").distinct().collect())  # <= months
+    return retention_matrix(long, periods)
+
+
+def retention_matrix(long: DataFrame, periods: list[int]) -> DataFrame:
+    """R-01 of the long form for the given periods."""
     if not periods:
         return long.select("cohort_month")
     wide = long.groupBy("cohort_month").pivot("period_number", periods).agg(F.first("retention_pct"))

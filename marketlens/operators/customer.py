@@ -87,10 +87,16 @@ def rfm_segments(fact: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42
     customers than k every row is cluster 0 / the last label. ``tol`` is
     relative: total squared centre shift <= tol x mean feature variance. All
     restarts advance in one pass per step (``operators.kmeans``)."""
+    return segment_customers(rfm_base(fact), k, restarts, seed, max_iter, labels, tol)
+
+
+def segment_customers(rfm: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42, max_iter: int = 300,
+                      labels: list[str] | None = None, tol: float = 1e-4) -> DataFrame:
+    """``rfm_segments`` of a customer table (customer_unique_id, recency, frequency, monetary)."""
     labels = labels or SEGMENT_LABELS
     if len(labels) != k:
         raise ValueError(f"need exactly k={k} segment labels, got {len(labels)}")
-    rfm = checkpoint_table(rfm_base(fact))
+    rfm = checkpoint_table(rfm.select("customer_unique_id", *RFM_FEATURES))
     clean = rfm.withColumns({c: _clean(c) for c in RFM_FEATURES})
     scaled, moments, n = standardize_with_stats(clean, RFM_FEATURES)
     if n < k:

@@ -10,6 +10,19 @@ from marketlens.schemas import DATE_COLUMN
 from marketlens.schemas import SENTIMENT_BINS
 
 
+def performance_of_months(months: DataFrame) -> DataFrame:
+    """A-07 from the product-month grain."""
+    return (
+        months.filter(F.col("product_id").isNotNull() & F.col("product_category").isNotNull())
+        .groupBy("product_id", "product_category")
+        .agg(
+            money_sum(F.col("revenue")).alias("revenue"),
+            (F.sum("review_sum") / F.nullif(F.sum("reviews"), F.lit(0))).alias("review_score"),
+            F.sum("orders").alias("orders"),
+        )
+    )
+
+
 def product_performance(fact: DataFrame) -> DataFrame:
     """A-07: (product, category) -> revenue, item-weighted mean review, distinct orders."""
     return (
@@ -59,20 +72,21 @@ def review_sentiment(fact: DataFrame) -> DataFrame:
     )
 
 
-def delivery_time_by_state(fact: DataFrame) -> DataFrame:
-    """A-10: box statistics of delivery days per customer state.
+def delivery_time_by_state(fact: DataFrame, items: str | None = None) -> DataFrame:
+    """A-10: box statistics of delivery days per customer state, over items: a row of ``fact`` is one, or as many as its
+    column ``items`` says (order grain).
 
     Quartiles use linear interpolation between order statistics (as the box
     plot does); whiskers are the most extreme values
     within 1.5 IQR of the box. Exact without holding a state's rows in one
-    task: ``grouped_quantiles`` finds the order statistics by histogram
-    narrowing (partial aggregates and bounded windows), so a state holding a
-    third of all rows is spread over the whole cluster; the whiskers are one
+    task: ``grouped_quantiles`` finds the order statistics by partial
+    aggregates and bounded windows, so a state holding a third of all rows
+    is spread over the whole cluster; the whiskers are one
     more partial aggregate against the per-state box.
     """
     dd, st = F.col("delivery_days"), F.col("customer_state")
-    rows = fact.select("customer_state", "delivery_days").filter(dd.isNotNull() & st.isNotNull())
-    stats = grouped_quantiles(rows, "customer_state", "delivery_days", [0.25, 0.5, 0.75])
+    rows = fact.select("customer_state", "delivery_days", *([items] if items else [])).filter(dd.isNotNull() & st.isNotNull())
+    stats = grouped_quantiles(rows, "customer_state", "delivery_days", [0.25, 0.5, 0.75], weight=items)
     stats = stats.toDF("customer_state", "n", "min", "max", "q1", "median", "q3")
     iqr = F.col("q3") - F.col("q1")
     fences = rows.join(stats, "customer_state").groupBy("customer_state").agg(
@@ -99,8 +113,13 @@ def product_month_orders(fact: DataFrame) -> DataFrame:
 def slow_movers(fact: DataFrame, threshold: float = 5.0, n: int = 50) -> DataFrame:
     """A-12 / T-04: products whose mean distinct orders per *active* month is
     below ``threshold``, slowest first (ties by product id)."""
+    return slow_movers_of_months(product_month_orders(fact), threshold, n)
+
+
+def slow_movers_of_months(months: DataFrame, threshold: float = 5.0, n: int = 50) -> DataFrame:
+    """A-12 from the product-month grain (product_id, product_category, month, orders)."""
     return (
-        product_month_orders(fact)
+        months.filter(F.col("product_id").isNotNull() & F.col("product_category").isNotNull() & F.col("month").isNotNull())
         .groupBy("product_id", "product_category")
         .agg(F.avg("orders").alias("mean_orders"))
         .filter(F.col("mean_orders") < threshold)  # HAVING on the exact mean

@@ -2,8 +2,11 @@
 
 ``build_marts`` takes a prepared fact (any source), applies the dashboard
 filters, and writes one Parquet table per analysis under
-``out_dir/<mart>/<table>``. RFM segments are computed once and reused by the
-customer and predictive marts.
+``out_dir/<mart>/<table>``. The fact is scanned at most three times: for the
+order grain, the product-month grain and the sellers (``operators.grains``).
+All other tables come from those and from the customer-month grain, which the
+order grain gives. RFM segments are computed once and reused by the customer
+and predictive marts.
 
 usage: python -m marketlens.plans.marts --warehouse DIR --out DIR
            [--start YYYY-MM-DD] [--end YYYY-MM-DD] [--category C] [--state S]
@@ -16,7 +19,7 @@ import argparse
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.operators import churn, cohort, customer, forecast, kpi, prepare, product
+from marketlens.operators import churn, cohort, customer, forecast, grains, kpi, prepare, product
 
 MARTS = ("executive", "customer", "product", "predictive")
 
@@ -36,41 +39,49 @@ def build_marts(fact: DataFrame, out_dir: str, start=None, end=None, category: s
                 forecast_periods: int = 1) -> dict[str, int]:
     """Write the requested marts; returns rows per written table."""
     data = prepare.apply_filters(fact, start, end, category, state)
+    spark = fact.sparkSession
     counts: dict[str, int] = {}
-    rfm = None
+    rfm, months = None, None
+    orders = grains.Stored(grains.order_grain(data), "orders").df
+    products = grains.Stored(grains.product_months(data), "product_months").df if {"executive", "product"} & set(marts) else None
 
     if "executive" in marts:  # B-01
-        _write(kpi.kpi_summary(data), out_dir, "executive", "kpi_summary", counts)
-        _write(kpi.monthly_kpis_last(data, 24), out_dir, "executive", "monthly_kpis_last24", counts)
-        _write(kpi.category_revenue_top(data, 10), out_dir, "executive", "category_revenue_top10", counts)
-        _write(kpi.order_status_funnel(data), out_dir, "executive", "order_status_funnel", counts)
-        _write(kpi.state_revenue_geo(data), out_dir, "executive", "state_revenue_geo", counts)
+        _write(kpi.kpi_summary(orders), out_dir, "executive", "kpi_summary", counts)
+        _write(kpi.monthly_kpis_last(orders, 24), out_dir, "executive", "monthly_kpis_last24", counts)
+        _write(kpi.category_revenue_top(products, 10), out_dir, "executive", "category_revenue_top10", counts)
+        _write(kpi.order_status_funnel(orders), out_dir, "executive", "order_status_funnel", counts)
+        _write(kpi.state_revenue_geo(orders), out_dir, "executive", "state_revenue_geo", counts)
 
     if "customer" in marts or "predictive" in marts:
-        rfm = _write(customer.rfm_segments(data, k, restarts, seed), out_dir, "customer", "rfm_segments", counts)
+        months = grains.stored_customer_months(spark, orders)
+        totals = grains.customer_totals(months.df)
+        rfm = _write(customer.segment_customers(totals, k, restarts, seed), out_dir, "customer", "rfm_segments", counts)
 
     if "customer" in marts:  # B-02
         _write(customer.segment_churn_heuristic(rfm), out_dir, "customer", "segment_churn_heuristic", counts)
-        _write(cohort.cohort_retention(data), out_dir, "customer", "cohort_retention", counts)
-        _write(cohort.cohort_matrix(data), out_dir, "customer", "cohort_matrix", counts)
+        long = _write(cohort.retention(cohort.cohort_counts_of_months(months.df)), out_dir, "customer", "cohort_retention", counts)
+        periods = sorted(r[0] for r in long.select("period_number").distinct().collect())  # <= months
+        _write(cohort.retention_matrix(long, periods), out_dir, "customer", "cohort_matrix", counts)
         _write(customer.top_customers(rfm, 10), out_dir, "customer", "top_customers", counts)
 
     if "product" in marts:  # B-03
-        _write(product.product_performance(data), out_dir, "product", "product_performance", counts)
+        _write(product.performance_of_months(products), out_dir, "product", "product_performance", counts)
         _write(product.seller_leaderboard(data, 15), out_dir, "product", "seller_leaderboard", counts)
-        _write(product.review_sentiment(data), out_dir, "product", "review_sentiment", counts)
-        _write(product.delivery_time_by_state(data), out_dir, "product", "delivery_time_by_state", counts)
-        _write(product.slow_movers(data), out_dir, "product", "slow_movers", counts)
+        _write(product.review_sentiment(orders), out_dir, "product", "review_sentiment", counts)
+        _write(product.delivery_time_by_state(orders, grains.ITEMS), out_dir, "product", "delivery_time_by_state", counts)
+        _write(product.slow_movers_of_months(products), out_dir, "product", "slow_movers", counts)
 
     if "predictive" in marts:  # B-04
-        _write(forecast.forecast_ewma(data, periods=forecast_periods), out_dir, "predictive", "forecast_ewma", counts)
-        _write(forecast.forecast_seasonal(data, periods=forecast_periods), out_dir, "predictive", "forecast_seasonal", counts)
-        result = churn.train_churn_model(churn.customer_features(data, churn_days), seed)
+        _write(forecast.forecast_ewma(orders, periods=forecast_periods), out_dir, "predictive", "forecast_ewma", counts)
+        _write(forecast.forecast_seasonal(orders, periods=forecast_periods), out_dir, "predictive", "forecast_seasonal", counts)
+        result = churn.train_churn_model(churn.labelled_features(totals, churn_days), seed)
         predictions = _write(result.predictions, out_dir, "predictive", "churn_predictions", counts)
         _write(result.metrics, out_dir, "predictive", "churn_metrics", counts)
         _write(result.drivers, out_dir, "predictive", "churn_drivers", counts)
         _write(churn.churn_by_segment(predictions, rfm), out_dir, "predictive", "churn_by_segment", counts)
         _write(churn.churn_scores_top(predictions, rfm, 100), out_dir, "predictive", "churn_scores_top100", counts)
+    if months is not None:
+        months.drop()
     return counts
 
 
