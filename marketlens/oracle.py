@@ -9,7 +9,7 @@ sides (SURVEY §7.4).
 
 from __future__ import annotations
 
-from marketlens.registry import CENTRES, COEFFICIENTS, INTERCEPT, ONE_CLASS_DAYS
+from marketlens.registry import CENTRES, COEFFICIENTS, INTERCEPT, MART_MEASURES, ONE_CLASS_DAYS
 from marketlens.schemas import BR_STATES, CHURN_FEATURES, SEGMENT_LABELS, STATE_CENTROIDS
 
 _STATES = "[" + ", ".join(f"'{s}'" for s in BR_STATES[:24]) + "]"
@@ -454,6 +454,42 @@ QUERIES = {
 }
 
 
+QUERIES["star_from_text"] = "SELECT * REPLACE (" + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" for c in ("order_id", "customer_id", "product_id", "seller_id")) + ") FROM fact"
+QUERIES["ingest_run_log"] = """
+    WITH n AS (SELECT (SELECT count(*) FROM fact) AS f, (SELECT count(*) FROM raw_customers) AS c, (SELECT count(*) FROM raw_products) AS p,
+                      (SELECT count(*) FROM raw_sellers) AS s)
+    SELECT 'success' AS status, format('{} rows written (dim_customers {}, dim_products {}, dim_sellers {}, fact_orders {})', f + c + p + s, c, p, s, f) AS message,
+           false AS latest, true AS latest_success FROM n
+    UNION ALL SELECT 'failed', 'Missing required CSV', true, false"""
+
+#: Tables of the marts under other names than their queries', and those with a column under another name.
+_MART_SOURCES = {"rfm_segments": "rfm_base", "top_customers": "top_customers_ltv"}
+
+
+def _mart_sql(mart: str) -> str:
+    parts = []
+    for table, (key, *measures) in MART_MEASURES[mart].items():
+        body = QUERIES[_MART_SOURCES.get(table, table)].strip()
+        label = f"strftime({key}, '%Y-%m')" if key in ("month", "ds") else f"CAST({key} AS VARCHAR)"
+        values = ", ".join(f"{{'measure': '{m}', 'value': round(CAST({m} AS DOUBLE), {digits})}}" for m, digits in measures)
+        parts.append(f"SELECT '{table}' AS table_name, {label} AS name, unnest([{values}], recursive := true) FROM ({body})")
+    return "\nUNION ALL\n".join(parts)
+
+
+for _mart in MART_MEASURES:
+    QUERIES[f"mart_{_mart}"] = _mart_sql(_mart)
+QUERIES["mart_row_counts"] = "\nUNION ALL\n".join(
+    [f"SELECT '{mart}/{table}' AS table_name, count(*) AS row_count FROM ({QUERIES[_MART_SOURCES.get(table, table)].strip()})"
+     for mart, tables in MART_MEASURES.items() for table in tables]
+    + [f"SELECT '{name}' AS table_name, {rows} AS row_count" for name, rows in (
+        ("customer/segment_churn_heuristic", len(SEGMENT_LABELS)),
+        ("customer/cohort_matrix", "(SELECT count(DISTINCT cohort_month) FROM retention)"),
+        ("predictive/forecast_seasonal", "(SELECT least(count(*), 24) + 1 FROM series)"),
+        ("predictive/churn_by_segment", len(SEGMENT_LABELS)),
+        ("predictive/churn_scores_top100", "(SELECT least(count(*), 100) FROM features)"))])
+
+
 def statements() -> dict[str, str]:
     out = {}
     for name, sql in QUERIES.items():

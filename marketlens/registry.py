@@ -7,15 +7,21 @@ session and share the fitted result.
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import churn, cohort, customer, forecast, kpi, prepare, product
-from marketlens.schemas import CHURN_FEATURES
-from marketlens.sources.registry_data import prepared_fact, star_table
+from marketlens.operators.star import build_star
+from marketlens.plans.ingest import run_ingest
+from marketlens.plans.marts import build_marts
+from marketlens.schemas import CHURN_FEATURES, RAW_FILES, RAW_SCHEMAS
+from marketlens.session import scratch_folder
+from marketlens.sources.raw import load_raw
+from marketlens.sources.registry_data import input_state, prepared_fact, star_table
+from marketlens.sources.testdata import raw_tables
+from marketlens.sources.warehouse import latest_run, read_runs
 
 # Fixed filter used by ``filtered_fact`` (a date window, one category, one state).
 FILTER_START, FILTER_END = "1997-03-15", "1999-10-20"
@@ -29,7 +35,7 @@ _MEMO: dict = {}
 
 
 def _memo(spark: SparkSession, sf: str, name: str, build):
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf), name)
+    key = (*input_state(spark, sf), name)
     with _LOCK:
         if key not in _MEMO:
             _MEMO[key] = build()
@@ -103,6 +109,87 @@ def _cohort_matrix(spark, sf):
     return cohort.cohort_matrix(_fact(spark, sf))
 
 
+def _star_from_text(spark, sf):
+    """S-01, S-02, C-01, C-02: the raw tables written as CSV files of text, read back and turned into the fact."""
+    def build():
+        folder = scratch_folder(spark, "csv")
+        for name, df in raw_tables(spark, sf).items():
+            columns = [f.name for f in RAW_SCHEMAS[name] if f.name in df.columns]
+            df.select(*[F.col(c).cast("string").alias(c) for c in columns]).write.option("header", True).csv(f"{folder}/{RAW_FILES[name]}")
+        return folder
+    return build_star(load_raw(spark, _memo(spark, sf, "csv", build)))["fact_orders"]
+
+
+def _ingest_run_log(spark, sf):
+    """S-06..S-08: (status, message, latest) of a load and of one whose files are missing."""
+    folder = scratch_folder(spark, "log")
+    run_ingest(spark, folder, raw=raw_tables(spark, sf))
+    run_ingest(spark, folder, raw_dir=f"{folder}/none")
+    runs = read_runs(spark, folder)
+    good, last = (latest_run(spark, folder, status) for status in ("success", None))
+    message = F.when(F.col("status") == "failed", F.regexp_extract("message", "^[A-Za-z ]+", 0)).otherwise(F.col("message"))
+    return runs.select("status", message.alias("message"), (F.col("run_at") == F.lit(last)).alias("latest"),
+                       (F.col("run_at") == F.lit(good)).alias("latest_success"))
+
+
+def _marts(spark, sf) -> tuple[str, dict[str, int]]:
+    """Folder and row counts of all marts, built once a session."""
+    def build():
+        folder = scratch_folder(spark, "marts")
+        return folder, build_marts(_fact(spark, sf), folder, k=KMEANS_K, restarts=KMEANS_RESTARTS, seed=SEED, churn_days=CHURN_DAYS)
+    return _memo(spark, sf, "marts", build)
+
+
+def _mart_row_counts(spark, sf):
+    counts = _marts(spark, sf)[1]
+    return spark.createDataFrame(sorted(counts.items()), "table_name string, row_count bigint")
+
+
+#: Per mart and table the column that names a row and the measures compared, (name, decimals).
+MART_MEASURES = {
+    "executive": {
+        "kpi_summary": ("metric", ("value", 6), ("delta", 6)),
+        "monthly_kpis_last24": ("month", ("revenue", 4), ("total_orders", 0), ("customers", 0), ("aov", 6), ("clv", 6)),
+        "category_revenue_top10": ("product_category", ("revenue", 4)),
+        "order_status_funnel": ("order_status", ("orders", 0)),
+        "state_revenue_geo": ("customer_state", ("revenue", 4), ("lat", 4), ("lon", 4)),
+    },
+    "customer": {
+        "rfm_segments": ("customer_unique_id", ("recency", 0), ("frequency", 0), ("monetary", 4)),
+        "cohort_retention": ("cohort_month", ("period_number", 0), ("customers", 0), ("cohort_size", 0), ("retention_pct", 1)),
+        "top_customers": ("customer_unique_id", ("recency", 0), ("frequency", 0), ("lifetime_value_brl", 4)),
+    },
+    "product": {
+        "product_performance": ("product_id", ("revenue", 4), ("review_score", 6), ("orders", 0)),
+        "seller_leaderboard": ("seller_id", ("revenue", 4), ("avg_rating", 6), ("avg_delivery_days", 6), ("orders", 0)),
+        "review_sentiment": ("sentiment", ("orders", 0)),
+        "delivery_time_by_state": ("customer_state", ("count", 0), ("min", 6), ("q1", 6), ("median", 6), ("q3", 6), ("max", 6),
+                                   ("lower_whisker", 6), ("upper_whisker", 6)),
+        "slow_movers": ("product_id", ("orders", 6)),
+    },
+    "predictive": {
+        "forecast_ewma": ("ds", ("actual", 4), ("yhat", 4), ("yhat_lower", 4), ("yhat_upper", 4)),
+        "churn_predictions": ("customer_unique_id", ("avg_review_score", 6), ("avg_delivery_days", 6), ("churned", 0), ("churn_probability", 6)),
+        "churn_metrics": ("metric", ("value", 6)),
+        "churn_drivers": ("feature", ("importance", 6)),
+    },
+}
+
+
+def _mart(name: str):
+    """(table_name, name, measure, value) of the tables of a mart, as written."""
+    def query(spark, sf):
+        folder, out = _marts(spark, sf)[0], None
+        for table, (key, *measures) in MART_MEASURES[name].items():
+            df = spark.read.parquet(f"{folder}/{name}/{table}")
+            label = F.date_format(key, "yyyy-MM") if key in ("month", "ds") else F.col(key).cast("string")
+            values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m).cast("double"), digits).alias("value")) for m, digits in measures])
+            rows = df.select(F.lit(table).alias("table_name"), label.alias("name"), F.inline(values))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+    return query
+
+
 def _star_row_counts(spark, sf):
     parts = [
         star_table(spark, sf, name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
@@ -121,6 +208,14 @@ QUERIES = {
     "dim_products": lambda spark, sf: star_table(spark, sf, "dim_products"),
     "dim_sellers": lambda spark, sf: star_table(spark, sf, "dim_sellers"),
     "star_row_counts": _star_row_counts,
+    "star_from_text": _star_from_text,  # S-01, S-02, C-01, C-02
+    "ingest_run_log": _ingest_run_log,  # S-05..S-08
+    # B-01..B-04: the marts as written by the job
+    "mart_row_counts": _mart_row_counts,
+    "mart_executive": _mart("executive"),
+    "mart_customer": _mart("customer"),
+    "mart_product": _mart("product"),
+    "mart_predictive": _mart("predictive"),
     # C-10, F-01..F-08
     "fact_prepared": _fact,
     "filtered_fact": lambda spark, sf: prepare.apply_filters(

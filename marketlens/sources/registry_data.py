@@ -9,7 +9,6 @@ flow of the jobs in ``plans``.
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.operators.prepare import prepare_fact
 from marketlens.operators.star import build_star
 from marketlens.session import apply_core_conf, scratch_folder, ship_package
+from marketlens.sources import storage
 from marketlens.sources.testdata import raw_tables
 from marketlens.sources.warehouse import read_fact, read_table, stored_schemas, write_star
 
 _LOCK = threading.RLock()
-_WAREHOUSES: dict[tuple[str, str], tuple[str, dict]] = {}
+_WAREHOUSES: dict[tuple, tuple[str, dict]] = {}
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder, and the names, sizes and times of its files: what a kept result depends on."""
+    return spark.sparkContext.applicationId, sf_dir, storage.file_states(spark, sf_dir)
 
 
 def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
@@ -29,7 +34,7 @@ def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
     schemas are kept from the write so reads skip Parquet schema inference."""
     apply_core_conf(spark)
     ship_package(spark)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = input_state(spark, sf_dir)
     with _LOCK:
         entry = _WAREHOUSES.get(key)
         if entry is None:
@@ -49,7 +54,7 @@ def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, path, name, schemas[name])
 
 
-_FACTS: dict[tuple[str, str], DataFrame] = {}
+_FACTS: dict[tuple, DataFrame] = {}
 
 
 def prepared_fact(spark: SparkSession, sf_dir: str, start=None, end=None, category: str = "All",
@@ -59,7 +64,7 @@ def prepared_fact(spark: SparkSession, sf_dir: str, start=None, end=None, catego
     if start is not None or end is not None or category != "All" or state != "All":
         path, schemas = _warehouse(spark, sf_dir)
         return prepare_fact(read_fact(spark, path, start, end, category, state, schemas["fact_orders"]))
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = input_state(spark, sf_dir)
     with _LOCK:
         if key not in _FACTS:
             path, schemas = _warehouse(spark, sf_dir)

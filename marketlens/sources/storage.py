@@ -25,6 +25,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def file_states(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, bytes, time of the last change) of what a folder holds, in order."""
+    fs, place = _at(spark, folder)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place))) if fs.exists(place) else ()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, place = _at(spark, path)
     stream = fs.open(place)
