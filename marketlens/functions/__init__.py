@@ -4,7 +4,9 @@ from marketlens.functions.columns import (  # noqa: F401
     clip,
     days_between,
     mean_days_between,
+    money_parts,
     money_sum,
+    money_total,
     month_index,
     month_start,
     null_tokens_to_null,

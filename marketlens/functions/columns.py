@@ -92,6 +92,18 @@ def month_index(ts: Column) -> Column:
 _LARGEST_AMOUNT = 9e13
 
 
+def money_parts(col: Column) -> tuple[Column, Column]:
+    """An amount as whole cents (LONG) and what is left of it (DOUBLE); both add up exactly, or nearly so, in any order."""
+    amount = col.cast("double")
+    cents = F.when(F.abs(amount) < F.lit(_LARGEST_AMOUNT), F.rint(amount * F.lit(100.0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return cents, amount - cents / F.lit(100.0)
+
+
+def money_total(cents: Column, rest: Column) -> Column:
+    """Sum of amounts kept as parts; 0 when empty."""
+    return F.coalesce(F.sum(cents) / F.lit(100.0) + F.sum(rest), F.lit(0.0))
+
+
 def money_sum(col: Column) -> Column:
     """Sum of a money column as DOUBLE; 0 when empty.
 
@@ -100,10 +112,7 @@ def money_sum(col: Column) -> Column:
     are exact and do not depend on the order in which partitions are merged,
     parts of a cent count, and infinite values make the total infinite.
     """
-    amount = col.cast("double")
-    cents = F.when(F.abs(amount) < F.lit(_LARGEST_AMOUNT), F.rint(amount * F.lit(100.0)).cast("long")).otherwise(F.lit(0).cast("long"))
-    rest = amount - cents / F.lit(100.0)
-    return F.coalesce(F.sum(cents) / F.lit(100.0) + F.sum(rest), F.lit(0.0))
+    return money_total(*money_parts(col))
 
 
 def ratio_or_zero(num: Column, den: Column) -> Column:

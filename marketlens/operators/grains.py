@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions import days_between, money_sum
+from marketlens.functions import days_between, money_parts, money_sum, money_total
 from marketlens.schemas import DATE_COLUMN
 from marketlens.session import scratch_folder
 
@@ -32,7 +32,9 @@ ITEMS = "items"
 
 def order_grain(fact: DataFrame) -> DataFrame:
     """One row per order, and per differing values of its attributes if there are any."""
-    return fact.groupBy(*_ORDER_COLUMNS).agg(F.count(F.lit(1)).alias(ITEMS), money_sum(F.col("revenue")).alias("revenue"))
+    cents, rest = money_parts(F.col("revenue"))
+    return fact.groupBy(*_ORDER_COLUMNS).agg(
+        F.count(F.lit(1)).alias(ITEMS), money_sum(F.col("revenue")).alias("revenue"), F.sum(cents).alias("cents"), F.sum(rest).alias("rest"))
 
 
 def product_months(fact: DataFrame) -> DataFrame:
@@ -46,12 +48,13 @@ def product_months(fact: DataFrame) -> DataFrame:
 
 
 def customer_months(orders: DataFrame) -> DataFrame:
-    """(customer_unique_id, month, last, orders, revenue, review_sum, reviews, micros, deliveries) from the order grain."""
+    """(customer_unique_id, month, last, orders, cents, rest, review_sum, reviews, micros, deliveries) from the order grain."""
     micros = F.timestamp_diff("MICROSECOND", F.col(DATE_COLUMN), F.col(DELIVERED))
     return orders.where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id", "month").agg(
         F.max(DATE_COLUMN).alias("last"),
         F.count_distinct("order_id").alias("orders"),
-        money_sum(F.col("revenue")).alias("revenue"),
+        F.sum("cents").alias("cents"),
+        F.sum("rest").alias("rest"),
         F.sum(F.col("review_score") * F.col(ITEMS)).alias("review_sum"),
         F.sum(F.when(F.col("review_score").isNotNull(), F.col(ITEMS))).alias("reviews"),
         F.sum(micros * F.col(ITEMS)).alias("micros"),
@@ -92,7 +95,7 @@ def customer_totals(months: DataFrame) -> DataFrame:
     totals = months.groupBy("customer_unique_id").agg(
         F.max("last").alias("_last"),
         F.sum("orders").alias("frequency"),
-        money_sum(F.col("revenue")).alias("monetary"),
+        money_total(F.col("cents"), F.col("rest")).alias("monetary"),
         (F.sum("review_sum") / F.nullif(F.sum("reviews"), F.lit(0))).alias("avg_review_score"),
         (F.sum("micros") / F.nullif(F.sum("deliveries"), F.lit(0)) / F.lit(86400e6)).alias("avg_delivery_days"),
     )

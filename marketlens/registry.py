@@ -12,7 +12,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.operators import churn, cohort, customer, forecast, kpi, prepare, product
+from marketlens.operators import churn, cohort, customer, forecast, grains, kpi, prepare, product
 from marketlens.operators.star import build_star
 from marketlens.plans.ingest import run_ingest
 from marketlens.plans.marts import build_marts
@@ -54,12 +54,24 @@ def _fact(spark: SparkSession, sf: str) -> DataFrame:
     return prepared_fact(spark, sf)
 
 
+def _months(spark, sf):
+    """Customer-month grain, bucketed by customer, built once a session."""
+    def build():
+        orders = grains.Stored(grains.order_grain(_fact(spark, sf)), "orders").df
+        return grains.stored_customer_months(spark, orders)
+    return _memo(spark, sf, "months", build).df
+
+
+def _totals(spark, sf):
+    return grains.customer_totals(_months(spark, sf))
+
+
 def _rfm(spark, sf):
-    return _memo(spark, sf, "rfm", lambda: customer.rfm_segments(_fact(spark, sf), KMEANS_K, KMEANS_RESTARTS, SEED))
+    return _memo(spark, sf, "rfm", lambda: customer.segment_customers(_totals(spark, sf), KMEANS_K, KMEANS_RESTARTS, SEED))
 
 
 def _features(spark, sf):
-    return _memo(spark, sf, "features", lambda: churn.customer_features(_fact(spark, sf), CHURN_DAYS))
+    return _memo(spark, sf, "features", lambda: churn.labelled_features(_totals(spark, sf), CHURN_DAYS))
 
 
 def _churn(spark, sf):
@@ -238,12 +250,12 @@ QUERIES = {
     "product_month_orders": lambda spark, sf: product.product_month_orders(_fact(spark, sf)),
     "slow_movers": lambda spark, sf: product.slow_movers(_fact(spark, sf)),
     # A-13, A-14, A-20, T-02
-    "rfm_base": lambda spark, sf: customer.rfm_base(_fact(spark, sf)),
+    "rfm_base": lambda spark, sf: _totals(spark, sf).select("customer_unique_id", *customer.RFM_FEATURES),
     "top_customers_ltv": lambda spark, sf: customer.top_customers(customer.rfm_base(_fact(spark, sf)), 10),
     "customer_features": _features,
     "churn_class_balance": lambda spark, sf: churn.class_balance(_features(spark, sf)),
     # A-17, W-01, W-07, R-01, R-02
-    "cohort_retention": lambda spark, sf: cohort.cohort_retention(_fact(spark, sf)),
+    "cohort_retention": lambda spark, sf: cohort.retention(cohort.cohort_counts_of_months(_months(spark, sf))),
     "cohort_matrix": _cohort_matrix,
     # A-18, W-05, M-08, U-01
     "monthly_revenue_series": lambda spark, sf: forecast.monthly_revenue_series(_fact(spark, sf)),
