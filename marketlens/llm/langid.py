@@ -116,6 +116,10 @@ def window_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.where(at < ends[:, None], data[np.minimum(at, max(len(data) - 1, 0))], 0) if len(data) else np.zeros(at.shape, np.uint8)
 
 
+#: Parts that a language's rows are dealt to when the smallest draws are found.
+DRAW_PARTS = 64
+
+
 def fit(docs: DataFrame) -> Network | None:
     """Network from ``docs`` (doc_id, text, lang); None without any usable row."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
@@ -124,8 +128,12 @@ def fit(docs: DataFrame) -> Network | None:
     pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(
         F.col("text"), (F.floor(i * F.greatest(long - WINDOW, F.lit(0)) / (PIECES - 1)) + 1).cast("int"), F.lit(WINDOW)))
     rows = rows.withColumn("pieces", F.array_distinct(pieces)).drop("text")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", "pieces"))
-    sample = rows.withColumn("_nth", nth).where(F.col("_nth") <= PER_LANGUAGE).orderBy("lang", "_nth").select("lang", "pieces").toArrow().to_pylist()
+    # the smallest draws of a language, first among DRAW_PARTS parts of it, so that four languages are not four tasks
+    rows = rows.withColumn("_part", F.pmod("_draw", F.lit(DRAW_PARTS)))
+    for keys in (["lang", "_part"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_draw", "doc_id", "pieces"))
+        rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= PER_LANGUAGE)
+    sample = rows.orderBy("lang", "_nth").select("lang", "pieces").toArrow().to_pylist()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})

@@ -76,11 +76,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, epochs: int = 2,
-                quality: Column | None = None, seed: int = 0) -> DataFrame:
+                quality: Column | None = None, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source, any others) with size, source_size, target, copies (times taken) and taken (words taken).
 
     Rows taken no times are kept with copies 0; ``explode_copies`` writes the
-    mix out."""
+    mix out. With ``keep`` only those columns of ``docs`` (and doc_id, source)
+    stay; sizes and keys are then computed once and stored with them, instead
+    of once for the totals and once for the draw."""
     added = ("size", "source_size", "target", "copies", "taken")
     sized = docs.drop(*added).withColumn("size", words("text"))
     weight = quality if quality is not None else quality_weight()
@@ -88,6 +90,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: fl
     sized = sized.withColumn("__tie", F.crc32(F.col("text").cast("binary")))
     sized = sized.withColumn("__key", -F.log(uniform(*salt)) / weight)
     sized = sized.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("__key") / (1 + F.col("__key")) * BUCKETS)).cast("int"))
+    if keep is not None:
+        narrow = dict.fromkeys([*keep, "doc_id", "source", "size", "__tie", "__key", "__bucket"])
+        sized = store(sized.select(*narrow))
     totals = store(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("_words")))
     sources = source_targets(totals.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, total, epochs)
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

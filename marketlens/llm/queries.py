@@ -71,7 +71,7 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.mixing import mix_sources
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

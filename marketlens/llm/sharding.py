@@ -12,7 +12,10 @@ has left is dealt evenly to its slots. With ``slack`` 0 the
 capacities are n/shards rounded down or up and sum to n, so all counts are at
 most one apart; a larger slack moves fewer documents.
 
-Work: one shuffle of the rows by slot to number them. All decisions are made
+Work: one shuffle of the rows by slot and part to number them; a slot's rows
+are dealt to ``PARTS`` parts by a hash of id and text, and part counts give the
+offsets, so a doc_id (or its absence) that holds a third of the rows is not one
+task; only rows equal in doc_id and text are. All decisions are made
 on per-slot counts, at most ``SLOTS`` rows whatever the input size, and come
 back as a broadcast of pieces (slot, rows from..to, shard, slot offset), at
 most 4 * SLOTS of them.
@@ -31,6 +34,7 @@ from marketlens.llm.shared import store
 
 SLOTS = 1 << 16
 VNODES = 256
+PARTS = 64  # parts of a slot whose rows are numbered apart
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
@@ -113,13 +117,18 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, slack
     """``docs`` (doc_id, text, any others) with shard (int) and slot (long, gapless from 0 in each shard)."""
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.lit("no id"), "text"))
     placed = docs.drop("shard", "slot").withColumn("__key", key).withColumn("__tie", F.crc32(F.col("text").cast("binary")))
-    placed = placed.withColumn("__slot", F.shiftrightunsigned("__key", 64 - 16))
-    counts = store(placed.groupBy(F.col("__slot").alias("ring_slot")).agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy("__slot").orderBy("__key", "doc_id", "__tie")
+    placed = placed.withColumn("__slot", F.shiftrightunsigned("__key", 65 - SLOTS.bit_length()))
+    placed = placed.withColumn("__part", F.pmod(F.xxhash64("__key", "__tie"), F.lit(PARTS)).cast("int"))
+    parts = store(placed.groupBy("__slot", "__part").agg(F.count(F.lit(1)).alias("n")))
+    counts = parts.groupBy(F.col("__slot").alias("ring_slot")).agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("__slot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    order = Window.partitionBy("__slot", "__part").orderBy("__key", "doc_id", "__tie")
     pieces = placements(counts, shards, vnodes, slack).toDF("__at", "__from", "__to", "shard", "__first")
-    rows = placed.withColumn("__row", (F.row_number().over(order) - 1).cast("long"))
+    rows = placed.withColumn("__nth", (F.row_number().over(order) - 1).cast("long")).join(offsets, ["__slot", "__part"])
+    rows = rows.withColumn("__row", F.col("__before") + F.col("__nth"))
     return (
         rows.join(F.broadcast(pieces), (F.col("__slot") == F.col("__at")) & (F.col("__row") >= F.col("__from")) & (F.col("__row") < F.col("__to")))
         .withColumn("slot", F.col("__first") + F.col("__row") - F.col("__from"))
-        .drop("__key", "__tie", "__slot", "__row", "__at", "__from", "__to", "__first")
+        .drop("__key", "__tie", "__slot", "__part", "__before", "__nth", "__row", "__at", "__from", "__to", "__first")
     )

@@ -37,6 +37,26 @@ def test_shards(docs, empty):
     assert assign_shards(empty, shards=4).count() == 0
 
 
+def test_shards_against_brute_force(spark, monkeypatch):
+    """The contract's columns recomputed; a third of the rows share a doc_id, others have none."""
+    import zlib
+
+    from marketlens.llm import queries
+
+    rows = [(7 if i % 3 == 0 else None if i % 7 == 0 else i, None if i == 50 else "é" * (i % 5) + f"text {i % 400}") for i in range(1001)]
+    monkeypatch.setattr(queries, "table", lambda *a: spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    runs = [[tuple(r) for r in queries.op2_consistent_hash_shards(spark, "").collect()] for _ in range(2)]
+    assert sorted(runs[0], key=str) == sorted(runs[1], key=str)  # reruns agree
+    got = runs[0]
+    want = [(d, len((t or "").encode()) + 16, None if t is None else zlib.crc32(t.encode()), "rows") for d, t in rows]
+    assert sorted((r[:4] for r in got), key=str) == sorted(want, key=str) and all(r[6] is None for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r[4], []).append(r[5])
+    assert set(slots) == set(range(40)) and {len(v) for v in slots.values()} == {25, 26}
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_more_shards_move_few_rows(spark):
     from marketlens.llm.sharding import assign_shards
 
@@ -57,6 +77,9 @@ def test_mix(docs, empty):
     assert {r["source"]: r["target"] for r in got}[None] == 0
     assert explode_copies(mix_sources(docs)).count() == sum(r["copies"] for r in got)
     assert mix_sources(empty).count() == 0
+    narrow = {(r["doc_id"], r["size"], r["target"], r["taken"]) for r in mix_sources(docs, keep=["doc_id"]).collect()}
+    assert narrow == {(r["doc_id"], r["size"], r["target"], r["taken"]) for r in got}
+    assert mix_sources(empty, keep=[]).count() == 0
 
 
 def test_targets_fill_and_reshare(spark):
