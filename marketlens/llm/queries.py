@@ -126,6 +126,18 @@ _SHORT_RUNS = r"""
         SELECT doc_id, unnest(flatten([[array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 5)])) AS s
         FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                 '[^\x20\x09-\x0D]+') AS w FROM documents)"""
+
+
+def _crc32_table() -> list[int]:
+    """CRC-32 of every byte: eight steps of the reflected polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
 _TERMS = r"""
         SELECT row, {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
@@ -181,6 +193,55 @@ ORACLE: dict[str, str] = {
                END AS BIGINT) AS taken
         FROM runs r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
     """,
+    "op6_minmax_near_dedup": r"""
+        WITH RECURSIVE worded AS (
+          SELECT row_number() OVER () AS row, doc_id,
+                 coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+          FROM documents),
+        held AS (SELECT DISTINCT row, unnest(CASE WHEN len(w) = 1 THEN w ELSE [array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))] END) AS s
+                 FROM worded WHERE len(w) > 0),
+        sizes AS (SELECT row, count(*) AS n FROM held GROUP BY row),
+        shared AS (SELECT a.row AS a, b.row AS b, count(*) AS n FROM held a JOIN held b ON a.s = b.s AND a.row < b.row GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+        linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached(row, other) AS (
+          SELECT row, row FROM worded
+          UNION SELECT r.row, l.b FROM reached r JOIN linked l ON r.other = l.a),
+        components AS (SELECT r.row, min(d.doc_id) AS component_id FROM reached r JOIN worded d ON d.row = r.other GROUP BY r.row)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+        FROM worded JOIN components USING (row) LEFT JOIN sizes USING (row)
+    """,
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE runs AS (
+          SELECT doc_id, run, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+        coded AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+        summed AS (
+          SELECT run, n, xor(list_reduce(
+            [4294967295::BIGINT] || list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, list_extract({_crc32_table()}, (xor(c, b) & 255) + 1))), 4294967295::BIGINT) AS crc FROM coded),
+        words AS (
+          SELECT word, CAST(sum(n) AS BIGINT) AS n
+          FROM (SELECT CASE WHEN crc % 97 = 0 THEN left(run, CAST(crc % length(run) AS INT)) || substr(run, CAST(crc % length(run) AS INT) + 2) ELSE run END AS word, n
+                FROM summed)
+          WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        holes AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS cut
+                  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+        near AS (
+          SELECT a.word, b.word AS near, b.n FROM holes a JOIN holes b ON a.hole = b.hole WHERE a.word <> b.word
+          UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.cut = w.word
+          UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.cut = w.word),
+        ranked AS (SELECT word, near, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS nth, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+        formed AS (
+          SELECT w.word, w.n, CAST(coalesce(r.n_near, 0) AS BIGINT) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.near END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+          FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.nth = 1),
+        chain(word, root) AS (
+          SELECT word, word FROM formed
+          UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL),
+        roots AS (SELECT c.word, c.root FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots r ON f.word = r.word
+    """,
     "op13_shared_term_ranking": rf"""
         WITH held AS ({_TERMS.format(key="doc_id", table="documents")}),
              sizes AS (SELECT row, doc_id, count(*) AS n FROM held GROUP BY ALL),

@@ -243,7 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not (0 < y[grow].sum() < grow.sum() and check.any()):
         return Model(lexicons, None, None, float(y.mean()) if len(y) else 0.0)
     trees = fit_trees(x[grow], y[grow])
-    return Model(lexicons, trees, fit_isotonic(trees.margin(x[check]), y[check]), float(y.mean()))
+    margin, share = trees.margin(x[check]), float(y.mean())
+    # one row of the average share at either end: a handful of labelled rows makes nothing certain
+    ends = np.array([margin.min(), margin.max()])
+    return Model(lexicons, trees, fit_isotonic(np.append(margin, ends), np.append(y[check], [share, share])), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
