@@ -189,7 +189,6 @@ def best(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.n
 
 def top_documents(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     """(item_id, text_md5, rank, doc_id, score): the best ``k`` rows of ``docs`` (doc_id, text) for each of ``items`` (item_id, text)."""
-    spark = docs.sparkSession
     items = store(items.select("item_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "text").dropDuplicates(["item_id", "text_md5"]))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = max(1, -(-size // GROUP_BYTES))
