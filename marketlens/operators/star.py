@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import days_between, to_double, to_int, to_long, to_timestamp_ntz
-from marketlens.schemas import FACT_COLUMNS, ORDER_TIMESTAMPS, UNKNOWN_CATEGORY
+from marketlens.schemas import FACT_COLUMNS, ORDER_TIMESTAMPS, PRODUCT_MEASURES, UNKNOWN_CATEGORY
 
 
 def _types(df: DataFrame) -> dict:
@@ -61,24 +61,13 @@ def dim_customers(customers: DataFrame) -> DataFrame:
     )
 
 
-_PRODUCT_MEASURES = {
-    "product_name_lenght": "name_length",
-    "product_description_lenght": "description_length",
-    "product_photos_qty": "photos_qty",
-    "product_weight_g": "weight_g",
-    "product_length_cm": "length_cm",
-    "product_height_cm": "height_cm",
-    "product_width_cm": "width_cm",
-}
-
-
 def dim_products(products: DataFrame) -> DataFrame:
     """C-08 (category defaults to ``unknown``)."""
     t = _types(products)
     return products.select(
         "product_id",
         F.coalesce(F.col("product_category_name"), F.lit(UNKNOWN_CATEGORY)).alias("category"),
-        *[to_double(F.col(src), t.get(src)).alias(dst) for src, dst in _PRODUCT_MEASURES.items()],
+        *[to_double(F.col(src), t.get(src)).alias(dst) for src, dst in PRODUCT_MEASURES.items()],
     )
 
 

@@ -13,6 +13,17 @@ from pyspark.sql import types as T
 # Fixed values (must equal the source application's for matching results)
 # ---------------------------------------------------------------------------
 
+# Raw product columns (spelled as in the files) and their star names.
+PRODUCT_MEASURES = {
+    "product_name_lenght": "name_length",
+    "product_description_lenght": "description_length",
+    "product_photos_qty": "photos_qty",
+    "product_weight_g": "weight_g",
+    "product_length_cm": "length_cm",
+    "product_height_cm": "height_cm",
+    "product_width_cm": "width_cm",
+}
+
 # Brazilian federative units, alphabetical.
 BR_STATES = [
     "AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA",
