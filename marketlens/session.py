@@ -26,6 +26,13 @@ CORE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Bytes that AQE gives a shuffle task and a scan task reads, unless the session has settings of its own: they are
+#: compressed, and sorts and hash tables take some 17 times as much memory.
+TASK_BYTES, SCAN_BYTES = 16 << 20, 32 << 20
+#: Bytes of stored input for one of the shuffle partitions that AQE starts from; more than it needs are merged again.
+INPUT_BYTES = 4 << 20
+_ADVISORY, _SCAN = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "marketlens",
@@ -57,21 +64,44 @@ def apply_core_conf(spark: SparkSession) -> None:
     """Apply the session-level settings the operators assume (idempotent)."""
     for key, value in CORE_CONF.items():
         spark.conf.set(key, value)
+    for key, value in ((_ADVISORY, TASK_BYTES), (_SCAN, SCAN_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
+#: Shuffle partitions set by ``size_shuffles``, by application: a setting of the session itself is left alone.
+_SIZED: dict[str, int] = {}
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Let AQE start from a number of shuffle partitions that follows the input, so that a task's share does not grow with it.
+
+    Never fewer than ``spark.sql.shuffle.partitions``, and never fewer than for a larger input before."""
+    own, app = spark.conf.get(_INITIAL, None), spark.sparkContext.applicationId
+    if own is not None and own != str(_SIZED.get(app)):
+        return
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // INPUT_BYTES), _SIZED.get(app, 0))
+    _SIZED[app] = wanted
+    spark.conf.set(_INITIAL, str(wanted))
 
 
 @contextmanager
-def plain_plans(spark: SparkSession) -> Iterator[None]:
+def plain_plans(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Plan and run without adaptive re-planning: for small aggregates inside a driver loop.
 
     AQE runs each shuffle stage of a query as a job of its own; a partial
     aggregate that ends in a few rows has nothing to re-plan and is one job
-    without it."""
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    without it. Nor are its shuffle partitions merged: ``partitions`` sets
+    how many there are, where the rows shuffled are known to be few."""
+    wanted = {"spark.sql.adaptive.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

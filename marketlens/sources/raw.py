@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import null_tokens_to_null
 from marketlens.schemas import RAW_FILES, RAW_SCHEMAS
+from marketlens.session import size_shuffles
+from marketlens.sources import storage
 
 # Reviews carry free-text comments with embedded newlines.
 _MULTILINE = {"reviews"}
@@ -45,6 +47,7 @@ def read_raw_csv(spark: SparkSession, data_dir: str, name: str, file_name: str |
 def load_raw(spark: SparkSession, data_dir: str, fmt: str = "csv", files: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Load the six raw tables from ``data_dir`` as CSV or Parquet."""
     files = files or RAW_FILES
+    size_shuffles(spark, storage.total_bytes(spark, data_dir))
     if fmt == "csv":
         return {name: read_raw_csv(spark, data_dir, name, files[name]) for name in RAW_FILES}
     if fmt == "parquet":

@@ -31,6 +31,12 @@ def file_states(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int],
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place))) if fs.exists(place) else ()
 
 
+def total_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder; 0 if it does not exist."""
+    fs, place = _at(spark, folder)
+    return fs.getContentSummary(place).getLength() if fs.exists(place) else 0
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, place = _at(spark, path)
     stream = fs.open(place)

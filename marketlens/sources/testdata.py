@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.schemas import BR_STATES
+from marketlens.session import apply_core_conf, size_shuffles
+from marketlens.sources import storage
 
 # nation keys 0..23 map to the first 24 states; key 24 has no state (NULL)
 # so that the "NA" default is exercised.
@@ -21,6 +23,9 @@ def _state(nation_key):
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    apply_core_conf(spark)
+    size_shuffles(spark, storage.total_bytes(spark, sf_dir))
+
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
