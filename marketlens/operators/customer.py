@@ -104,7 +104,7 @@ def segment_customers(rfm: DataFrame, k: int = 4, restarts: int = 20, seed: int
     # scaled features have variance 1, or 0 for a constant feature
     mean_variance = sum(1.0 if std > 0 else 0.0 for _, std in moments.values()) / len(RFM_FEATURES)
     zcols = [f"{c}_z" for c in RFM_FEATURES]
-    fit = multi_start_kmeans(scaled, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance)
+    fit = multi_start_kmeans(scaled, zcols, "customer_unique_id", k, restarts, seed, max_iter, tol, mean_variance, n)
     return label_clusters(assign_clusters(scaled, zcols, fit.centers).select("customer_unique_id", *RFM_FEATURES, "cluster"), labels)
 
 

@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from marketlens.functions.kdtree import TREE_POINTS, CentreSums, Tree, add_nearest
 from marketlens.session import plain_plans, ship_package
 
+#: Shuffle partitions of the merge of a step's partial sums, at most restarts x k rows a partition.
+MERGE_PARTITIONS = 8
 # Relative cost difference treated as summation rounding between restarts.
 TIE_TOLERANCE = 1e-9
 
@@ -60,9 +62,14 @@ def _mix_uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(2**53)
 
 
-def point_trees(data: DataFrame, feature_cols: list[str], key_col: str, seed: int = 42) -> DataFrame:
-    """(points, keys, nodes): a packed tree per row, over all rows of ``data``."""
+def point_trees(data: DataFrame, feature_cols: list[str], key_col: str, seed: int = 42, count: int | None = None) -> DataFrame:
+    """(points, keys, nodes): a packed tree per row, over all rows of ``data``.
+
+    With their ``count`` known, the rows' partitions are merged until they hold about a whole tree, or one is left a core:
+    every step runs a task a partition and sends its sums."""
     ship_package(data.sparkSession)
+    if count is not None:
+        data = data.coalesce(max(data.sparkSession.sparkContext.defaultParallelism, -(-count // TREE_POINTS)))
     dims = len(feature_cols)
     rows = data.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(feature_cols)], F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"))
 
@@ -121,7 +128,7 @@ def _seed(trees: DataFrame, dims: int, k: int, restarts: int, seed: int) -> np.n
                                              schema=pa.schema([("r", pa.int32()), ("race", pa.float64()), *[(c, pa.float64()) for c in xcols]]))
 
         partial = trees.mapInArrow(winners, "r int, race double, " + ", ".join(f"{c} double" for c in xcols))
-        with plain_plans(trees.sparkSession):
+        with plain_plans(trees.sparkSession, MERGE_PARTITIONS):
             picked = partial.groupBy("r").agg(F.min_by(F.struct(*xcols), F.col("race")).alias("p")).collect()  # a row a restart
         got = {row["r"]: list(row["p"]) for row in picked}
         # fewer distinct points than k: repeat the last centre
@@ -145,7 +152,7 @@ def centre_sums(trees: DataFrame, centers: np.ndarray) -> CentreSums:
 
     partial = trees.mapInArrow(partials, "at int, " + ", ".join(f"{c} double" for c in names[1:]))
     out = CentreSums.zeros(restarts, k, dims)
-    with plain_plans(trees.sparkSession):
+    with plain_plans(trees.sparkSession, MERGE_PARTITIONS):
         for row in partial.groupBy("at").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect():  # at most restarts x k rows
             r, c = divmod(row["at"], k)
             out.count[r, c], out.cost[r, c], out.total[r, c] = row["n"], row["sse"], row[3:]
@@ -161,9 +168,9 @@ def lloyd_step(trees: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, Centr
 
 def multi_start_kmeans(data: DataFrame, feature_cols: list[str], key_col: str, k: int, restarts: int = 20,
                        seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                       mean_variance: float = 1.0) -> KMeansFit:
-    """Best of ``restarts`` k-means++ / Lloyd fits."""
-    trees = point_trees(data, feature_cols, key_col, seed).persist(StorageLevel.MEMORY_AND_DISK)
+                       mean_variance: float = 1.0, count: int | None = None) -> KMeansFit:
+    """Best of ``restarts`` k-means++ / Lloyd fits; ``count``: the number of rows, if known (see ``point_trees``)."""
+    trees = point_trees(data, feature_cols, key_col, seed, count).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centers = _seed(trees, len(feature_cols), k, restarts, seed)
         active, iterations = np.arange(restarts), np.zeros(restarts, int)

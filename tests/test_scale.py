@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marketlens import session
+from marketlens.operators.kmeans import multi_start_kmeans, point_trees
 from marketlens.operators.star import build_star
 from marketlens.sources.testdata import raw_tables
 
@@ -67,3 +69,19 @@ def test_settings_of_the_session_stay(sized):
     session.apply_core_conf(sized)
     session.size_shuffles(sized, 10**12)
     assert sized.conf.get(ADVISORY) == "8m" and sized.conf.get(INITIAL) == "77"
+
+
+def test_trees_are_not_one_a_small_partition(spark):
+    rows = spark.range(2000, numPartitions=64).select(F.col("id").cast("string").alias("key"), (F.col("id") % 97).cast("double").alias("a"),
+                                                      (F.col("id") % 31).cast("double").alias("b"))
+    trees = point_trees(rows, ["a", "b"], "key", count=2000)
+    assert trees.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sum(len(r["keys"]) // 8 for r in trees.collect()) == 2000
+    one, two = (multi_start_kmeans(rows, ["a", "b"], "key", 3, 4, count=n) for n in (None, 2000))
+    assert one.restart == two.restart and np.allclose(one.centers, two.centers)
+
+
+def test_merges_of_partial_sums_have_few_partitions(spark):
+    with session.plain_plans(spark, 3):
+        assert spark.range(100).groupBy((F.col("id") % 5).alias("k")).count().rdd.getNumPartitions() == 3
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
