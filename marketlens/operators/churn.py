@@ -205,8 +205,9 @@ def evaluate(scored: DataFrame, coef: list[float], importance: str = "mean_abs_s
 
 def churn_by_segment(predictions: DataFrame, rfm: DataFrame) -> DataFrame:
     """J-06 + A-19: mean predicted churn (%) per RFM segment, descending."""
+    # both sides have a row a customer: small as files, they would else be broadcast
     joined = predictions.select("customer_unique_id", "churn_probability").join(
-        rfm.select("customer_unique_id", "segment"), "customer_unique_id", "left"
+        rfm.select("customer_unique_id", "segment").hint("merge"), "customer_unique_id", "left"
     )
     return (
         joined.filter(F.col("segment").isNotNull())
@@ -221,7 +222,7 @@ def churn_scores_top(predictions: DataFrame, rfm: DataFrame | None = None, n: in
     *before* ordering (ties by customer id)."""
     scores = predictions.select("customer_unique_id", F.bround(F.col("churn_probability") * 100, 1).alias("churn_probability"))
     if rfm is not None:
-        scores = scores.join(rfm.select("customer_unique_id", "segment"), "customer_unique_id", "left")
+        scores = scores.join(rfm.select("customer_unique_id", "segment").hint("merge"), "customer_unique_id", "left")
     else:
         scores = scores.withColumn("segment", F.lit(None).cast("string"))
     return scores.orderBy(F.desc("churn_probability"), F.asc("customer_unique_id")).limit(n).select(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens import session
+from marketlens.operators import churn
 from marketlens.operators.kmeans import multi_start_kmeans, point_trees
 from marketlens.operators.star import build_star
 from marketlens.sources.testdata import raw_tables
@@ -85,3 +86,15 @@ def test_merges_of_partial_sums_have_few_partitions(spark):
     with session.plain_plans(spark, 3):
         assert spark.range(100).groupBy((F.col("id") % 5).alias("k")).count().rdd.getNumPartitions() == 3
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_customer_tables_are_not_broadcast(spark, tmp_path):
+    ids = spark.range(60).select(F.concat(F.lit("c"), F.col("id")).alias("customer_unique_id"), (F.col("id") / 60).alias("churn_probability"),
+                                 F.when(F.col("id") % 2 == 0, F.lit("Loyal")).otherwise(F.lit("Lost")).alias("segment"))
+    ids.drop("segment").write.parquet(f"{tmp_path}/predictions")
+    ids.drop("churn_probability").write.parquet(f"{tmp_path}/rfm")
+    predictions, rfm = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("predictions", "rfm"))
+    for out in (churn.churn_by_segment(predictions, rfm), churn.churn_scores_top(predictions, rfm, 5)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["segment"]: r["churn_probability"] for r in churn.churn_by_segment(predictions, rfm).collect()}
+    assert got == pytest.approx({"Loyal": 100 * 29 / 60, "Lost": 50.0})
