@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import days_between, money_parts, money_sum, money_total
 from marketlens.schemas import DATE_COLUMN
-from marketlens.session import scratch_folder
+from marketlens.session import freed_shuffles, scratch_folder, slices
 
 DELIVERED = "order_delivered_customer_date"
 _ORDER_COLUMNS = ["order_id", "customer_unique_id", "customer_state", "order_status", "review_score", DATE_COLUMN, DELIVERED, "delivery_days",
@@ -63,19 +63,23 @@ def customer_months(orders: DataFrame) -> DataFrame:
 
 
 class Stored:
-    """A pre-aggregate written to the shared checkpoint folder; ``bucket_by`` a column, it is a bucketed table of the session's catalog."""
+    """A pre-aggregate written to the shared checkpoint folder; ``bucket_by`` a column, it is a bucketed table of the session's catalog;
+    ``slice_by`` one of its keys, it is written in ``session.slices``."""
 
-    def __init__(self, df: DataFrame, name: str, bucket_by: str | None = None):
+    def __init__(self, df: DataFrame, name: str, bucket_by: str | None = None, slice_by: str | None = None):
         spark, path = df.sparkSession, scratch_folder(df.sparkSession, name)
         self._spark, self._table = spark, None
         if bucket_by is None:
-            df.write.parquet(path)
+            with freed_shuffles(spark):
+                for part in slices(df, slice_by) if slice_by else [df]:
+                    part.write.mode("append").parquet(path)
             self.df = spark.read.schema(df.schema).parquet(path)
         else:
             self._table = f"marketlens_{name}_{uuid.uuid4().hex[:12]}"
             buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
             # one file a bucket: rows arrive at the writers as they are bucketed
-            df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(self._table)
+            with freed_shuffles(spark):
+                df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(self._table)
             self.df = spark.table(self._table)
 
     def drop(self) -> None:

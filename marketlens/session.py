@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is small), coalesces small shuffle
@@ -31,8 +32,12 @@ CORE_CONF = {
 TASK_BYTES, SCAN_BYTES = 16 << 20, 32 << 20
 #: Bytes of stored input for one of the shuffle partitions that AQE starts from; more than it needs are merged again.
 INPUT_BYTES = 4 << 20
+#: Bytes of stored input whose shuffles lie on disk at a time; a step that shuffles all rows several times takes more
+#: than that in slices, each of which reads the input again: at most MAX_SLICES.
+SLICE_BYTES, MAX_SLICES = 256 << 20, 8
 _ADVISORY, _SCAN = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "marketlens",
@@ -71,6 +76,8 @@ def apply_core_conf(spark: SparkSession) -> None:
 
 #: Shuffle partitions set by ``size_shuffles``, by application: a setting of the session itself is left alone.
 _SIZED: dict[str, int] = {}
+#: Bytes of the largest input given to ``size_shuffles``, by application.
+_INPUTS: dict[str, int] = {}
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
@@ -78,6 +85,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
 
     Never fewer than ``spark.sql.shuffle.partitions``, and never fewer than for a larger input before."""
     own, app = spark.conf.get(_INITIAL, None), spark.sparkContext.applicationId
+    _INPUTS[app] = max(input_bytes, _INPUTS.get(app, 0))
     if own is not None and own != str(_SIZED.get(app)):
         return
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // INPUT_BYTES), _SIZED.get(app, 0))
@@ -85,6 +93,45 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     spark.conf.set(_INITIAL, str(wanted))
 
 
+def slices(df: DataFrame, column: str) -> list[DataFrame]:
+    """``df`` in parts by a hash of ``column``, as many as the input known to ``size_shuffles`` asks for; a row is in just one.
+
+    Written one after another with ``freed_shuffles``, only one part's shuffles lie on disk. Where ``column`` is the key of
+    joins or aggregates below, Spark filters their inputs by it."""
+    known = _INPUTS.get(df.sparkSession.sparkContext.applicationId, 0)
+    n = min(MAX_SLICES, -(-known // SLICE_BYTES))
+    # xxhash64, not the hash that deals rows to shuffle partitions: a part still reaches all of those
+    return [df.where(F.pmod(F.xxhash64(column), F.lit(n)) == i) for i in range(n)] if n > 1 else [df]
+
+
+_FREEING: dict[SparkSession, tuple[int, str | None]] = {}
+_FREE_LOCK = threading.Lock()
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of a write inside as soon as it ends, not when the driver's JVM happens to collect its plan.
+
+    For writes only, whose plans are not used again: a DataFrame collected inside would shuffle anew the next time."""
+    with _FREE_LOCK:
+        depth, before = _FREEING.get(spark, (0, None))
+        if not depth:
+            before = spark.conf.get(_FREE, None)
+            spark.conf.set(_FREE, "true")
+        _FREEING[spark] = depth + 1, before
+    try:
+        yield
+    finally:
+        with _FREE_LOCK:
+            depth, before = _FREEING.pop(spark)
+            if depth > 1:
+                _FREEING[spark] = depth - 1, before
+            elif before is None:
+                spark.conf.unset(_FREE)
+            else:
+                spark.conf.set(_FREE, before)
+
+
 @contextmanager
 def plain_plans(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Plan and run without adaptive re-planning: for small aggregates inside a driver loop.
