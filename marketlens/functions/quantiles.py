@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.session import plain_plans, scratch_folder
+from marketlens.session import freed_shuffles, plain_plans, scratch_folder
 
 #: Size of the sketches, and their rank error as a share of the rows: the 99 % bound of a KLL sketch, 2.296 / k**0.9723, three times over.
 SKETCH_K = 4096
@@ -26,7 +26,7 @@ def _stored(df: DataFrame) -> DataFrame:
     """A small intermediate table, written once to the shared checkpoint folder."""
     spark = df.sparkSession
     path = scratch_folder(spark, "quantiles")
-    with plain_plans(spark):
+    with plain_plans(spark), freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import churn, cohort, customer, forecast, grains, kpi, prepare, product
+from marketlens.session import freed_shuffles
 
 MARTS = ("executive", "customer", "product", "predictive")
 
@@ -29,7 +30,8 @@ def _write(df: DataFrame, out_dir: str, mart: str, table: str, counts: dict) ->
     write itself (no second pass). Returns the written table, read back."""
     path = f"{out_dir.rstrip('/')}/{mart}/{table}"
     obs = Observation(f"rows_{mart}_{table}")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     counts[f"{mart}/{table}"] = int(obs.get["n"])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,7 +45,7 @@ def build_marts(fact: DataFrame, out_dir: str, start=None, end=None, category: s
     counts: dict[str, int] = {}
     rfm, months = None, None
     orders = grains.Stored(grains.order_grain(data), "orders").df
-    products = grains.Stored(grains.product_months(data), "product_months").df if {"executive", "product"} & set(marts) else None
+    products = grains.Stored(grains.product_months(data), "product_months", slice_by="product_id").df if {"executive", "product"} & set(marts) else None
 
     if "executive" in marts:  # B-01
         _write(kpi.kpi_summary(orders), out_dir, "executive", "kpi_summary", counts)

@@ -13,6 +13,7 @@ from marketlens.operators import churn, grains
 from marketlens.operators.kmeans import multi_start_kmeans, point_trees
 from marketlens.operators.prepare import prepare_fact
 from marketlens.operators.star import build_star
+from marketlens.plans.marts import build_marts
 from marketlens.sources.testdata import raw_tables
 from marketlens.sources.warehouse import PARTITION_COLUMN, read_table, write_star
 
@@ -213,3 +214,13 @@ def test_shuffle_deletion_is_put_back(spark):
         assert spark.conf.get(session._FREE) == "false"
     finally:
         spark.conf.unset(session._FREE)
+
+
+def test_product_months_in_slices_are_the_same(spark, tmp_path, monkeypatch):
+    fact = prepare_fact(build_star(_raw(spark))["fact_orders"])
+    want = _rows(grains.product_months(fact))
+    _in_slices(spark, monkeypatch, 4)
+    got = grains.Stored(grains.product_months(fact), "product_months", slice_by="product_id").df
+    assert _rows(got) == want
+    counts = build_marts(fact, str(tmp_path), marts=("product",))
+    assert counts["product/product_performance"] == len({(r["product_id"], r["product_category"]) for r in fact.collect() if r["product_id"]})
