@@ -48,7 +48,7 @@ def write_star(tables: dict[str, DataFrame], out_dir: str, mode: str = "errorife
     use the slots the fact's stages leave free instead of queueing after it.
     A fact of a large input is written in slices of its orders, each with its
     joins, and a slice's shuffle files go before the next begins: all of them
-    together take some 14 times the input on disk."""
+    together take some 12 times the stored input on disk."""
 
     def write(name: str, df: DataFrame) -> int:
         rows = 0

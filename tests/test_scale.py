@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens import session
+from marketlens import registry, session
 from marketlens.operators import churn, grains
 from marketlens.operators.kmeans import multi_start_kmeans, point_trees
 from marketlens.operators.prepare import prepare_fact
@@ -202,6 +202,16 @@ def test_shuffles_of_written_tables_are_deleted(spark, tmp_path, monkeypatch):
     assert len(kept.collect()) == 7
 
 
+def test_tables_behind_the_churn_queries_leave_no_shuffles(sized, tmp_path, monkeypatch):
+    _tables(sized, tmp_path)
+    monkeypatch.setattr(session, "SLICE_BYTES", 10_000)
+    before = _shuffle_files(sized)
+    months = registry._months(sized, str(tmp_path))  # the star, the orders and the customer months, each stored
+    assert len(session.slices(months, "customer_unique_id")) > 1
+    assert not _left(sized, before)
+    assert months.agg(F.sum("orders")).first()[0] == 396  # of 400 orders four have a customer 0, who is not known
+
+
 def test_shuffle_deletion_is_put_back(spark):
     assert spark.conf.get(session._FREE, None) is None
     with session.freed_shuffles(spark), session.freed_shuffles(spark):
